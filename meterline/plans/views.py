@@ -18,48 +18,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def computed_once(df: DataFrame, *keep: str, **columns: str) -> DataFrame:
+    """Add SQL expressions that are evaluated once per row.
+
+    A plain projection would be copied into every filter pushed below it, and
+    the view's formulas are long; a generator of one row stops that.
+    """
+    fields = ", ".join(f"{sql} as {name}" for name, sql in columns.items())
+    return df.selectExpr(*(keep or df.columns), f"inline(array(struct({fields})))")
+
+
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trips made from ``lineitem``; unclean on purpose."""
-    k = "(l_orderkey * 7 + l_linenumber * 13 + l_partkey * 3)"
-    raw = table(spark, sf_dir, "lineitem").selectExpr(
-        "md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey,"
-        " cast(round(l_extendedprice * 100) as bigint))) as trip_id",
-        f"1 + {k} % 2 as VendorID",
-        f"timestampadd(MINUTE, cast({k} % 1440 as int), l_shipdate) as {S.PICKUP}",
-        f"l_quantity * (l_partkey % 10) / 20.0D * if({k} % 31 = 0, 10.0D, 1.0D) as trip_distance",
-        f"cast((l_suppkey * 5) % 600 - if({k} % 37 = 0, 3600, 0) as bigint) as _lag",
-        f"if({k} % 19 = 0, null, cast({k} % 8 as double)) as passenger_count",
-        "1 + l_partkey % 265 as PULocationID",
-        "1 + (l_suppkey * 31 + l_linenumber * 17) % 265 as DOLocationID",
-        f"1 + {k} % 4 as payment_type",
-        f"{k} as _k",
-        "l_extendedprice as _price",
-        "l_discount as _discount",
-        f"if({k} % 11 = 0, 6.5D, 0.0D) as tolls_amount",
+    base = table(spark, sf_dir, "lineitem").selectExpr(
+        "*", "l_orderkey * 7 + l_linenumber * 13 + l_partkey * 3 as k"
     )
-    fare = (
-        "if(_k % 29 = 0, -5.0D, (floor(trip_distance * 250) + floor(_price) % 500 + 200)"
-        " / 100.0D * if(_k % 23 = 0, 9.0D, 1.0D))"
+    located = computed_once(
+        base,
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        "l_suppkey",
+        "l_extendedprice",
+        "l_discount",
+        VendorID="1 + k % 2",
+        tpep_pickup_datetime="timestampadd(MINUTE, cast(k % 1440 as int), l_shipdate)",
+        trip_distance="l_quantity * (l_partkey % 10) / 20.0D * if(k % 31 = 0, 10.0D, 1.0D)",
+        _lag="(l_suppkey * 5) % 600 - if(k % 37 = 0, 3600, 0)",
+        passenger_count="if(k % 19 = 0, null, cast(k % 8 as double))",
+        PULocationID="1 + l_partkey % 265",
+        DOLocationID="1 + (l_suppkey * 31 + l_linenumber * 17) % 265",
+        payment_type="1 + k % 4",
+        tolls_amount="if(k % 11 = 0, 6.5D, 0.0D)",
+        _factor="if(k % 29 = 0, 0.0D, if(k % 23 = 0, 9.0D, 1.0D))",
     )
-    return (
-        raw.selectExpr("*", f"{fare} as fare_amount")
-        .selectExpr("*", "fare_amount * _discount as tip_amount")
-        .selectExpr(
-            "trip_id",
-            "VendorID",
-            S.PICKUP,
-            f"timestampadd(SECOND, cast(floor(trip_distance * 240) + _lag as int), {S.PICKUP})"
-            f" as {S.DROPOFF}",
-            "passenger_count",
-            "trip_distance",
-            "PULocationID",
-            "DOLocationID",
-            "payment_type",
-            "fare_amount",
-            "tip_amount",
-            "tolls_amount",
-            "fare_amount + tip_amount + tolls_amount as total_amount",
-        )
+    metered = "(floor(trip_distance * 250) + floor(l_extendedprice) % 500 + 200) / 100.0D * _factor"
+    priced = computed_once(
+        located,
+        fare_amount=f"if(_factor = 0.0D, -5.0D, {metered})",
+        tpep_dropoff_datetime="timestampadd(SECOND, cast(floor(trip_distance * 240) + _lag as int),"
+        " tpep_pickup_datetime)",
+    )
+    return priced.selectExpr(
+        "md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey,"
+        " cast(round(l_extendedprice * 100) as bigint))) as trip_id",
+        "VendorID",
+        S.PICKUP,
+        S.DROPOFF,
+        "passenger_count",
+        "trip_distance",
+        "PULocationID",
+        "DOLocationID",
+        "payment_type",
+        "fare_amount",
+        "fare_amount * l_discount as tip_amount",
+        "tolls_amount",
+        "fare_amount + fare_amount * l_discount + tolls_amount as total_amount",
     )
 
 
