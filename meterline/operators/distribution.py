@@ -14,6 +14,7 @@ plan - a second branch, a retried task - finds the same ranges.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -39,12 +40,19 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (
 
 
 def with_ranges(
-    counts: DataFrame, keys: Sequence[str], value: str = "value", ranges: int = RANGES
+    counts: DataFrame,
+    keys: Sequence[str],
+    value: str = "value",
+    ranges: int = RANGES,
+    weights: Sequence[str] = ("n",),
 ) -> DataFrame:
     """Add ``_range``: the number of sampled cuts below the value."""
     v = F.col(value)
+    # Always true, but it keeps the weights in this branch, so that it reads
+    # the same shuffle as the other one and the data are scanned once.
+    counted = reduce(lambda a, b: a + b, [F.col(w) for w in weights]) > 0
     sample = (
-        counts.groupBy(*keys, F.pmod(F.xxhash64(v), F.lit(ranges - 1)).alias("_slot"))
+        counts.where(counted).groupBy(*keys, F.pmod(F.xxhash64(v), F.lit(ranges - 1)).alias("_slot"))
         .agg(F.min_by(v, F.xxhash64(v, F.lit(1))).alias("_cut"))
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list("_cut")).alias("_cuts"))
@@ -90,10 +98,17 @@ def exact_quantiles(
     """``by..., feature, n, q`` with linearly interpolated quantiles in ``q``.
 
     ``by`` is for few groups (splits, segments). Only the ranges that hold a
-    wanted rank are sorted.
+    wanted rank are sorted. ``ranges=1`` is for groups known to have few
+    distinct values: one task then holds those of a whole group.
     """
     keys = [*by, "feature"]
-    ranged = with_ranges(distinct_counts(df, columns, by), keys, ranges=ranges)
+    counts = distinct_counts(df, columns, by)
+    if ranges == 1:
+        return counts.groupBy(*keys).agg(
+            F.sum("n").alias("n"),
+            F.percentile("value", F.array(*[F.lit(float(p)) for p in probs]), F.col("n")).alias("q"),
+        )
+    ranged = with_ranges(counts, keys, ranges=ranges)
     offsets = range_offsets(ranged, keys, ["n"])
     position = [F.lit(float(p)) * (F.col("n_total") - 1) for p in probs]
     wanted = F.array_distinct(
@@ -205,10 +220,28 @@ def ecdf(
     reference: DataFrame, current: DataFrame, columns: Sequence[str], ranges: int = RANGES
 ) -> DataFrame:
     """``feature, value, next_value, f_ref, f_cur``: both empirical CDFs at
-    every value of the merged support."""
+    every value of the merged support.
+
+    ``ranges=1`` is for samples of bounded size: one task per feature.
+    """
     keys = ["feature"]
     weights = ["n_ref", "n_cur"]
-    ranged = with_ranges(paired_counts(reference, current, columns), keys, ranges=ranges)
+    counts = paired_counts(reference, current, columns)
+    if ranges == 1:
+        whole = Window.partitionBy("feature")
+        upto = whole.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+
+        def share(w: str) -> Column:
+            return F.try_divide(F.sum(w).over(upto), F.sum(w).over(whole)).cast("double")
+
+        return counts.select(
+            "feature",
+            "value",
+            F.lead("value").over(whole.orderBy("value")).alias("next_value"),
+            share("n_ref").alias("f_ref"),
+            share("n_cur").alias("f_cur"),
+        )
+    ranged = with_ranges(counts, keys, ranges=ranges, weights=weights)
     offsets = range_offsets(ranged, keys, weights).drop("n_ref_here", "n_cur_here")
     inside = Window.partitionBy("feature", "_range").orderBy("value")
     running = inside.rowsBetween(Window.unboundedPreceding, 0)
@@ -227,12 +260,14 @@ def ecdf(
     )
 
 
-def distances(reference: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
+def distances(
+    reference: DataFrame, current: DataFrame, columns: Sequence[str], ranges: int = RANGES
+) -> DataFrame:
     """``feature, wasserstein, ks``."""
     gap = F.abs(F.col("f_ref") - F.col("f_cur"))
     width = F.col("next_value") - F.col("value")
     return (
-        ecdf(reference, current, columns)
+        ecdf(reference, current, columns, ranges)
         .groupBy("feature")
         .agg(
             F.coalesce(F.sum(width * gap), F.lit(0.0)).alias("wasserstein"),

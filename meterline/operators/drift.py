@@ -22,13 +22,15 @@ def column_drift(
     columns: Sequence[str] = S.DRIFT_FEATURES,
     threshold: float = S.DRIFT_THRESHOLD,
     norm: str = "std",
+    ranges: int = DI.RANGES,
 ) -> DataFrame:
     """``feature, distance, score, drifted`` of numeric columns.
 
     The Wasserstein distance is divided by the reference deviation (``std``,
-    at least 0.001), by the combined range (``range``), or kept (``none``).
+    at least 0.001), by the combined range (``range``), or kept (``none``). ``ranges=1`` skips the
+    spreading of values over tasks, for two samples of bounded size.
     """
-    dist = DI.distances(reference, current, columns)
+    dist = DI.distances(reference, current, columns, ranges)
     if norm == "std":
         scale = moments(reference, columns).select(
             "feature", F.greatest(F.col("std"), F.lit(0.001)).alias("_scale")
@@ -214,6 +216,7 @@ def drift_report(
     log_rows: Column | None = None,
     min_rows: int = S.MIN_LOG_ROWS,
     prediction: str = "prediction",
+    ranges: int = 1,
 ) -> DataFrame:
     """Everything about the newest log rows as one table ``feature, metric,
     value``: drift scores and verdicts, dataset verdict, means, shared
@@ -221,61 +224,72 @@ def drift_report(
 
     With fewer than ``min_rows`` rows the only row is the metric
     ``too_few_rows``. ``tail`` is bounded (the last hundred rows); pass a
-    staged reference sample.
+    staged reference sample, or set ``ranges`` for a whole reference table.
     """
     columns = common_columns(reference.select(*_known(reference)), tail)
-    per_column = column_drift(reference, tail, columns)
     enough = tail.select(F.count(F.lit(1)) >= min_rows).scalar()
-    n_tail = tail.select(F.count(F.lit(1)).cast("double")).scalar()
 
-    def named(df: DataFrame, metric: str, value: Column) -> DataFrame:
-        return df.select("feature", F.lit(metric).alias("metric"), value.cast("double").alias("value"))
+    def metric(feature: Column, name: Column, value: Column) -> Column:
+        return F.struct(
+            feature.alias("feature"), name.alias("metric"), value.cast("double").alias("value")
+        )
 
-    shifts = mean_shift(reference, tail, columns)
-    bars = histogram_pair(reference, tail, [c for c in S.HISTOGRAM_FEATURES if c in columns])
-    overall = dataset_drift(per_column).unpivot(
-        [], ["n_features", "n_drifted", "drift_share", "dataset_drift"], "metric", "value"
+    # One row per feature, and one over all of them.
+    drift = column_drift(reference, tail, columns, ranges=ranges)
+    means = mean_shift(reference, tail, columns).drop("change_pct", "drifted")
+    rolled = (
+        drift.join(F.broadcast(means), "feature")
+        .groupingSets([[F.col("feature")], []], F.col("feature"))
+        .agg(
+            F.max("score").alias("score"),
+            F.sum("drifted").alias("drifted"),
+            F.count(F.lit(1)).alias("n"),
+            F.max("reference_mean").alias("reference_mean"),
+            F.max("current_mean").alias("current_mean"),
+        )
     )
-    parts = [
-        per_column.unpivot(["feature"], ["score", "drifted"], "metric", "value"),
-        overall.select(F.lit("dataset").alias("feature"), "metric", "value"),
-        shifts.unpivot(["feature"], ["reference_mean", "current_mean"], "metric", "value"),
-        bars.select(
-            "feature",
-            F.format_string("reference_pct[%s]", "label").alias("metric"),
-            F.col("reference_pct").alias("value"),
-        ),
-        bars.select(
-            "feature",
-            F.format_string("current_pct[%s]", "label").alias("metric"),
-            F.col("current_pct").alias("value"),
-        ),
-        named(
-            tail.agg(F.avg(prediction).alias("v")).withColumn("feature", F.lit("fare_amount")),
-            "current_mean",
-            F.col("v"),
-        ),
+    share = N.ratio(F.col("drifted").cast("double"), F.col("n").cast("double"))
+    overall = {
+        "n_features": F.col("n"),
+        "n_drifted": F.col("drifted"),
+        "drift_share": share,
+        "dataset_drift": (share > S.DRIFT_SHARE).cast("int"),
+    }
+    single = ["score", "drifted", "reference_mean", "current_mean"]
+    scores = rolled.where(enough).select(
+        F.explode(
+            F.when(
+                F.col("feature").isNull(),
+                F.array(*[metric(F.lit("dataset"), F.lit(m), v) for m, v in overall.items()]),
+            ).otherwise(F.array(*[metric(F.col("feature"), F.lit(m), F.col(m)) for m in single]))
+        ).alias("_r")
+    )
+    bars = histogram_pair(
+        reference, tail, [c for c in S.HISTOGRAM_FEATURES if c in columns]
+    ).where(enough)
+    sides = [
+        metric(F.col("feature"), F.format_string(f"{side}[%s]", F.col("label")), F.col(side))
+        for side in ("reference_pct", "current_pct")
+    ]
+    whole = tail.agg(F.count(F.lit(1)).alias("n"), F.avg(prediction).alias("fare"))
+    ok = F.col("n") >= min_rows
+    total = F.col("n") if log_rows is None else log_rows
+    rows = [
+        metric(F.lit("dataset"), F.lit("total_predictions"), total),
+        F.when(~ok, metric(F.lit("dataset"), F.lit("too_few_rows"), F.col("n"))),
+        F.when(ok, metric(F.lit("fare_amount"), F.lit("current_mean"), F.col("fare"))),
     ]
     if reference_fare_mean is not None:
-        parts.append(
-            named(
-                tail.agg(F.lit("fare_amount").alias("feature")),
-                "reference_mean",
-                reference_fare_mean,
-            )
+        rows.append(
+            F.when(ok, metric(F.lit("fare_amount"), F.lit("reference_mean"), reference_fare_mean))
+        )
+    return (
+        scores.select("_r.*")
+        .unionByName(bars.select(F.explode(F.array(*sides)).alias("_r")).select("_r.*"))
+        .unionByName(
+            whole.select(F.explode(F.array_compact(F.array(*rows))).alias("_r")).select("_r.*")
         )
-    report = None
-    for p in parts:
-        p = p.where(enough)
-        report = p if report is None else report.unionByName(p)
-    short = (
-        tail.agg(F.count(F.lit(1)).cast("double").alias("value"))
-        .where(F.col("value") < min_rows)
-        .select(F.lit("dataset").alias("feature"), F.lit("too_few_rows").alias("metric"), "value")
     )
-    total = n_tail if log_rows is None else log_rows.cast("double")
-    size = tail.agg(F.lit("dataset").alias("feature"), F.lit("total_predictions").alias("metric"))
-    return report.unionByName(short).unionByName(size.withColumn("value", total))
 
 
 def _known(df: DataFrame) -> list[str]:

@@ -266,8 +266,10 @@ def corr_with_target(
 
 
 def bounds(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``feature, low, high`` per column."""
-    return moments(df, columns).select("feature", F.col("min").alias("low"), F.col("max").alias("high"))
+    """``feature, low, high, n`` per column."""
+    return moments(df, columns).select(
+        "feature", F.col("min").alias("low"), F.col("max").alias("high"), F.col("count").alias("n")
+    )
 
 
 def _bin_counts(df: DataFrame, columns: Sequence[str], limits: DataFrame, bins: int) -> DataFrame:
@@ -281,12 +283,9 @@ def _bin_counts(df: DataFrame, columns: Sequence[str], limits: DataFrame, bins:
 
 
 def _all_bins(limits: DataFrame, bins: int) -> DataFrame:
-    low, high = F.col("low"), F.col("high")
-    return limits.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).select(
-        "feature",
-        "bin",
-        N.bin_edge(low, high, bins, F.col("bin")).alias("lo"),
-        N.bin_edge(low, high, bins, F.col("bin") + 1).alias("hi"),
+    low, high, b = F.col("low"), F.col("high"), F.col("bin")
+    return limits.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).withColumns(
+        {"lo": N.bin_edge(low, high, bins, b), "hi": N.bin_edge(low, high, bins, b + 1)}
     )
 
 
@@ -294,20 +293,18 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFram
     """``feature, bin, lo, hi, count, density`` with empty bins included."""
     limits = bounds(df, columns)
     counts = _bin_counts(df, columns, limits, bins)
-    totals = counts.groupBy("feature").agg(F.sum("count").alias("_n"))
-    n = F.coalesce(F.col("count"), F.lit(0))
-    # Columns x bins rows on every side.
+    c = F.coalesce(F.col("count"), F.lit(0)).cast("bigint")
+    # Columns x bins rows on both sides.
     return (
         _all_bins(limits, bins)
         .join(F.broadcast(counts), ["feature", "bin"], "left")
-        .join(F.broadcast(totals), "feature", "left")
         .select(
             "feature",
             "bin",
             "lo",
             "hi",
-            n.cast("bigint").alias("count"),
-            N.ratio(n.cast("double"), F.col("_n") * (F.col("hi") - F.col("lo"))).alias("density"),
+            c.alias("count"),
+            N.ratio(c.cast("double"), F.col("n") * (F.col("hi") - F.col("lo"))).alias("density"),
         )
     )
 
@@ -324,22 +321,23 @@ def histogram_pair(
     limits = combined_range(reference, current, columns)
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        counts = _bin_counts(df, columns, limits, bins)
-        totals = counts.groupBy("feature").agg(F.sum("count").alias("_n"))
-        return counts.join(F.broadcast(totals), "feature").select(
-            "feature", "bin", N.percent(F.col("count"), F.col("_n")).alias(name)
-        )
+        return _bin_counts(df, columns, limits, bins).withColumnRenamed("count", name)
+
+    def pct(name: str, total: str) -> Column:
+        count = F.coalesce(F.col(name), F.lit(0))
+        return F.coalesce(N.percent(count, F.col(total)), F.lit(0.0))
 
+    # Columns x bins rows on every side.
     return (
         _all_bins(limits, bins)
-        .join(F.broadcast(side(reference, "reference_pct")), ["feature", "bin"], "left")
-        .join(F.broadcast(side(current, "current_pct")), ["feature", "bin"], "left")
+        .join(F.broadcast(side(reference, "_r")), ["feature", "bin"], "left")
+        .join(F.broadcast(side(current, "_c")), ["feature", "bin"], "left")
         .select(
             "feature",
             "bin",
             N.bin_label(F.col("lo"), F.col("hi")).alias("label"),
-            F.coalesce("reference_pct", F.lit(0.0)).alias("reference_pct"),
-            F.coalesce("current_pct", F.lit(0.0)).alias("current_pct"),
+            pct("_r", "n_reference").alias("reference_pct"),
+            pct("_c", "n_current").alias("current_pct"),
         )
     )
 

@@ -18,13 +18,19 @@ def union_all(*frames: DataFrame) -> DataFrame:
 def combined_range(
     reference: DataFrame, current: DataFrame, columns: Sequence[str]
 ) -> DataFrame:
-    """``feature, low, high`` over both tables; each is reduced to one row
-    before the two meet."""
+    """``feature, low, high`` over both tables and the rows of each; each table
+    is reduced to one row before the two meet."""
     from meterline.operators.profile import bounds
 
+    ref = bounds(reference, columns).withColumn("is_ref", F.lit(1))
+    cur = bounds(current, columns).withColumn("is_ref", F.lit(0))
     return (
-        bounds(reference, columns)
-        .unionByName(bounds(current, columns))
+        ref.unionByName(cur)
         .groupBy("feature")
-        .agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        .agg(
+            F.min("low").alias("low"),
+            F.max("high").alias("high"),
+            F.sum(F.when(F.col("is_ref") == 1, F.col("n"))).alias("n_reference"),
+            F.sum(F.when(F.col("is_ref") == 0, F.col("n"))).alias("n_current"),
+        )
     )

@@ -110,7 +110,7 @@ def _sides_sql(columns, full, sample):
 )
 def _(spark, d):
     train = _split(spark, d, "train")
-    sample = SA.reference_sample(train, 2000)
+    sample = stage(SA.reference_sample(train, 2000), "reference-sample")
     return SA.representativeness(train, sample)
 
 
@@ -302,7 +302,7 @@ def _(spark, d):
 def _(spark, d):
     test = _split(spark, d, "test")
     few = test.where(F.col("trip_distance") > 95).withColumn("prediction", F.col("predicted"))
-    return DR.drift_report(_split(spark, d, "train"), few, min_rows=10**9)
+    return DR.drift_report(_split(spark, d, "train"), few, min_rows=10**9, ranges=DI.RANGES)
 
 
 @query(

@@ -712,7 +712,8 @@ def _(spark, d):
 @query(
     "u2_combined_range",
     " UNION ALL ".join(
-        f"""SELECT '{c}' AS feature, least(min(a), min(b))::DOUBLE AS low, greatest(max(a), max(b))::DOUBLE AS high
+        f"""SELECT '{c}' AS feature, least(min(a), min(b))::DOUBLE AS low, greatest(max(a), max(b))::DOUBLE AS high,
+        count(a)::BIGINT AS n_reference, count(b)::BIGINT AS n_current
         FROM (SELECT {c} AS a, NULL AS b FROM train UNION ALL SELECT NULL, {c} FROM log)"""
         for c in S.HISTOGRAM_FEATURES
     ),
