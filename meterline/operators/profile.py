@@ -319,19 +319,23 @@ def histogram_pair(
     from meterline.operators.sets import combined_range
 
     limits = combined_range(reference, current, columns)
+    both = DI.long_values(reference, columns).withColumn("is_ref", F.lit(1)).unionByName(
+        DI.long_values(current, columns).withColumn("is_ref", F.lit(0))
+    )
+    index = N.equal_width_bin(F.col("value"), F.col("low"), F.col("high"), bins)
+    counts = (
+        both.join(F.broadcast(limits), "feature")
+        .groupBy("feature", index.alias("bin"))
+        .agg(F.sum("is_ref").alias("_r"), F.sum(1 - F.col("is_ref")).alias("_c"))
+    )
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        return _bin_counts(df, columns, limits, bins).withColumnRenamed("count", name)
-
-    def pct(name: str, total: str) -> Column:
-        count = F.coalesce(F.col(name), F.lit(0))
-        return F.coalesce(N.percent(count, F.col(total)), F.lit(0.0))
+    def pct(count: str, total: str) -> Column:
+        return F.coalesce(N.percent(F.col(count), F.col(total)), F.lit(0.0))
 
-    # Columns x bins rows on every side.
+    # Columns x bins rows on both sides.
     return (
         _all_bins(limits, bins)
-        .join(F.broadcast(side(reference, "_r")), ["feature", "bin"], "left")
-        .join(F.broadcast(side(current, "_c")), ["feature", "bin"], "left")
+        .join(F.broadcast(counts), ["feature", "bin"], "left")
         .select(
             "feature",
             "bin",
