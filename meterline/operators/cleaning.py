@@ -124,10 +124,21 @@ def regex_filter(df: DataFrame, column: str, pattern: str) -> DataFrame:
 # --- presets -------------------------------------------------------------------
 
 
+def computed_once(df: DataFrame, keep: Sequence[str] | None = None, **columns: Column) -> DataFrame:
+    """Add columns whose expressions run once per row.
+
+    A projected expression is copied into every filter that uses it once the
+    optimizer pushes the filter down; a generator of one row is a stop. Filters
+    on other columns still pass it and reach the scan.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    names = [c for c in (df.columns if keep is None else keep) if c not in columns]
+    return df.select(*names, F.inline(F.array(row)))
+
+
 def add_duration(df: DataFrame) -> DataFrame:
-    return df.withColumn(
-        "trip_duration_minutes", C.duration_minutes(F.col(S.PICKUP), F.col(S.DROPOFF))
-    )
+    minutes = C.duration_minutes(F.col(S.PICKUP), F.col(S.DROPOFF))
+    return computed_once(df, trip_duration_minutes=minutes)
 
 
 def add_speed(df: DataFrame) -> DataFrame:

@@ -16,7 +16,8 @@ from meterline.operators import distribution as DI
 from meterline.operators.cleaning import select_available
 from meterline.operators.profile import moments
 
-_CELLS = 65_536
+# Samples up to this size fit a top-k comfortably.
+TOP_K_SAMPLE = 100_000
 
 
 def hex_bucket(hex_text: Column, digits: int, buckets: int) -> Column:
@@ -36,9 +37,10 @@ def sample_n(
     key hash.
 
     A count per hash cell (65,536 cells) finds the cell where the n-th row
-    lies. Rows of earlier cells are taken as they stand, wherever they are;
-    only the rest comes from a top-k over that one cell. No task sees more
-    than a sliver of the table, whatever n is. Counting runs one small job.
+    lies, with one small job. A small sample is then a top-k over the rows up
+    to that cell, a little more than n. For a large one the rows of earlier
+    cells are taken as they stand, wherever they are, and only the rest comes
+    from a top-k over that one cell: no task ever gathers the sample.
     """
     order = sample_hash(key, seed)
     cell = F.conv(F.substring(order, 1, 4), 16, 10).cast("int")
@@ -53,23 +55,25 @@ def sample_n(
     )
     if edge is None:
         return df
-    whole = df.where(cell < edge["cell"])
-    rest = (
-        df.where(cell == edge["cell"])
-        .withColumn("_h", order)
-        .orderBy("_h", key)
-        .limit(n - edge["before"])
-        .drop("_h")
-    )
-    return whole.unionByName(rest)
+
+    def least(rows: DataFrame, k: int) -> DataFrame:
+        return rows.withColumn("_h", order).orderBy("_h", key).limit(k).drop("_h")
+
+    if n <= TOP_K_SAMPLE:
+        return least(df.where(cell <= edge["cell"]), n)
+    rest = least(df.where(cell == edge["cell"]), n - edge["before"])
+    return df.where(cell < edge["cell"]).unionByName(rest)
 
 
 def split_label(key_hash: Column, test_size: float = 0.2, val_size: float = 0.1) -> Column:
     """train / val / test from 100 buckets of a hexadecimal key hash."""
     test_from = round((1.0 - test_size) * 100)
     val_from = test_from - round(val_size * 100)
-    b = hex_bucket(key_hash, 8, 100)
-    return F.when(b < val_from, "train").when(b < test_from, "val").otherwise("test")
+    # A lookup instead of a comparison chain: the hash is taken once per row.
+    labels = F.array(
+        *[F.lit("train" if b < val_from else "val" if b < test_from else "test") for b in range(100)]
+    )
+    return F.try_element_at(labels, hex_bucket(key_hash, 8, 100) + 1)
 
 
 def split_data(

@@ -10,6 +10,7 @@ from meterline.operators import cleaning as CL, evaluation as EV, lookups as LK
 from meterline.operators import profile as PR, ranking as RK
 from meterline.plans import views as V
 from meterline.plans.registry import query
+from meterline.sources.staging import stage
 
 TRIP_NUMBERS = ["passenger_count", "trip_distance", "fare_amount", "tip_amount", "total_amount", "trip_duration_minutes"]
 _E = "fare_amount - predicted"
@@ -84,7 +85,8 @@ _DICT = f"SELECT feature, class, row_number() OVER (PARTITION BY feature ORDER B
 def _(spark, d):
     # Doubled pickup ids, so that half of the classes are unseen.
     train = V.split_of(V.scored_trips(spark, d), "train")
-    dictionary = LK.encoder_fit(train, ["PULocationID", "DOLocationID"])
+    # Staged like a fitted transformer's, so that its size is known to the join.
+    dictionary = stage(LK.encoder_fit(train, ["PULocationID", "DOLocationID"]), "classes")
     doubled = V.trips(spark, d).withColumn("PULocationID", F.col("PULocationID") * 2)
     return LK.encode_lookup(doubled, dictionary, ["PULocationID", "DOLocationID"]).select(
         "trip_id", "PULocationID", "DOLocationID"

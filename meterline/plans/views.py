@@ -18,50 +18,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def computed_once(df: DataFrame, *keep: str, **columns: str) -> DataFrame:
-    """Add SQL expressions that are evaluated once per row.
-
-    A plain projection would be copied into every filter pushed below it, and
-    the view's formulas are long; a generator of one row stops that.
-    """
-    fields = ", ".join(f"{sql} as {name}" for name, sql in columns.items())
-    return df.selectExpr(*(keep or df.columns), f"inline(array(struct({fields})))")
-
-
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trips made from ``lineitem``; unclean on purpose."""
     base = table(spark, sf_dir, "lineitem").selectExpr(
         "*", "l_orderkey * 7 + l_linenumber * 13 + l_partkey * 3 as k"
     )
-    located = computed_once(
+    located = CL.computed_once(
         base,
-        "l_orderkey",
-        "l_linenumber",
-        "l_partkey",
-        "l_suppkey",
-        "l_extendedprice",
-        "l_discount",
-        VendorID="1 + k % 2",
-        tpep_pickup_datetime="timestampadd(MINUTE, cast(k % 1440 as int), l_shipdate)",
-        trip_distance="l_quantity * (l_partkey % 10) / 20.0D * if(k % 31 = 0, 10.0D, 1.0D)",
-        _lag="(l_suppkey * 5) % 600 - if(k % 37 = 0, 3600, 0)",
-        passenger_count="if(k % 19 = 0, null, cast(k % 8 as double))",
-        PULocationID="1 + l_partkey % 265",
-        DOLocationID="1 + (l_suppkey * 31 + l_linenumber * 17) % 265",
-        payment_type="1 + k % 4",
-        tolls_amount="if(k % 11 = 0, 6.5D, 0.0D)",
-        _factor="if(k % 29 = 0, 0.0D, if(k % 23 = 0, 9.0D, 1.0D))",
+        ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount"],
+        VendorID=F.expr("1 + k % 2"),
+        tpep_pickup_datetime=F.expr("timestampadd(MINUTE, cast(k % 1440 as int), l_shipdate)"),
+        trip_distance=F.expr("l_quantity * (l_partkey % 10) / 20.0D * if(k % 31 = 0, 10.0D, 1.0D)"),
+        _lag=F.expr("(l_suppkey * 5) % 600 - if(k % 37 = 0, 3600, 0)"),
+        passenger_count=F.expr("if(k % 19 = 0, null, cast(k % 8 as double))"),
+        PULocationID=F.expr("1 + l_partkey % 265"),
+        DOLocationID=F.expr("1 + (l_suppkey * 31 + l_linenumber * 17) % 265"),
+        payment_type=F.expr("1 + k % 4"),
+        tolls_amount=F.expr("if(k % 11 = 0, 6.5D, 0.0D)"),
+        _factor=F.expr("if(k % 29 = 0, 0.0D, if(k % 23 = 0, 9.0D, 1.0D))"),
     )
     metered = "(floor(trip_distance * 250) + floor(l_extendedprice) % 500 + 200) / 100.0D * _factor"
-    priced = computed_once(
+    priced = CL.computed_once(
         located,
-        fare_amount=f"if(_factor = 0.0D, -5.0D, {metered})",
-        tpep_dropoff_datetime="timestampadd(SECOND, cast(floor(trip_distance * 240) + _lag as int),"
-        " tpep_pickup_datetime)",
+        fare_amount=F.expr(f"if(_factor = 0.0D, -5.0D, {metered})"),
+        tpep_dropoff_datetime=F.expr(
+            "timestampadd(SECOND, cast(floor(trip_distance * 240) + _lag as int),"
+            " tpep_pickup_datetime)"
+        ),
     )
     return priced.selectExpr(
         "md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey,"
-        " cast(round(l_extendedprice * 100) as bigint))) as trip_id",
+        " cast(rint(l_extendedprice * 100) as bigint))) as trip_id",
         "VendorID",
         S.PICKUP,
         S.DROPOFF,
