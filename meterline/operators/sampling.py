@@ -17,7 +17,7 @@ from meterline.operators.cleaning import select_available
 from meterline.operators.profile import moments
 
 # Samples up to this size fit a top-k comfortably.
-TOP_K_SAMPLE = 100_000
+TOP_K_SAMPLE = 20_000
 
 
 def hex_bucket(hex_text: Column, digits: int, buckets: int) -> Column:

@@ -132,7 +132,7 @@ def _(spark, d):
 
 
 @query(
-    "m8_taxi_feature_transformer",
+    "m8_trip_feature_transformer",
     "SELECT trip_id, "
     + ", ".join(
         f"round(({c} - (SELECT avg({c}) FROM train)) / (SELECT stddev_pop({c}) FROM train), 6) AS {c}"
