@@ -24,7 +24,10 @@ def left_lookup(
     large to broadcast under keys that hold much of the facts."""
     if salts <= 1:
         return facts.join(table, list(on), "left")
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns]), F.lit(salts)).cast("int")
+    # The partition number spreads exact copies of a row; unlike a random salt
+    # it is the same again when a task is retried.
+    row = F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns]), F.lit(salts))
+    spread = F.pmod(row + F.spark_partition_id(), F.lit(salts)).cast("int")
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return (
         facts.withColumn("_salt", spread).join(copies, [*on, "_salt"], "left").drop("_salt")

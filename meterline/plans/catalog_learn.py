@@ -44,14 +44,14 @@ _RIDGE_ALPHA, _LASSO_ALPHA = 5000.0, 2.0
       UNION ALL SELECT 'lasso', sign(cxy) * greatest(abs(cxy) - {_LASSO_ALPHA}, 0) / vx, mx, my FROM {_SUMS})""",
 )
 def _(spark, d):
-    train = TN.assemble(V.split_of(_rows(spark, d), "train"), ["trip_distance"])
-    train = train.select(S.TARGET, FEATURES)
     alphas = {"linear_regression": None, "ridge": _RIDGE_ALPHA, "lasso": _LASSO_ALPHA}
     rows = []
-    for name, alpha in alphas.items():
-        params = {} if alpha is None else {"alpha": alpha}
-        m = get_model(name, params, train).fit(train)
-        rows.append((name, float(m.coefficients[0]), float(m.intercept)))
+    with TN.training_rows(_rows(spark, d), ["trip_distance"]) as ready:
+        train = ready.where(F.col("split") == "train").select(S.TARGET, FEATURES)
+        for name, alpha in alphas.items():
+            params = {} if alpha is None else {"alpha": alpha}
+            m = get_model(name, params, train).fit(train)
+            rows.append((name, float(m.coefficients[0]), float(m.intercept)))
     return spark.createDataFrame(rows, "model string, coefficient double, intercept double")
 
 

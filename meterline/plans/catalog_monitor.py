@@ -302,7 +302,8 @@ def _(spark, d):
 def _(spark, d):
     test = _split(spark, d, "test")
     few = test.where(F.col("trip_distance") > 95).withColumn("prediction", F.col("predicted"))
-    return DR.drift_report(_split(spark, d, "train"), few, min_rows=10**9, ranges=DI.RANGES)
+    reference = stage(SA.reference_sample(_split(spark, d, "train")), "reference-sample")
+    return DR.drift_report(reference, stage(few, "log-tail"), min_rows=10**9)
 
 
 @query(

@@ -96,7 +96,8 @@ def _(spark, d):
     FROM routes""",
 )
 def _(spark, d):
-    # One JSON object per pickup zone, as the lookup file stores its routes.
+    # One JSON object per pickup zone, as the lookup file stores its routes; an
+    # object has at most one entry per drop-off zone.
     key = TR.route_key(F.col("PULocationID"), F.col("DOLocationID"))
     per_zone = (
         V.routes(spark, d)
@@ -172,8 +173,9 @@ def _(spark, d):
     # Two appends; the retention limit is applied when reading.
     path = ST.new_path(spark, "log-append")
     log = V.event_log(spark, d)
-    WR.append_log(log.where("event_id % 3 = 0"), path)
-    WR.append_log(log.where("event_id % 3 <> 0"), path)
+    log = log.withColumn("day", F.to_date("ts"))
+    WR.append_log(log.where("event_id % 3 = 0"), path, "day")
+    WR.append_log(log.where("event_id % 3 <> 0"), path, "day")
     kept = RK.last_n(spark.read.parquet(path), S.LOG_RETENTION, "ts", "event_id")
     return kept.select("event_id", "trip_distance", "prediction")
 

@@ -29,6 +29,8 @@ def write_predictions(scored: DataFrame, path: str) -> None:
     scored.write.mode("overwrite").parquet(path)
 
 
-def append_log(records: DataFrame, path: str) -> None:
-    """Append only; retention is applied when the log is read."""
-    records.write.mode("append").parquet(path)
+def append_log(records: DataFrame, path: str, partition_by: str | None = None) -> None:
+    """Append only; retention is applied when the log is read. Partitioned by
+    day, a reader of the newest rows prunes to the last folders."""
+    writer = records.write.mode("append")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
