@@ -23,11 +23,15 @@ _STRIDE = 16
 
 
 def long_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """``by..., feature, value`` with one row per non-null number."""
+    """``by..., feature, value`` with one row per non-null number of a named
+    group (a null group key belongs to no group)."""
     wide = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
-    return wide.unpivot(list(by), list(columns), "feature", "value").where(
-        F.col("value").isNotNull()
-    )
+    long = wide.unpivot(list(by), list(columns), "feature", "value")
+    # Plain null tests, which the optimizer would infer from later joins in
+    # some branches only; stated here, all branches share one shuffle.
+    for c in ("value", *by):
+        long = long.where(F.col(c).isNotNull())
+    return long
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -59,13 +59,15 @@ def regression_metrics(
     approx: bool = False,
 ) -> DataFrame:
     """All metrics with ``median_ae``; ``by`` is for few groups."""
-    wide = metrics(df, label, prediction, by, FULL).withColumn("feature", F.lit("abs_error"))
+    wide = metrics(df, label, prediction, by, FULL)
     errors = df.select(*by, F.abs(F.col(label) - F.col(prediction)).alias("abs_error"))
     median = DI.quantiles(errors, ["abs_error"], [0.5], by, approx).select(
-        *by, "feature", F.col("q")[0].alias("median_ae")
+        *by, F.col("q")[0].alias("median_ae")
     )
+    if not by:
+        return wide.withColumn("median_ae", median.scalar())
     # One row per group on both sides.
-    return wide.join(F.broadcast(median), [*by, "feature"], "left").drop("feature")
+    return wide.join(F.broadcast(median), list(by), "left")
 
 
 def regression_metrics_basic(
@@ -93,13 +95,9 @@ def error_summary(df: DataFrame, label: str = S.TARGET, prediction: str = "predi
         F.min(e).alias("min_error"),
         F.max(e).alias("max_error"),
         F.avg(F.abs(e)).alias("mean_abs_error"),
-    ).withColumn("feature", F.lit("abs_error"))
-    median = DI.exact_quantiles(df.select(F.abs(e).alias("abs_error")), ["abs_error"], [0.5])
-    return (
-        base.join(F.broadcast(median), "feature", "left")
-        .withColumn("median_abs_error", F.col("q")[0])
-        .drop("feature", "n", "q")
     )
+    median = DI.exact_quantiles(df.select(F.abs(e).alias("abs_error")), ["abs_error"], [0.5])
+    return base.withColumn("median_abs_error", median.select(F.col("q")[0]).scalar())
 
 
 def error_percentiles(
