@@ -23,15 +23,10 @@ _STRIDE = 16
 
 
 def long_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """``by..., feature, value`` with one row per non-null number of a named
-    group (a null group key belongs to no group)."""
+    """``by..., feature, value`` with one row per non-null number."""
     wide = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
     long = wide.unpivot(list(by), list(columns), "feature", "value")
-    # Plain null tests, which the optimizer would infer from later joins in
-    # some branches only; stated here, all branches share one shuffle.
-    for c in ("value", *by):
-        long = long.where(F.col(c).isNotNull())
-    return long
+    return long.where(F.col("value").isNotNull())
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -98,6 +93,7 @@ def exact_quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     ranges: int = RANGES,
+    packed_by: Sequence[str] = (),
 ) -> DataFrame:
     """``by..., feature, n, q`` with linearly interpolated quantiles in ``q``.
 
@@ -105,8 +101,15 @@ def exact_quantiles(
     wanted rank are sorted. ``ranges=1`` is for groups known to have few
     distinct values: one task then holds those of a whole group.
     """
-    keys = [*by, "feature"]
-    counts = distinct_counts(df, columns, by)
+    if by:
+        # A struct is never null itself, so a null group stays a group and the
+        # joins below add no null tests that would tell the branches apart.
+        packed = df.select(F.struct(*by).alias("_group"), *columns)
+        return exact_quantiles(packed, columns, probs, (), ranges, ("_group",)).select(
+            "_group.*", "feature", "n", "q"
+        )
+    keys = [*packed_by, "feature"]
+    counts = distinct_counts(df, columns, packed_by)
     if ranges == 1:
         return counts.groupBy(*keys).agg(
             F.sum("n").alias("n"),
