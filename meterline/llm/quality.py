@@ -3,8 +3,9 @@
 References are learned from all rows with a language: the histogram of character classes,
 and that of the language's most common short words with one bin for all other words. A text
 is compared with every reference by the Jensen-Shannon distance (base 2, 0 to 1), and the
-nearest reference counts, so that a missing or wrong language does no harm. Texts shorter
-than the guards are not compared. Fixed counts (words, symbols, repeated lines and windows)
+nearest reference counts, so that a missing or wrong language does no harm. Texts with large
+shares of symbols or capitals are no part of a reference. Texts shorter than the guards are
+not compared. Fixed counts (words, symbols, repeated lines and windows)
 give the base rule.
 
 Defined cases: null text has no words and fails the base rule; rows without a language are
@@ -14,6 +15,7 @@ and the base rule alone decides; repeated rows count as often as they occur.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -31,8 +33,12 @@ MIN_WORDS = 20
 #: Guards: shorter texts are not compared by characters, by words.
 MIN_CHARS_COMPARED = 100
 MIN_WORDS_COMPARED = 40
-MAX_CHAR_DISTANCE = 0.25
-MAX_WORD_DISTANCE = 0.45
+#: A histogram of n words is off by about 1 / sqrt(n) by chance; what both distances have above
+#: that may sum up to this.
+MAX_EXCESS = 0.36
+#: Texts with larger shares of symbols or capitals are no part of a reference.
+MAX_TAUGHT_SYMBOLS = 0.02
+MAX_TAUGHT_UPPER = 0.3
 COMMON_WORDS = 50
 COMMON_LENGTH = 5  # code points of a word that can be a common one
 CLASSES = ("blank", "lower", "upper", "digit", "stop", "symbol", "other")
@@ -81,6 +87,17 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, sum(kl) / 2)))
 
 
+def teaches(words: list[str], kinds: np.ndarray) -> bool:
+    """Whether a text is plain enough to be part of a reference."""
+    named = dict(zip(CLASSES, kinds.tolist(), strict=True))
+    letters = named["lower"] + named["upper"]
+    return (
+        len(words) >= MIN_WORDS
+        and named["symbol"] <= MAX_TAUGHT_SYMBOLS * kinds.sum()
+        and named["upper"] <= MAX_TAUGHT_UPPER * letters
+    )
+
+
 def counts_by_language(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     chars: dict[str, np.ndarray] = {}
     words: dict[str, Counter] = {}
@@ -101,7 +118,10 @@ def counts_by_language(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordB
     for batch in slices(batches):
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             found = plain_words(text)
-            chars[lang] = chars.get(lang, 0) + class_counts(text)
+            kinds = class_counts(text)
+            if not teaches(found, kinds):
+                continue
+            chars[lang] = chars.get(lang, 0) + kinds
             totals[lang] += len(found)
             words.setdefault(lang, Counter()).update([w for w in found if len(w) <= COMMON_LENGTH])
         if sum(map(len, words.values())) > HELD_WORDS:
@@ -199,7 +219,8 @@ def measures(text: str | None, known: list[dict]) -> dict:
             if best is None or d < best[0]:
                 best = (d, r["lang"])
         row["word_distance"], row["nearest_lang"] = best
-    far = (row["char_distance"] or 0) > MAX_CHAR_DISTANCE or (row["word_distance"] or 0) > MAX_WORD_DISTANCE
+    both = None not in (row["char_distance"], row["word_distance"])
+    far = both and row["char_distance"] + row["word_distance"] - 2 / math.sqrt(len(words)) > MAX_EXCESS
     row["kept"] = not failed and not far
     return row
 

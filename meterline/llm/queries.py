@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meterline.llm.common import table
 from meterline.llm.decontaminate import op5_benchmark_decontamination
+from meterline.llm.language import op4_language_id
 from meterline.llm.quality import op3_quality_rules
 from meterline.llm.secrets import op2_secret_scan
 from meterline.llm.sentencepiece import op8_sentencepiece
 from meterline.llm.simhash import op7_simhash_near_dedup
+from meterline.llm.toxicity import op6_toxicity
 
 
 def on_documents(operator: Callable[..., DataFrame], *others: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -32,7 +34,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": on_documents(op2_secret_scan),
     "op3_quality_rules": on_documents(op3_quality_rules),
+    "op4_language_id": on_documents(op4_language_id),
     "op5_benchmark_decontamination": on_documents(op5_benchmark_decontamination, "benchmark"),
+    "op6_toxicity": on_documents(op6_toxicity, "labels"),
     "op7_simhash_near_dedup": on_documents(op7_simhash_near_dedup),
     "op8_sentencepiece": on_documents(op8_sentencepiece),
     "pipeline": pipeline,
