@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meterline.llm.common import table
 from meterline.llm.decontaminate import op5_benchmark_decontamination
+from meterline.llm.extract import op10_html_extraction
 from meterline.llm.language import op4_language_id
+from meterline.llm.licenses import op1_license_scan
 from meterline.llm.quality import op3_quality_rules
 from meterline.llm.secrets import op2_secret_scan
 from meterline.llm.sentencepiece import op8_sentencepiece
@@ -25,6 +27,10 @@ def on_documents(operator: Callable[..., DataFrame], *others: str) -> Callable[[
     return query
 
 
+def on_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_html_extraction(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -32,6 +38,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": on_documents(op1_license_scan),
     "op2_secret_scan": on_documents(op2_secret_scan),
     "op3_quality_rules": on_documents(op3_quality_rules),
     "op4_language_id": on_documents(op4_language_id),
@@ -39,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": on_documents(op6_toxicity, "labels"),
     "op7_simhash_near_dedup": on_documents(op7_simhash_near_dedup),
     "op8_sentencepiece": on_documents(op8_sentencepiece),
+    "op10_html_extraction": on_pages,
     "pipeline": pipeline,
 }
 
