@@ -180,7 +180,11 @@ class Extractor:
     def extract(self, page: str | None) -> str:
         parts = pieces(page or "")
         furniture = self.marked(parts)
-        i, j = self.region(parts, furniture)
+        return self.text_in(parts, furniture, *self.region(parts, furniture))
+
+    @staticmethod
+    def text_in(parts: list[Piece], furniture: list[bool], i: int, j: int) -> str:
+        """Text of the region without furniture."""
         kept = (
             Piece("tag", "", 0, p.keys, p.starts_block) if f and p.kind == "text" else p
             for p, f in zip(parts[i:j], furniture[i:j], strict=True)
@@ -230,7 +234,8 @@ def fit_extractor(pages: DataFrame, html: str = "html", page_id: str = "page_id"
         pages.where(F.col(html).isNotNull())
         .where(F.pmod(F.xxhash64(ids), F.lit(1_000_000)) < int(share * 1_000_000))
         .select(F.col(html).alias("html"))
-        .limit(sample_pages),
+        .limit(sample_pages)
+        .repartition(8),
         "labelled-pages",
     )
     counts = (
@@ -247,17 +252,18 @@ def fit_extractor(pages: DataFrame, html: str = "html", page_id: str = "page_id"
 
     def rate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = dict.fromkeys(SCALES, 0.0)
+        makers = {scale: Extractor(odds, scale) for scale in SCALES}
         for batch in slices(batches):
             for page in batch.column("html").to_pylist():
                 parts = pieces(page)
                 bounds = own_label(parts)
                 if not bounds:
                     continue
-                for scale in SCALES:
-                    maker = Extractor(odds, scale)
-                    marked = maker.marked(parts)
-                    wanted = text_of(p for p, f in zip(parts[slice(*bounds)], marked[slice(*bounds)], strict=True) if not f)
-                    sums[scale] += overlap(maker.extract(page), wanted)
+                marked = makers[SCALES[0]].marked(parts)
+                wanted = makers[SCALES[0]].text_in(parts, marked, *bounds)
+                for scale, maker in makers.items():
+                    got = maker.text_in(parts, marked, *maker.region(parts, marked))
+                    sums[scale] += 1.0 if got == wanted else overlap(got, wanted)
         yield pa.RecordBatch.from_pydict({"scale": list(sums), "f1": list(sums.values())})
 
     rated = sample.mapInArrow(rate, "scale double, f1 double").groupBy("scale").agg(F.sum("f1").alias("f1")).collect()

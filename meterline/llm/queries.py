@@ -11,6 +11,7 @@ from meterline.llm.decontaminate import op5_benchmark_decontamination
 from meterline.llm.extract import op10_html_extraction
 from meterline.llm.language import op4_language_id
 from meterline.llm.licenses import op1_license_scan
+from meterline.llm.lm import op9_lm_scoring
 from meterline.llm.quality import op3_quality_rules
 from meterline.llm.secrets import op2_secret_scan
 from meterline.llm.sentencepiece import op8_sentencepiece
@@ -46,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": on_documents(op6_toxicity, "labels"),
     "op7_simhash_near_dedup": on_documents(op7_simhash_near_dedup),
     "op8_sentencepiece": on_documents(op8_sentencepiece),
+    "op9_lm_scoring": on_documents(op9_lm_scoring),
     "op10_html_extraction": on_pages,
     "pipeline": pipeline,
 }
