@@ -42,10 +42,10 @@ BITS_PER_ENTRY = 10
 MAX_FILTER_BYTES = 64 << 20
 HEAD_SHARE = 2e-6
 #: Documents per shard of the counts, which bounds a shard's memory.
-SHARD_DOCS = 5_000
+SHARD_DOCS = 2_500
 #: Tokens that a task counts before it hands on its counts.
-HELD_TOKENS = 2_000_000
-MEMO = 300_000
+HELD_TOKENS = 1_000_000
+MEMO = 200_000
 #: Training rows on which interpolation weights are fitted.
 SAMPLE_ROWS = 1_000
 
@@ -96,12 +96,18 @@ class Hashes(dict):
         return h
 
 
-def probe_bits(keys: np.ndarray, level: int | np.ndarray, k: int, bits: np.ndarray) -> np.ndarray:
-    """Bit of the k-th hash of (key, level) in a segment of so many bits."""
+def probes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and step of the hashes of (key, level)."""
     with np.errstate(over="ignore"):
-        a = mix(keys + np.asarray(level, np.uint64) * K3)
-        b = mix(a ^ K1) | np.uint64(1)
-        return ((a + np.uint64(k) * b) % bits.astype(np.uint64)).astype(np.int64)
+        a = mix(keys + np.uint64(level) * K3)
+        return a, (a * K1) | np.uint64(1)
+
+
+def bit_of(a: np.ndarray, b: np.ndarray, k: int, bits: np.ndarray | np.uint64) -> np.ndarray:
+    """Bit of the k-th hash in a segment of so many bits (under 2^32): the hash's upper half,
+    scaled to the segment."""
+    with np.errstate(over="ignore"):
+        return ((((a + np.uint64(k) * b) >> np.uint64(32)) * bits) >> np.uint64(32)).astype(np.int64)
 
 
 def segment(keys: np.ndarray, counts: np.ndarray, most_bytes: int) -> tuple[np.ndarray, int]:
@@ -117,9 +123,9 @@ def segment(keys: np.ndarray, counts: np.ndarray, most_bytes: int) -> tuple[np.n
     size = max(8, -(-entries * BITS_PER_ENTRY // 8))
     bits = np.zeros(size * 8, np.uint8)
     for q in range(1, int(levels.max(initial=0)) + 1):
-        some = keys[levels >= q]
+        a, b = probes(keys[levels >= q], q)
         for k in range(HASHES):
-            bits[probe_bits(some, q, k, np.full(len(some), size * 8))] = 1
+            bits[bit_of(a, b, k, np.uint64(size * 8))] = 1
     return np.packbits(bits, bitorder="little"), cutoff
 
 
@@ -135,12 +141,14 @@ class LogFrequencyFilter:
         if not len(self.sizes):
             return out
         shard = (keys % np.uint64(len(self.sizes))).astype(np.int64)
-        first, bits = self.starts[shard] * 8, self.sizes[shard] * 8
+        first, bits = self.starts[shard] * 8, self.sizes[shard].astype(np.uint64) * np.uint64(8)
         active = np.arange(len(keys))
         for q in range(1, LEVELS + 1):
+            a, b = probes(keys, q)
             for k in range(HASHES):
-                at = first[active] + probe_bits(keys[active], q, k, bits[active])
-                active = active[(self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+                at = first + bit_of(a, b, k, bits)
+                hit = np.flatnonzero((self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+                keys, first, bits, active, a, b = (x[hit] for x in (keys, first, bits, active, a, b))
             if not len(active):
                 break
             out[active] = q
@@ -256,37 +264,42 @@ class Model:
 
 
 class Lookup:
-    """Filter counts of words and pairs; words are remembered."""
+    """Filter counts of words and pairs. A word's hash, level and exact logarithm (NaN unless it
+    is one of the head) are remembered in slots."""
 
-    def __init__(self, filter: LogFrequencyFilter):
-        self.filter = filter
+    def __init__(self, filter: LogFrequencyFilter, logs: dict[bytes, float] | None = None):
+        self.filter, self.logs = filter, logs or {}
         self.counts = level_counts()
-        self.memo: dict[bytes, tuple[int, int]] = {}
+        self.forget()
 
-    def words(self, texts: list[list[bytes]]) -> None:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        fresh = list({w for t in texts for w in t if w not in self.memo})
+    def forget(self) -> None:
+        self.slots: dict[bytes, int] = {}
+        self.h, self.q, self.log = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
+
+    def slots_of(self, words: list[bytes]) -> np.ndarray:
+        if len(self.slots) > MEMO:
+            self.forget()
+        slots = self.slots
+        fresh = [w for w in set(words) if w not in slots]
         if fresh:
+            slots.update(zip(fresh, range(len(slots), len(slots) + len(fresh)), strict=True))
             h = np.fromiter(map(xxhash.xxh64_intdigest, fresh), np.uint64, len(fresh))
-            levels = self.filter.levels(word_keys(h)).tolist()
-            self.memo.update(zip(fresh, zip(h.tolist(), levels, strict=True), strict=True))
+            self.h = np.concatenate([self.h, h])
+            self.q = np.concatenate([self.q, self.filter.levels(word_keys(h))])
+            self.log = np.concatenate([self.log, [self.logs.get(w, math.nan) for w in fresh]])
+        return np.fromiter(map(slots.__getitem__, words), np.int64, len(words))
 
     def read(self, texts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
-        """Levels of context, of the pair, and of the word, for all tokens of all texts."""
-        texts = [[START, *t] for t in texts]
-        self.words(texts)
-        found = [self.memo[w] for t in texts for w in t]
-        h = np.array([f[0] for f in found], np.uint64)
-        q = np.array([f[1] for f in found], np.int64)
-        ends = np.cumsum([len(t) for t in texts])
-        is_start = np.zeros(len(h), bool)
-        is_start[np.concatenate([[0], ends[:-1]]).astype(int)] = True
+        """For all tokens of all texts: levels of context, pair and word, and the exact logarithm."""
+        words = [w for t in texts for w in (START, *t)]
+        slot = self.slots_of(words)
+        h, q = self.h[slot], self.q[slot]
+        is_start = slot == self.slots.get(START, -1)
         at = np.flatnonzero(~is_start)
         pair = self.filter.levels(pair_keys(h[at - 1], h[at]))
         # The start token itself isn't counted; as many texts start as end.
         q[is_start] = self.filter.levels(word_keys(np.array([xxhash.xxh64_intdigest(END)], np.uint64)))[0]
-        return q[at - 1], pair, q[at]
+        return q[at - 1], pair, q[at], self.log[slot[at]]
 
 
 def pair_share(counts: np.ndarray, context: np.ndarray, pair: np.ndarray, off: float = 0.0) -> np.ndarray:
@@ -301,7 +314,7 @@ def fit_weights(texts: list[list[bytes]], filter: LogFrequencyFilter, denominato
     if not texts:
         return weights
     look = Lookup(filter)
-    context, pair, word = look.read(texts)
+    context, pair, word, _ = look.read(texts)
     near = pair_share(look.counts, context, pair, 1.0)
     alone = (np.maximum(look.counts[word] - 1.0, 0.0) + 0.5) / denominator
     for _ in range(20):
@@ -354,21 +367,24 @@ def score_text(docs: DataFrame, model: Model) -> DataFrame:
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter, head, weights = sent.value
         logs = {w: math.log10(n + 0.5) for w, n in head.items()}
-        look = Lookup(filter)
+        look = Lookup(filter, logs)
         for batch in slices(batches):
             texts = [[*words_of(t), END] for t in batch.column("bytes").to_pylist()]
-            context, pair, word = look.read(texts)
+            context, pair, word, log = look.read(texts)
             l = weights[context]
             p = l * pair_share(look.counts, context, pair) + (1 - l) * (look.counts[word] + 0.5) / denominator
             ends = np.cumsum([len(t) for t in texts])
-            scores = np.add.reduceat(np.log10(p), np.concatenate([[0], ends[:-1]]))
-            known, base, rare = [], [], []
-            for t in texts:
-                found = [logs.get(w) for w in t]
-                rest = [w for w, x in zip(t, found, strict=True) if x is None]
-                rare.append(rest)
-                known.append(len(t) - len(rest))
-                base.append(math.fsum(x for x in found if x is not None))
+            starts = ends - [len(t) for t in texts]
+            scores = np.add.reduceat(np.log10(p), starts)
+            is_rare = np.isnan(log)
+            base = np.add.reduceat(np.where(is_rare, 0.0, log), starts)
+            tokens = [w for t in texts for w in t]
+            at = np.flatnonzero(is_rare)
+            cuts = np.searchsorted(at, np.append(starts, ends[-1]))
+            rare = pa.ListArray.from_arrays(
+                pa.array(cuts, pa.int32()), pa.array([tokens[k] for k in at.tolist()], pa.binary())
+            )
+            known = ends - starts - np.diff(cuts)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -377,7 +393,7 @@ def score_text(docs: DataFrame, model: Model) -> DataFrame:
                     pa.array(known, pa.int64()),
                     pa.array(base, pa.float64()),
                     pa.array(scores, pa.float64()),
-                    pa.array(rare, pa.list_(pa.binary())),
+                    rare,
                 ],
                 ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"],
             )
