@@ -35,9 +35,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from meterline.llm.common import crc_of, slices, written
 
-BASE = 1.5
-LEVELS = 64
-HASHES = 5
+BASE = 2.0
+LEVELS = 48
+HASHES = 3
 BITS_PER_ENTRY = 10
 MAX_FILTER_BYTES = 64 << 20
 HEAD_SHARE = 2e-6
@@ -296,7 +296,9 @@ class Lookup:
         h, q = self.h[slot], self.q[slot]
         is_start = slot == self.slots.get(START, -1)
         at = np.flatnonzero(~is_start)
-        pair = self.filter.levels(pair_keys(h[at - 1], h[at]))
+        # Frequent pairs, which take the most probes, are asked for once.
+        keys, back = np.unique(pair_keys(h[at - 1], h[at]), return_inverse=True)
+        pair = self.filter.levels(keys)[back]
         # The start token itself isn't counted; as many texts start as end.
         q[is_start] = self.filter.levels(word_keys(np.array([xxhash.xxh64_intdigest(END)], np.uint64)))[0]
         return q[at - 1], pair, q[at], self.log[slot[at]]
