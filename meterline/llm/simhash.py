@@ -103,7 +103,8 @@ def forest(prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         frontier, left = left[:1], left[1:]
         while len(frontier) and len(left):
             node, frontier = frontier[0], frontier[1:]
-            near = np.bitwise_count(left ^ node) <= RADIUS
+            # Unsigned: the count of a negative number is that of its absolute value.
+            near = np.bitwise_count((left ^ node).view(np.uint64)) <= RADIUS
             if near.any():
                 hit = left[near]
                 yield np.full(len(hit), node), hit
