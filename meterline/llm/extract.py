@@ -1,8 +1,8 @@
 """Main text of web pages by maximum-scoring subsequence.
 
 A page is a sequence of words and tags. A word scores plus one, a tag minus the penalty of its
-name and classes; elements that are furniture (navigation, adverts, forms, comments, ...) score
-negative as a whole. One linear scan finds the contiguous region with the largest sum; inside
+name and classes; words of furniture (navigation, adverts, forms, comments, ...) score slightly
+below zero. One linear scan finds the contiguous region with the largest sum; inside
 it furniture is left out. Penalties come from labelled pages: a page with one `article` or
 `main` element says itself where its text is. The log-odds of a tag's features outside and
 inside of those elements, times a scale fitted on the same pages, are the penalties. Learning
@@ -34,8 +34,8 @@ from meterline.llm.common import appended, slices, written
 
 SAMPLE_PAGES = 2_000
 SCALES = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
-#: Score of a word in furniture.
-FURNITURE = -4.0
+#: Score of a word in furniture: it is left out of the text, but doesn't part what is around it.
+FURNITURE = -0.1
 
 # Elements without text of their own, blocks, and names of page furniture.
 SILENT = "script style noscript template svg math iframe object canvas audio video select option textarea button head title".split()
