@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 from typing import Any
 
@@ -30,13 +31,14 @@ DEFAULT_PARAMS: dict[str, dict[str, Any]] = {
     },
 }
 
-# Parameters without a counterpart in Spark, accepted and left out.
-IGNORED = {"n_jobs", "min_samples_split", "solver", "selection", "bootstrap"}
+# Parameters without a counterpart in Spark: accepted, left out, and reported.
+IGNORED = {"n_jobs", "min_samples_split", "solver", "selection"}
 _TREE_NAMES = {
     "max_depth": "maxDepth",
     "min_samples_leaf": "minInstancesPerNode",
     "subsample": "subsamplingRate",
     "random_state": "seed",
+    "bootstrap": "bootstrap",
 }
 
 
@@ -52,8 +54,10 @@ def get_model(
     deviation and the row count, and one small aggregate undoes that.
     """
     if name not in MODELS:
-        raise ValueError(f"Unknown model: {name}. Available: {list(MODELS)}")
-    given = dict(DEFAULT_PARAMS[name] if params is None else params)
+        raise ValueError(f"no regressor is named {name!r}; there are {', '.join(MODELS)}")
+    given = {**DEFAULT_PARAMS[name], **(params or {})}
+    if left_out := sorted(IGNORED & given.keys()):
+        warnings.warn(f"{name}: Spark has no counterpart of {left_out}", stacklevel=2)
     given = {k: v for k, v in given.items() if k not in IGNORED}
     if name in LINEAR:
         return _linear(name, given, train, label)

@@ -144,7 +144,7 @@ def draw_params(name: str, rng: random.Random) -> dict[str, Any]:
         return {"alpha": _log_uniform(rng, 0.001, 100.0)}
     if name == "linear_regression":
         return {}
-    raise ValueError(f"Hyperparameter tuning not implemented for: {name}")
+    raise ValueError(f"there is no search space for {name!r}")
 
 
 def draw_trials(name: str, n: int, seed: int = S.SAMPLE_SEED) -> list[dict[str, Any]]:

@@ -23,10 +23,13 @@ def add_errors(df: DataFrame, label: str = S.TARGET, prediction: str = "predicte
 def metric_exprs(label: Column, prediction: Column) -> dict[str, Column]:
     """Aggregates behind every metric; all are one-pass and merge partially.
 
-    A zero label has no percentage error and is left out of ``mape``.
+    A zero label has no percentage error and is left out of ``mape``; rows without
+    a label or a prediction are left out of everything.
     """
     label, prediction = label.cast("double"), prediction.cast("double")
     error = label - prediction
+    # A row without a prediction takes no part in any term.
+    label = F.when(error.isNotNull(), label)
     sse, n = F.sum(error * error), F.count(error)
     return {
         "rmse": F.sqrt(N.ratio(sse, n)),

@@ -17,7 +17,6 @@ from meterline.operators.cleaning import select_available
 from meterline.operators.profile import moments
 
 # Samples up to this size fit a top-k comfortably.
-TOP_K_SAMPLE = 20_000
 
 
 def hex_bucket(hex_text: Column, digits: int, buckets: int) -> Column:
@@ -37,10 +36,9 @@ def sample_n(
     key hash.
 
     A count per hash cell (65,536 cells) finds the cell where the n-th row
-    lies, with one small job. A small sample is then a top-k over the rows up
-    to that cell, a little more than n. For a large one the rows of earlier
-    cells are taken as they stand, wherever they are, and only the rest comes
-    from a top-k over that one cell: no task ever gathers the sample.
+    lies, with one small job. Rows of earlier cells are taken as they stand,
+    wherever they are, and only the rest comes from a top-k over that one cell:
+    no task ever gathers the sample.
     """
     order = sample_hash(key, seed)
     cell = F.conv(F.substring(order, 1, 4), 16, 10).cast("int")
@@ -59,8 +57,6 @@ def sample_n(
     def least(rows: DataFrame, k: int) -> DataFrame:
         return rows.withColumn("_h", order).orderBy("_h", key).limit(k).drop("_h")
 
-    if n <= TOP_K_SAMPLE:
-        return least(df.where(cell <= edge["cell"]), n)
     rest = least(df.where(cell == edge["cell"]), n - edge["before"])
     return df.where(cell < edge["cell"]).unionByName(rest)
 

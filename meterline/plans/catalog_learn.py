@@ -250,6 +250,20 @@ def _(spark, d):
     return spark.read.parquet(f"{base}/log").select("event_id", "prediction", "hour_sin")
 
 
+@query(
+    "r1b_stream_rejects",
+    """SELECT event_id, round(trip_distance, 6) AS trip_distance, 'trip_distance' AS failed_rules FROM log
+    WHERE NOT trip_distance BETWEEN 0.1 AND 100""",
+)
+def _(spark, d):
+    base = ST.new_path(spark, "stream-rejects")
+    job = J.stream_rejects(_event_stream(spark, d), f"{base}/rejects", f"{base}/state")
+    job.awaitTermination()
+    return spark.read.parquet(f"{base}/rejects").select(
+        "event_id", "trip_distance", F.array_join("failed_rules", ",").alias("failed_rules")
+    )
+
+
 @query(
     "r2_stream_drift_tail",
     _report_sql()

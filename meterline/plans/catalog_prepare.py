@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from itertools import product
 
 from pyspark.sql import functions as F
 
@@ -35,18 +38,36 @@ def _(spark, d):
 
 @query(
     "s3_select_months",
-    """SELECT month(o_orderdate)::INT AS m, count(*) AS orders, round(avg(o_totalprice), 6) AS mean_price
-    FROM orders WHERE year(o_orderdate) = 1998 AND month(o_orderdate) IN (2, 5) GROUP BY 1""",
+    """SELECT year(o_orderdate)::INT AS y, month(o_orderdate)::INT AS m, count(*) AS orders,
+      round(avg(o_totalprice), 6) AS mean_price, sum(o_custkey)::DOUBLE AS custkeys,
+      sum(CASE WHEN month(o_orderdate) % 2 = 0 THEN 1.5 END)::DOUBLE AS fees
+    FROM orders WHERE month(o_orderdate) <> 7 GROUP BY 1, 2""",
 )
 def _(spark, d):
-    # The orders of one year as monthly files, of which two months are read.
+    # All orders as monthly files: even months have a column more, and another type of key.
+    # Every month but July is asked for.
     folder = ST.new_path(spark, "months")
-    orders = V.table(spark, d, "orders").where(F.year("o_orderdate") == 1998)
-    for path, m in zip(RD.month_paths(folder, 1998, (2, 4, 5)), (2, 4, 5)):
-        orders.where(F.month("o_orderdate") == m).write.parquet(path)
-    months = RD.select_months(spark, folder, 1998, (2, 3, 5))
-    return months.groupBy(F.month("o_orderdate").alias("m")).agg(
-        F.count(F.lit(1)).alias("orders"), F.avg("o_totalprice").alias("mean_price")
+    orders = V.table(spark, d, "orders")
+    month = F.month("o_orderdate")
+    years = [r[0] for r in orders.select(F.year("o_orderdate")).distinct().collect()]
+    even = orders.withColumns({"fee": F.lit(1.5), "o_custkey": F.col("o_custkey").cast("double")})
+
+    def put(at: tuple[int, int]) -> None:
+        year, m = at
+        source = orders if m % 2 else even
+        rows = source.where((F.year("o_orderdate") == year) & (month == m))
+        rows.write.parquet(RD.month_paths(folder, year, [m])[0])
+
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(put, product(years, range(1, 13))))
+    some = [m for m in range(1, 13) if m != 7]
+    frames = [RD.select_months(spark, folder, y, some) for y in years]
+    months = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return months.groupBy(F.year("o_orderdate").alias("y"), month.alias("m")).agg(
+        F.count(F.lit(1)).alias("orders"),
+        F.avg("o_totalprice").alias("mean_price"),
+        F.sum(F.col("o_custkey").cast("double")).alias("custkeys"),
+        F.sum("fee").alias("fees"),
     )
 
 

@@ -430,6 +430,16 @@ def _(spark, d):
     return EV.regression_metrics_basic(_test(spark, d))
 
 
+@query(
+    "a18b_metrics_unscored",
+    f"SELECT {metrics_sql()} FROM (SELECT * FROM test WHERE payment_type <> 2)",
+)
+def _(spark, d):
+    # Rows without a prediction take no part.
+    scored = F.when(F.col("payment_type") != 2, F.col("predicted"))
+    return EV.regression_metrics(_test(spark, d).withColumn("predicted", scored))
+
+
 @query("a19_metrics_by_split", f"SELECT split, {metrics_sql()} FROM scored GROUP BY 1")
 def _(spark, d):
     return EV.metrics_by_split(V.scored_trips(spark, d))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from meterline import schemas as S
@@ -31,22 +33,78 @@ def scan_parquet(
     return df.select(*columns) if columns else df
 
 
+def _schema_of(spark: SparkSession, path: str) -> T.StructType | None:
+    """Schema of a file or folder; None if there is none."""
+    try:
+        return spark.read.parquet(path).schema
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def _wider(a: T.DataType, b: T.DataType) -> T.DataType:
+    """A type that holds both: the wider number, else text."""
+    if a == b:
+        return a
+    if isinstance(a, T.NullType) or isinstance(b, T.NullType):
+        return b if isinstance(a, T.NullType) else a
+    whole = [T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()]
+    order = [*whole, T.FloatType(), T.DoubleType()]
+    if a in order and b in order:
+        top = max(a, b, key=order.index)
+        # A float holds no 32-bit integer exactly.
+        return T.DoubleType() if top == T.FloatType() and T.FloatType() in (a, b) else top
+    if isinstance(a, (T.TimestampType, T.TimestampNTZType)) and isinstance(
+        b, (T.TimestampType, T.TimestampNTZType)
+    ):
+        return T.TimestampNTZType()
+    return T.StringType()
+
+
 def scan_many(
-    spark: SparkSession, paths: Iterable[str], columns: Sequence[str] | None = None
+    spark: SparkSession,
+    paths: Iterable[str],
+    columns: Sequence[str] | None = None,
+    schema: T.StructType | None = None,
 ) -> DataFrame:
     """Row concatenation of files; a column a file lacks becomes null there.
 
-    Files that share one schema become a single scan.
+    Absent files are skipped, and if none is left the table is empty with the
+    given schema. Files that share a schema are one scan; a column whose type
+    differs between files gets one that holds all of them. NaN becomes null.
     """
     paths = list(paths)
-    if not paths:
+    if not paths and schema is None:
         raise ValueError("no files to read")
-    frames = [spark.read.parquet(p) for p in paths]
-    if all(f.schema == frames[0].schema for f in frames):
-        df = spark.read.schema(frames[0].schema).parquet(*paths)
-    else:
-        df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    return df.select(*columns) if columns else df
+    with ThreadPoolExecutor(16) as pool:
+        found = list(pool.map(lambda p: _schema_of(spark, p), paths))
+    groups: dict[str, tuple[T.StructType, list[str]]] = {}
+    for path, own in zip(paths, found, strict=True):
+        if own is not None:
+            groups.setdefault(own.json(), (own, []))[1].append(path)
+    if not groups:
+        if schema is None:
+            raise ValueError(f"none of {len(paths)} files exists")
+        df = spark.createDataFrame([], schema)
+        return df.select(*columns) if columns else df
+    types: dict[str, T.DataType] = {}
+    for own, _ in groups.values():
+        for f in own.fields:
+            types[f.name] = _wider(types[f.name], f.dataType) if f.name in types else f.dataType
+    frames = [
+        spark.read.schema(own)
+        .parquet(*some)
+        .select(
+            *[
+                F.col(f.name) if f.dataType == types[f.name] else F.col(f.name).cast(types[f.name]).alias(f.name)
+                for f in own.fields
+            ]
+        )
+        for own, some in groups.values()
+    ]
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return nan_to_null(df.select(*columns) if columns else df)
 
 
 def month_paths(folder: str, year: int, months: Iterable[int]) -> list[str]:
@@ -61,10 +119,11 @@ def select_months(
     months: Iterable[int],
     columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Read only the named months; months without a file are skipped."""
-    stamps = ",".join(f"{year}-{m:02d}" for m in months)
-    df = spark.read.parquet(f"{folder.rstrip('/')}/yellow_tripdata_{{{stamps}}}.parquet")
-    return df.select(*columns) if columns else df
+    """Read only the named months, with all columns that any of them has.
+
+    Months without a file are skipped; without any the table is empty.
+    """
+    return scan_many(spark, month_paths(folder, year, months), columns, S.RAW_TRIP_SCHEMA)
 
 
 def scan_zones(spark: SparkSession, path: str) -> DataFrame:

@@ -1,31 +1,23 @@
 """Shared working folder: staged tables and checkpoints.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-local session may fall back to a temporary folder of the machine.
+The folder is the one the cluster names in ``spark.checkpoint.dir``, or lies in
+the warehouse, which is shared as well, where that is unset.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-_local_dirs: dict[str, str] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
         return configured.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-    app = sc.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="meterline-")
-    return _local_dirs[app]
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -35,7 +27,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def use_checkpoints(spark: SparkSession) -> None:
     """Point reliable checkpoints at the shared folder unless already set."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(work_dir(spark))
 
 

@@ -31,6 +31,24 @@ def score_requests(
     )
 
 
+def rejected_requests(requests: DataFrame) -> DataFrame:
+    """The invalid requests, whole, with their ``failed_rules``."""
+    return validate_trips(requests).where("not valid").drop("valid")
+
+
+def stream_rejects(requests: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
+    """Append the requests that `stream_score` does not score to a table of
+    their own, exactly once, until the input is drained."""
+    return (
+        rejected_requests(requests)
+        .writeStream.format("parquet")
+        .outputMode("append")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start(output)
+    )
+
+
 def stream_score(
     requests: DataFrame,
     coefficients: Mapping[str, float],
@@ -40,7 +58,7 @@ def stream_score(
     keep: Sequence[str] = ("event_id", "ts"),
 ) -> StreamingQuery:
     """Append scored rows to a log table, exactly once, until the input is
-    drained."""
+    drained. Invalid requests are for `stream_rejects`."""
     return (
         score_requests(requests, coefficients, intercept, keep)
         .writeStream.format("parquet")

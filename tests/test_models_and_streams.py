@@ -11,7 +11,7 @@ from meterline.streaming import jobs as J
 
 
 def test_unknown_model():
-    with pytest.raises(ValueError, match="Unknown model"):
+    with pytest.raises(ValueError, match="no regressor"):
         get_model("oracle")
 
 
