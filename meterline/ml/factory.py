@@ -7,7 +7,14 @@ from collections.abc import Mapping
 from typing import Any
 
 from pyspark.ml import Estimator
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import (
+    GBTRegressionModel,
+    GBTRegressor,
+    LinearRegression,
+    LinearRegressionModel,
+    RandomForestRegressionModel,
+    RandomForestRegressor,
+)
 from pyspark.sql import DataFrame, functions as F
 
 from meterline import schemas as S
@@ -16,6 +23,11 @@ FEATURES = "features_vector"
 LINEAR = ("linear_regression", "ridge", "lasso")
 TREES = ("random_forest", "gradient_boosting")
 MODELS = LINEAR + TREES
+#: What a fitted model is loaded as.
+FITTED = dict.fromkeys(LINEAR, LinearRegressionModel) | {
+    "random_forest": RandomForestRegressionModel,
+    "gradient_boosting": GBTRegressionModel,
+}
 
 # Fixed values.
 DEFAULT_PARAMS: dict[str, dict[str, Any]] = {

@@ -5,12 +5,14 @@ Every table here has its label, features and ``split`` in one row.
 
 from __future__ import annotations
 
+import json
 import logging
 import math
 import random
 from collections.abc import Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 from typing import Any
 
@@ -20,7 +22,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meterline import schemas as S
-from meterline.ml.factory import FEATURES, MODELS, get_model
+from meterline.ml.factory import FEATURES, FITTED, MODELS, get_model
 from meterline.operators.evaluation import BASIC, metrics
 from meterline.operators.ranking import leaderboard
 from meterline.sources.staging import use_checkpoints
@@ -37,9 +39,12 @@ class Trained:
     features: list[str]
 
 
-def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """The feature vector is built last, next to the named columns."""
-    return VectorAssembler(inputCols=list(features), outputCol=FEATURES).transform(df)
+def assemble(df: DataFrame, features: Sequence[str], invalid: str = "error") -> DataFrame:
+    """The feature vector is built last, next to the named columns. ``invalid``: what
+    a missing feature does (``error``, ``skip`` or ``keep``)."""
+    return VectorAssembler(
+        inputCols=list(features), outputCol=FEATURES, handleInvalid=invalid
+    ).transform(df)
 
 
 @contextmanager
@@ -93,9 +98,10 @@ def train_all_models(
     label: str = S.TARGET,
     params: Mapping[str, Mapping[str, Any]] | None = None,
 ) -> tuple[DataFrame, dict[str, Trained]]:
-    """Validation leaderboard by rmse and the fitted models; a model that
-    fails is logged and left out."""
+    """Validation leaderboard by rmse and the fitted models. A model that fails
+    is the board's last row, with the message in ``error`` and no metrics."""
     fitted: dict[str, Trained] = {}
+    failed: list[tuple[str, str]] = []
     board = None
     with training_rows(df, features, label) as rows:
         for name in models:
@@ -105,13 +111,34 @@ def train_all_models(
                 result = _frozen(split_metrics(model, rows, label))
             except Exception as e:  # noqa: BLE001 - one failure must not end the comparison
                 log.error("failed to train %s: %s", name, e)
+                failed.append((name, f"{type(e).__name__}: {e}"))
                 continue
             fitted[name] = Trained(name, dict(chosen or {}), model, result, list(features))
             val = result.where(F.col("split") == "val").select(F.lit(name).alias("model"), *BASIC)
             board = val if board is None else board.unionByName(val)
     if board is None:
         raise ValueError("no model could be trained")
-    return leaderboard(board), fitted
+    lost = df.sparkSession.createDataFrame(failed, "model string, error string")
+    board = board.withColumn("error", F.lit(None).cast("string"))
+    return leaderboard(board.unionByName(lost, allowMissingColumns=True)), fitted
+
+
+def save_trained(trained: Trained, path: str) -> None:
+    """The fitted model with its name, parameters, feature list and metrics."""
+    about = {"name": trained.name, "params": trained.params, "features": trained.features}
+    spark = trained.metrics.sparkSession
+    trained.model.write().overwrite().save(f"{path}/model")
+    trained.metrics.write.mode("overwrite").parquet(f"{path}/metrics")
+    spark.createDataFrame([(json.dumps(about),)], "value string").write.mode("overwrite").text(
+        f"{path}/about"
+    )
+
+
+def load_trained(spark: SparkSession, path: str) -> Trained:
+    about = json.loads(spark.read.text(f"{path}/about").first()[0])
+    model = FITTED[about["name"]].load(f"{path}/model")
+    metrics_table = spark.read.parquet(f"{path}/metrics")
+    return Trained(about["name"], about["params"], model, metrics_table, about["features"])
 
 
 # --- tuning ------------------------------------------------------------------------
@@ -213,9 +240,16 @@ def batch_predict(
     features: Sequence[str] = S.ALL_FEATURES,
     output: str = "predicted_fare",
 ) -> DataFrame:
-    """All input columns and the prediction."""
-    scored = model.transform(assemble(df, features))
-    return scored.drop(FEATURES).withColumnRenamed("predicted", output)
+    """All input rows and columns and the prediction; it is null where a feature is
+    missing."""
+    scored = model.transform(assemble(df, features, "keep"))
+    known = reduce(
+        lambda a, b: a & b,
+        [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in features],
+    )
+    return scored.withColumn("predicted", F.when(known, F.col("predicted"))).drop(
+        FEATURES
+    ).withColumnRenamed("predicted", output)
 
 
 def feature_importance(

@@ -1,14 +1,25 @@
 """Scale-and-encode transformer as a pipeline stage.
 
 Fitting yields two tables, not driver objects: one row of mean and scale per
-numeric column, and the class dictionary. Both are saved as parquet.
+numeric column, and the class dictionary. Both are saved as parquet beside the
+parameters, so that a pipeline with this stage can be saved and loaded.
 """
 
 from __future__ import annotations
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.util import (
+    DefaultParamsReadable,
+    DefaultParamsReader,
+    DefaultParamsWritable,
+    DefaultParamsWriter,
+    MLReadable,
+    MLReader,
+    MLWritable,
+    MLWriter,
+)
+from pyspark.sql import DataFrame
 
 from meterline import schemas as S
 from meterline.operators import lookups as LK
@@ -25,6 +36,9 @@ class _TripParams(Params):
     scaleNumerical = Param(
         Params._dummy(), "scaleNumerical", "whether to scale", TypeConverters.toBoolean
     )
+    salts = Param(
+        Params._dummy(), "salts", "parts that a hot class is split into", TypeConverters.toInt
+    )
 
     def __init__(self) -> None:
         super().__init__()
@@ -32,6 +46,7 @@ class _TripParams(Params):
             numericalFeatures=list(S.TRANSFORMER_NUMERICAL),
             categoricalFeatures=list(S.TRANSFORMER_CATEGORICAL),
             scaleNumerical=True,
+            salts=1,
         )
 
     def _columns(self, df: DataFrame) -> tuple[list[str], list[str]]:
@@ -42,7 +57,7 @@ class _TripParams(Params):
         return [c for c in numeric if c in df.columns], [c for c in text if c in df.columns]
 
 
-class TripFeatureTransformer(Estimator, _TripParams):
+class TripFeatureTransformer(Estimator, _TripParams, DefaultParamsReadable, DefaultParamsWritable):
     def __init__(self, **params) -> None:
         super().__init__()
         self._set(**params)
@@ -55,7 +70,7 @@ class TripFeatureTransformer(Estimator, _TripParams):
         return self._copyValues(TripFeatureModel(scaler, classes))
 
 
-class TripFeatureModel(Model, _TripParams):
+class TripFeatureModel(Model, _TripParams, MLReadable, MLWritable):
     def __init__(self, scaler: DataFrame | None = None, classes: DataFrame | None = None) -> None:
         super().__init__()
         self.scaler, self.classes = scaler, classes
@@ -67,16 +82,38 @@ class TripFeatureModel(Model, _TripParams):
         if self.scaler is not None and numeric:
             out = LK.scaler_apply(out, self.scaler, numeric)
         if self.classes is not None and text:
-            out = LK.encode_lookup(out, self.classes, text)
+            out = LK.encode_lookup(out, self.classes, text, self.getOrDefault(self.salts))
         return out.select(*dataset.columns)
 
-    def save(self, path: str) -> None:
-        for name, table in (("scaler", self.scaler), ("classes", self.classes)):
-            if table is not None:
-                table.write.mode("overwrite").parquet(f"{path}/{name}")
+    def write(self) -> MLWriter:
+        return _ModelWriter(self)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, **params) -> "TripFeatureModel":
-        model = cls(spark.read.parquet(f"{path}/scaler"), spark.read.parquet(f"{path}/classes"))
-        model._set(**params)
+    def read(cls) -> MLReader:
+        return _ModelReader()
+
+
+class _ModelWriter(MLWriter):
+    def __init__(self, model: TripFeatureModel) -> None:
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        """The whole target is new: the caller refuses or clears one that exists."""
+        fitted = {"scaler": self.model.scaler, "classes": self.model.classes}
+        tables = {name: table for name, table in fitted.items() if table is not None}
+        DefaultParamsWriter.saveMetadata(
+            self.model, path, self.sparkSession, extraMetadata={"tables": sorted(tables)}
+        )
+        for name, table in tables.items():
+            table.write.parquet(f"{path}/{name}")
+
+
+class _ModelReader(MLReader):
+    def load(self, path: str) -> TripFeatureModel:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        tables = {t: self.sparkSession.read.parquet(f"{path}/{t}") for t in metadata["tables"]}
+        model = TripFeatureModel(**tables)
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
         return model

@@ -15,11 +15,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+#: Value ranges, at least; a session with more shuffle partitions has as many ranges.
 RANGES = 256
-_STRIDE = 16
+
+
+def default_ranges(df: DataFrame) -> int:
+    """The number of ranges follows the session; results don't depend on it."""
+    return max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def long_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -42,10 +48,12 @@ def with_ranges(
     counts: DataFrame,
     keys: Sequence[str],
     value: str = "value",
-    ranges: int = RANGES,
+    ranges: int | None = None,
     weights: Sequence[str] = ("n",),
 ) -> DataFrame:
     """Add ``_range``: the number of sampled cuts below the value."""
+    ranges = ranges or default_ranges(counts)
+    stride = max(2, isqrt(ranges))
     v = F.col(value)
     # Always true, but it keeps the weights in this branch, so that it reads
     # the same shuffle as the other one and the data are scanned once.
@@ -55,14 +63,14 @@ def with_ranges(
         .agg(F.min_by(v, F.xxhash64(v, F.lit(1))).alias("_cut"))
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list("_cut")).alias("_cuts"))
-        .withColumn("_coarse", F.filter("_cuts", lambda x, i: i % _STRIDE == _STRIDE - 1))
+        .withColumn("_coarse", F.filter("_cuts", lambda x, i: i % stride == stride - 1))
     )
     full = F.size(F.filter("_coarse", lambda x: x < v))
-    part = F.slice(F.col("_cuts"), full * _STRIDE + 1, F.lit(_STRIDE))
+    part = F.slice(F.col("_cuts"), full * stride + 1, F.lit(stride))
     # The sample has one row per group and at most `ranges` cuts in it.
     return (
         counts.join(F.broadcast(sample), list(keys))
-        .withColumn("_range", full * _STRIDE + F.size(F.filter(part, lambda x: x < v)))
+        .withColumn("_range", full * stride + F.size(F.filter(part, lambda x: x < v)))
         .drop("_cuts", "_coarse")
     )
 
@@ -92,7 +100,7 @@ def exact_quantiles(
     columns: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str] = (),
-    ranges: int = RANGES,
+    ranges: int | None = None,
     packed_by: Sequence[str] = (),
 ) -> DataFrame:
     """``by..., feature, n, q`` with linearly interpolated quantiles in ``q``.
@@ -224,7 +232,7 @@ def paired_counts(reference: DataFrame, current: DataFrame, columns: Sequence[st
 
 
 def ecdf(
-    reference: DataFrame, current: DataFrame, columns: Sequence[str], ranges: int = RANGES
+    reference: DataFrame, current: DataFrame, columns: Sequence[str], ranges: int | None = None
 ) -> DataFrame:
     """``feature, value, next_value, f_ref, f_cur``: both empirical CDFs at
     every value of the merged support.
@@ -268,7 +276,7 @@ def ecdf(
 
 
 def distances(
-    reference: DataFrame, current: DataFrame, columns: Sequence[str], ranges: int = RANGES
+    reference: DataFrame, current: DataFrame, columns: Sequence[str], ranges: int | None = None
 ) -> DataFrame:
     """``feature, wasserstein, ks``."""
     gap = F.abs(F.col("f_ref") - F.col("f_cur"))

@@ -22,7 +22,7 @@ def column_drift(
     columns: Sequence[str] = S.DRIFT_FEATURES,
     threshold: float = S.DRIFT_THRESHOLD,
     norm: str = "std",
-    ranges: int = DI.RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """``feature, distance, score, drifted`` of numeric columns.
 
@@ -216,15 +216,15 @@ def drift_report(
     log_rows: Column | None = None,
     min_rows: int = S.MIN_LOG_ROWS,
     prediction: str = "prediction",
-    ranges: int = 1,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Everything about the newest log rows as one table ``feature, metric,
     value``: drift scores and verdicts, dataset verdict, means, shared
     histograms in percent and mean fare.
 
     With fewer than ``min_rows`` rows the only row is the metric
-    ``too_few_rows``. ``tail`` is bounded (the last hundred rows); pass a
-    staged reference sample, or set ``ranges`` for a whole reference table.
+    ``too_few_rows``. ``tail`` is bounded (the last hundred rows), the reference
+    need not be; ``ranges=1`` is for a staged reference sample.
     """
     columns = common_columns(reference.select(*_known(reference)), tail)
     enough = tail.select(F.count(F.lit(1)) >= min_rows).scalar()

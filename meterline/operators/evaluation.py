@@ -70,10 +70,10 @@ def regression_metrics(
     )
     if not by:
         return wide.withColumn("median_ae", median.scalar())
-    # One row per group on both sides; null-safe, so a null group keeps its median.
+    # Null-safe, so a null group keeps its median; the optimizer sizes the join.
     named = median.select(*[F.col(c).alias(f"_{c}") for c in by], "median_ae")
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
-    return wide.join(F.broadcast(named), same, "left").drop(*[f"_{c}" for c in by])
+    return wide.join(named, same, "left").drop(*[f"_{c}" for c in by])
 
 
 def regression_metrics_basic(

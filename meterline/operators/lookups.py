@@ -17,17 +17,24 @@ from meterline.operators.distribution import ranked_classes
 
 
 def left_lookup(
-    facts: DataFrame, table: DataFrame, on: Sequence[str], salts: int = 1
+    facts: DataFrame,
+    table: DataFrame,
+    on: Sequence[str],
+    salts: int = 1,
+    row_key: Sequence[str] = (),
 ) -> DataFrame:
     """Left join. With ``salts`` > 1 each key is spread over that many
     partitions and the looked-up table repeated as often: for a table too
-    large to broadcast under keys that hold much of the facts."""
+    large to broadcast under keys that hold much of the facts.
+
+    Rows are spread by a hash of ``row_key``, columns that tell rows apart; without
+    it by the number of their partition. No other column is read for it.
+    """
     if salts <= 1:
         return facts.join(table, list(on), "left")
-    # The partition number spreads exact copies of a row; unlike a random salt
-    # it is the same again when a task is retried.
-    row = F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns]), F.lit(salts))
-    spread = F.pmod(row + F.spark_partition_id(), F.lit(salts)).cast("int")
+    # Unlike a random salt, both are the same again when a task is retried.
+    row = F.xxhash64(*[F.col(c) for c in row_key]) if row_key else F.spark_partition_id()
+    spread = F.pmod(row, F.lit(salts)).cast("int")
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return (
         facts.withColumn("_salt", spread).join(copies, [*on, "_salt"], "left").drop("_salt")
@@ -50,10 +57,11 @@ def lookup_route_distance(
     routes: DataFrame,
     default: float = S.DEFAULT_ROUTE_MILES,
     salts: int = 1,
+    row_key: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``route_distance`` (default for an unknown route) and ``has_data``."""
     keys = ["PULocationID", "DOLocationID"]
-    found = left_lookup(trips, routes.select(*keys, "avg_distance"), keys, salts)
+    found = left_lookup(trips, routes.select(*keys, "avg_distance"), keys, salts, row_key)
     return found.withColumns(
         {
             "route_distance": F.coalesce("avg_distance", F.lit(default)),
@@ -63,12 +71,16 @@ def lookup_route_distance(
 
 
 def fill_distance(
-    trips: DataFrame, routes: DataFrame, default: float = S.DEFAULT_ROUTE_MILES
+    trips: DataFrame,
+    routes: DataFrame,
+    default: float = S.DEFAULT_ROUTE_MILES,
+    salts: int = 1,
+    row_key: Sequence[str] = (),
 ) -> DataFrame:
     """Replace a distance that is not positive by the route's mean."""
     d = F.col("trip_distance")
     return (
-        lookup_route_distance(trips, routes, default)
+        lookup_route_distance(trips, routes, default, salts, row_key)
         .withColumn("trip_distance", F.when(d <= 0, F.col("route_distance")).otherwise(d))
         .drop("route_distance", "has_data")
     )
@@ -77,7 +89,9 @@ def fill_distance(
 # --- zones ------------------------------------------------------------------------
 
 
-def enrich_zones(trips: DataFrame, zones: DataFrame) -> DataFrame:
+def enrich_zones(
+    trips: DataFrame, zones: DataFrame, salts: int = 1, row_key: Sequence[str] = ()
+) -> DataFrame:
     """Borough and zone of both ends."""
     out = trips
     for key, side in (("PULocationID", "pickup"), ("DOLocationID", "dropoff")):
@@ -86,7 +100,7 @@ def enrich_zones(trips: DataFrame, zones: DataFrame) -> DataFrame:
             F.col("Borough").alias(f"{side}_borough"),
             F.col("Zone").alias(f"{side}_zone"),
         )
-        out = left_lookup(out, dim, [key])
+        out = left_lookup(out, dim, [key], salts, row_key)
     return out
 
 
@@ -128,7 +142,11 @@ def encoder_fit(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def encode_lookup(
-    df: DataFrame, dictionary: DataFrame, columns: Sequence[str], salts: int = 1
+    df: DataFrame,
+    dictionary: DataFrame,
+    columns: Sequence[str],
+    salts: int = 1,
+    row_key: Sequence[str] = (),
 ) -> DataFrame:
     """Replace each column by its code; a class not in the dictionary gives -1."""
     out = df
@@ -137,7 +155,7 @@ def encode_lookup(
             F.col("class").alias("_class"), F.col("code").alias("_code")
         )
         out = left_lookup(
-            out.withColumn("_class", as_string_key(F.col(c))), codes, ["_class"], salts
+            out.withColumn("_class", as_string_key(F.col(c))), codes, ["_class"], salts, row_key
         )
         out = out.withColumn(c, F.coalesce("_code", F.lit(-1))).drop("_class", "_code")
     return out

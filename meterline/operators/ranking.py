@@ -57,7 +57,8 @@ def last_n_per_key(df: DataFrame, n: int, key: str, *newest_first: str) -> DataF
 
 
 def leaderboard(results: DataFrame, metric: str = "rmse", name: str = "model") -> DataFrame:
-    return results.orderBy(metric, name)
+    """Best first; a model without the metric comes last."""
+    return results.orderBy(F.asc_nulls_last(metric), name)
 
 
 def best_model(results: DataFrame, metric: str = "mae", name: str = "model") -> DataFrame:

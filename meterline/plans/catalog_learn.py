@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
@@ -109,8 +109,10 @@ def _(spark, d):
 )
 def _(spark, d):
     rows = _rows(spark, d)
-    model = TN.train_model("linear_regression", rows, ["trip_distance"]).model
-    scored = TN.batch_predict(model, V.split_of(rows, "test"), ["trip_distance"])
+    path = ST.new_path(spark, "trained")
+    TN.save_trained(TN.train_model("linear_regression", rows, ["trip_distance"]), path)
+    saved = TN.load_trained(spark, path)
+    scored = TN.batch_predict(saved.model, V.split_of(rows, "test"), saved.features)
     return scored.select("trip_id", "fare_amount", "predicted_fare")
 
 
@@ -148,7 +150,7 @@ def _(spark, d):
     model = TripFeatureTransformer().fit(V.split_of(rows, "train"))
     path = ST.new_path(spark, "transformer")
     model.save(path)
-    loaded = TripFeatureModel.load(spark, path)
+    loaded = TripFeatureModel.load(path)
     return loaded.transform(V.split_of(rows, "test").select("trip_id", *columns))
 
 
@@ -348,7 +350,9 @@ def _(spark, d):
 def _(spark, d):
     rows = _rows(spark, d)
     stage = TripFeatureTransformer(scaleNumerical=False, categoricalFeatures=["PULocationID"])
-    fitted = Pipeline(stages=[stage]).fit(V.split_of(rows, "train"))
+    path = ST.new_path(spark, "pipeline-model")
+    Pipeline(stages=[stage]).fit(V.split_of(rows, "train")).write().save(path)
+    fitted = PipelineModel.load(path)
     return fitted.transform(V.split_of(rows, "test")).select(
         "trip_id", "trip_distance", "PULocationID"
     )

@@ -31,21 +31,23 @@ def _union(parts):
     "j1_lookup_route_distance",
     """SELECT trip_id, round(coalesce(avg_distance, 3.0), 6) AS route_distance,
     coalesce(avg_distance > 0, false) AS has_data
-    FROM test LEFT JOIN routes USING (PULocationID, DOLocationID)""",
+    FROM trips LEFT JOIN routes USING (PULocationID, DOLocationID)""",
 )
 def _(spark, d):
-    out = LK.lookup_route_distance(_test(spark, d), V.routes(spark, d))
+    out = LK.lookup_route_distance(V.trips(spark, d), V.routes(spark, d))
     return out.select("trip_id", "route_distance", "has_data")
 
 
 @query(
     "j1b_lookup_route_distance_salted",
     """SELECT trip_id, round(coalesce(avg_distance, 0.0), 6) AS route_distance
-    FROM test LEFT JOIN routes USING (PULocationID, DOLocationID)""",
+    FROM trips LEFT JOIN routes USING (PULocationID, DOLocationID)""",
 )
 def _(spark, d):
     # The way for a route table beyond the broadcast limit.
-    out = LK.lookup_route_distance(_test(spark, d), V.routes(spark, d), default=0.0, salts=4)
+    out = LK.lookup_route_distance(
+        V.trips(spark, d), V.routes(spark, d), default=0.0, salts=4, row_key=["trip_id"]
+    )
     return out.select("trip_id", "route_distance")
 
 

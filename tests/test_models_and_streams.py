@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from meterline import schemas as S
 from meterline.ml import training as TN
 from meterline.ml.factory import get_model
-from meterline.ml.transformer import TripFeatureTransformer
+from meterline.ml.transformer import TripFeatureModel, TripFeatureTransformer
 from meterline.plans import views as V
 from meterline.sources import staging as ST
 from meterline.streaming import jobs as J
@@ -28,10 +28,13 @@ def test_all_models_compare(spark, sf):
     }
     rows = V.scored_trips(spark, sf)
     board, fitted = TN.train_all_models(rows, features=S.BASIC_FEATURES, params=small)
-    # The model with the wrong parameter is left out; the others are ranked.
+    # The model with the wrong parameter comes last with its error; the others are ranked.
     assert set(fitted) == {"linear_regression", "lasso", "random_forest", "gradient_boosting"}
-    rmse = [r.rmse for r in board.collect()]
+    *ranked, lost = board.collect()
+    rmse = [r.rmse for r in ranked]
     assert len(rmse) == 4 and rmse == sorted(rmse) and min(rmse) >= 0
+    assert all(r.error is None for r in ranked)
+    assert lost.model == "ridge" and lost.rmse is None and "typo" in lost.error
     table = TN.feature_importance(spark, fitted["random_forest"].model, S.BASIC_FEATURES)
     assert table.agg(F.sum("importance")).first()[0] == pytest.approx(1.0)
 
@@ -53,6 +56,37 @@ def test_transformer_keeps_shape(spark):
     assert sorted(r.PULocationID for r in out.collect()) == [0, 1, 2]
 
 
+def test_saved_transformer_keeps_parameters_and_drops_older_tables(spark):
+    df = spark.createDataFrame([(1.0, 7), (3.0, 9)], "trip_distance double, PULocationID long")
+    path = ST.new_path(spark, "t-transformer")
+    TripFeatureTransformer(numericalFeatures=["trip_distance"]).fit(df).save(path)
+    plain = TripFeatureTransformer(scaleNumerical=False, salts=3).fit(df)
+    with pytest.raises(Exception):  # noqa: B017 - a target that exists is refused
+        plain.save(path)
+    plain.write().overwrite().save(path)
+    loaded = TripFeatureModel.load(path)
+    assert loaded.scaler is None and loaded.uid == plain.uid
+    assert loaded.getOrDefault("salts") == 3 and not loaded.getOrDefault("scaleNumerical")
+    pair = ("trip_distance", "PULocationID")
+    assert sorted(map(tuple, loaded.transform(df).select(*pair).collect())) == [(1.0, 0), (3.0, 1)]
+
+
+def test_saved_model_scores_rows_that_lack_a_feature_as_null(spark):
+    rows = spark.createDataFrame(
+        [(float(i), 2.0 * i + 1.0, "val" if i % 4 == 0 else "train") for i in range(40)],
+        "x double, fare_amount double, split string",
+    )
+    path = ST.new_path(spark, "t-trained")
+    for _ in range(2):  # saving again replaces
+        TN.save_trained(TN.train_model("linear_regression", rows, ["x"]), path)
+    saved = TN.load_trained(spark, path)
+    assert saved.name == "linear_regression" and saved.features == ["x"] and saved.metrics.count() == 2
+    asked = spark.createDataFrame([(10.0,), (None,), (float("nan"),)], "x double")
+    got = TN.batch_predict(saved.model, asked, saved.features).collect()
+    assert len(got) == 3
+    assert sorted(round(r.predicted_fare, 3) for r in got if r.predicted_fare is not None) == [21.0]
+
+
 def test_stream_equals_batch(spark, sf):
     base = ST.new_path(spark, "t-score")
     events = V.table(spark, sf, "events")
