@@ -9,6 +9,11 @@ table of range totals (groups x ranges rows) carries the offsets across them.
 
 The range cuts are picked by hash, not by a sketch, so every evaluation of the
 plan - a second branch, a retried task - finds the same ranges.
+
+Quantiles need few of the values: a quantile sketch of bounded size first gives two
+values around every wanted rank. Only values between them stay themselves; all
+others become one value per gap, which keeps the order and the counts, so that the
+ranks stay exact and the shuffle carries a small share of the values.
 """
 
 from __future__ import annotations
@@ -23,6 +28,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 RANGES = 256
 
 
+#: Relative rank error of the sketch that brackets quantiles is one over this.
+SKETCH_ACCURACY = 10_000
+#: Rank shares on either side of a quantile that its bracket spans: three sketch errors.
+BRACKET_MARGIN = 3.0 / SKETCH_ACCURACY
+
+
 def default_ranges(df: DataFrame) -> int:
     """The number of ranges follows the session; results don't depend on it."""
     return max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -95,6 +106,55 @@ def range_offsets(
     return totals.withColumns(out).drop("_min")
 
 
+def brackets(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()
+) -> DataFrame:
+    """``by..., feature, _edges``: for each probability a low and a high value that the
+    wanted ranks lie between, from one wide aggregate.
+
+    Ranks next to a quantile are at most two away from its share of the rows. A bracket is three
+    sketch errors wide on either side, which holds both the sketch's error and those two ranks
+    from 10,000 values on; the brackets of smaller groups are open, so that all values stay.
+    """
+    shares = [min(1.0, max(0.0, p + m)) for p in probs for m in (-BRACKET_MARGIN, BRACKET_MARGIN)]
+    open_ends = [float("-inf"), float("nan")]  # NaN is above all numbers
+    is_open = [not 0.0 < share < 1.0 for share in shares]
+
+    def edges(c: str) -> Column:
+        v = F.col(c).cast("double")
+        sketch = F.percentile_approx(v, shares, SKETCH_ACCURACY)
+        wide = F.count(v) >= SKETCH_ACCURACY
+        ends = [F.lit(open_ends[k % 2]) for k in range(len(shares))]
+        found = [ends[k] if is_open[k] else F.get(sketch, F.lit(k)) for k in range(len(shares))]
+        return F.when(wide, F.array(*found)).otherwise(F.array(*ends))
+
+    packed = [F.struct(F.lit(c).alias("feature"), edges(c).alias("_edges")) for c in columns]
+    sketched = df.groupBy(*by).agg(F.array(*packed).alias("_all"))
+    return sketched.select(*by, F.explode("_all").alias("_one")).select(*by, "_one.*")
+
+
+def bracketed_counts(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()
+) -> DataFrame:
+    """``by..., feature, value, inside, n``: values inside a bracket as they are; those of a gap
+    between brackets together, as the bracket's end below them."""
+    v, edges = F.col("value"), F.col("_edges")
+    low = [F.get(edges, F.lit(2 * k)) for k in range(len(probs))]
+    high = [F.get(edges, F.lit(2 * k + 1)) for k in range(len(probs))]
+    inside = reduce(lambda a, b: a | b, [(v >= lo) & (v <= hi) for lo, hi in zip(low, high, strict=True)])
+    below = [F.lit(float("-inf"))] + [F.when(v > hi, hi) for hi in high]
+    long = long_values(df, columns, by)
+    # One row of edges per group and feature.
+    held = long.join(F.broadcast(brackets(df, columns, probs, by)), [*by, "feature"]).select(
+        *by, "feature", v, inside.alias("inside"), F.greatest(*below).alias("_gap")
+    )
+    return (
+        held.select(*by, "feature", F.when(F.col("inside"), v).otherwise(F.col("_gap")).alias("value"), "inside")
+        .groupBy(*by, "feature", "value", "inside")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -105,9 +165,10 @@ def exact_quantiles(
 ) -> DataFrame:
     """``by..., feature, n, q`` with linearly interpolated quantiles in ``q``.
 
-    ``by`` is for few groups (splits, segments). Only the ranges that hold a
-    wanted rank are sorted. ``ranges=1`` is for groups known to have few
-    distinct values: one task then holds those of a whole group.
+    ``by`` is for few groups (splits, segments). The table is read twice: for the brackets of the
+    wanted ranks, and for the counts of the values inside them. A rank outside its bracket,
+    against the sketch's bound, is an error, never a wrong number. ``ranges=1`` is for groups
+    known to have few distinct values: one task then holds those of a whole group.
     """
     if by:
         # A struct is never null itself, so a null group stays a group and the
@@ -117,12 +178,13 @@ def exact_quantiles(
             "_group.*", "feature", "n", "q"
         )
     keys = [*packed_by, "feature"]
-    counts = distinct_counts(df, columns, packed_by)
     if ranges == 1:
+        counts = distinct_counts(df, columns, packed_by)
         return counts.groupBy(*keys).agg(
             F.sum("n").alias("n"),
             F.percentile("value", F.array(*[F.lit(float(p)) for p in probs]), F.col("n")).alias("q"),
         )
+    counts = bracketed_counts(df, columns, probs, packed_by)
     ranged = with_ranges(counts, keys, ranges=ranges)
     offsets = range_offsets(ranged, keys, ["n"])
     position = [F.lit(float(p)) * (F.col("n_total") - 1) for p in probs]
@@ -141,10 +203,14 @@ def exact_quantiles(
         .where(F.size("_ranks") > 0)
         .select(*keys, "_range", "n_start", "n_total", "_ranks")
     )
-    inside = Window.partitionBy(*keys, "_range").orderBy("value")
+    # A gap's values follow the bracket's end that stands for them.
+    inside = Window.partitionBy(*keys, "_range").orderBy("value", F.desc("inside"))
     upto = F.col("n_start") + F.sum("n").over(
         inside.rowsBetween(Window.unboundedPreceding, 0)
     )
+    found = F.when(F.col("inside"), F.col("value")).otherwise(
+        F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
+    )
     hits = (
         ranged.join(F.broadcast(targets), [*keys, "_range"])
         .withColumn("_upto", upto)
@@ -160,7 +226,7 @@ def exact_quantiles(
         .groupBy(*keys)
         .agg(
             F.first("n_total").alias("n_total"),
-            F.map_from_entries(F.collect_list(F.struct("_rank", "value"))).alias("_at"),
+            F.map_from_entries(F.collect_list(F.struct(F.col("_rank"), found))).alias("_at"),
         )
     )
 

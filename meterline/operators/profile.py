@@ -132,29 +132,38 @@ def shape_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def iqr_outliers(df: DataFrame, columns: Sequence[str] = (S.TARGET,)) -> DataFrame:
     """Quartile fences and what lies outside them, per column."""
     q1, q3 = F.col("q")[0], F.col("q")[1]
-    fences = DI.exact_quantiles(df, columns, [0.25, 0.75]).select(
-        "feature",
+    ends = F.struct(
         q1.alias("q1"),
         q3.alias("q3"),
         (q3 - q1).alias("iqr"),
         (q1 - 1.5 * (q3 - q1)).alias("lower"),
         (q3 + 1.5 * (q3 - q1)).alias("upper"),
     )
-    v = F.col("value")
-    outside = F.count_if((v < F.col("lower")) | (v > F.col("upper")))
-    # One fence row per column.
-    return (
-        DI.long_values(df, columns)
-        .join(F.broadcast(fences), "feature")
-        .groupBy("feature", "q1", "q3", "iqr", "lower", "upper")
-        .agg(
+    # One row with the fences of every column, known before the rows are read.
+    fences = (
+        DI.exact_quantiles(df, columns, [0.25, 0.75])
+        .agg(F.struct(*[F.max(F.when(F.col("feature") == c, ends)).alias(c) for c in columns]))
+        .scalar()
+    )
+
+    def counted(c: str) -> Column:
+        v, fence = F.col(c).cast("double"), F.col("_fences")[c]
+        outside = F.count_if((v < fence["lower"]) | (v > fence["upper"]))
+        return F.struct(
+            F.lit(c).alias("feature"),
+            F.first(fence).alias("fence"),
             outside.alias("outliers"),
-            N.percent(outside, F.count(F.lit(1))).alias("outlier_pct"),
+            N.percent(outside, F.count(v)).alias("outlier_pct"),
             F.count_if(v < 0).alias("negative"),
             F.count_if(v == 0).alias("zero"),
             F.count_if(v > 100).alias("over_100"),
             F.count_if(v > 500).alias("over_500"),
-        )
+        ).alias(c)
+
+    wide = df.select(*columns, fences.alias("_fences")).agg(*[counted(c) for c in columns])
+    # A column without a value has no fences and no row.
+    return rows_of(wide, [F.col(c) for c in columns]).where(F.col("fence").isNotNull()).select(
+        "feature", "fence.*", "outliers", "outlier_pct", "negative", "zero", "over_100", "over_500"
     )
 
 

@@ -411,9 +411,37 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     assert "Python" not in plan
 
 
-def test_quantiles_and_distances_scan_once(spark, sf):
+def test_quantiles_across_and_inside_brackets(spark):
+    """Below 10,000 values brackets are open; above, most values are counted by gap."""
+    rng = np.random.default_rng(5)
+    probs = [0.0, 0.0001, 0.01, 0.25, 0.5, 0.501, 0.99, 1.0]
+    for n in (2, 9_999, 10_000, 60_000):
+        x = np.concatenate([rng.lognormal(0, 3, n - n // 3), np.full(n // 3, 2.5)])
+        x[0] = 1e300
+        df = numbers(spark, x.tolist()).repartition(5)
+        row = DI.exact_quantiles(df, ["x"], probs).first()
+        assert row.n == n
+        np.testing.assert_allclose(row.q, np.percentile(x, [p * 100 for p in probs]), rtol=1e-12)
+    counts = DI.bracketed_counts(df, ["x"], [0.25, 0.5])
+    assert counts.agg(F.sum("n")).first()[0] == n
+    assert counts.count() < 0.01 * n
+
+
+def test_outliers_of_an_empty_column(spark):
+    df = spark.createDataFrame([(1.0, None), (2.0, None), (900.0, None)], "x double, y double")
+    rows = PR.iqr_outliers(df, ["x", "y"]).collect()
+    assert [(r.feature, r.q1, r.over_500, r.outliers) for r in rows] == [("x", 1.5, 1, 0)]
+    assert PR.iqr_outliers(df.limit(0), ["x"]).count() == 0
+
+
+def test_quantiles_and_distances_scan_few_times(spark, sf):
     a = V.strict_features(spark, sf)
-    assert executed_plan(DI.exact_quantiles(a, ["fare_amount"], [0.5])).count("FileScan") == 1
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # the whole plan, with what it reuses
+    try:
+        plan = executed_plan(DI.exact_quantiles(a, ["fare_amount"], [0.5]))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("FileScan") == 2
     b = V.event_log(spark, sf)
     assert executed_plan(DI.distances(a, b, ["trip_distance"])).count("FileScan") == 2
 
