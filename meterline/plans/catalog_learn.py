@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from meterline import schemas as S
 from meterline.functions import calendar as C
 from meterline.ml import scoring as SC, training as TN
-from meterline.ml.factory import FEATURES, get_model
+from meterline.ml.factory import FEATURES, MODELS, get_model
 from meterline.ml.transformer import TripFeatureModel, TripFeatureTransformer
 from meterline.operators import evaluation as EV, features as FE, sampling as SA
 from meterline.plans import views as V
@@ -57,25 +57,45 @@ def _(spark, d):
 
 _OLS = "(SELECT regr_slope(fare_amount, trip_distance) AS w, regr_intercept(fare_amount, trip_distance) AS w0 FROM train)"
 
+# Two-feature closed form over the training rows.
+_OLS_2 = """(SELECT *, my - w1 * m1 - w2 * m2 AS w0 FROM (
+  SELECT m1, m2, my, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS w1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS w2
+  FROM (SELECT avg(trip_distance) AS m1, avg(passenger_count) AS m2, avg(fare_amount) AS my,
+    var_pop(trip_distance) AS v1, var_pop(passenger_count) AS v2, covar_pop(trip_distance, passenger_count) AS c12,
+    covar_pop(trip_distance, fare_amount) AS c1, covar_pop(passenger_count, fare_amount) AS c2 FROM train)))"""
+
 
 @query(
     "m2_train_model",
     f"""SELECT split, {metrics_sql("p", full=False)} FROM
-    (SELECT split, fare_amount, w0 + w * trip_distance AS p FROM scored, {_OLS} WHERE split IN ('train', 'val')) GROUP BY 1""",
+    (SELECT split, fare_amount, w0 + w1 * trip_distance + w2 * passenger_count AS p
+     FROM scored, {_OLS_2} WHERE split IN ('train', 'val')) GROUP BY 1""",
 )
 def _(spark, d):
-    return TN.train_model("linear_regression", _rows(spark, d), ["trip_distance"]).metrics
+    return TN.train_model("linear_regression", _rows(spark, d), ["trip_distance", "passenger_count"]).metrics
 
 
-@query("m3_train_all_models")
+@query(
+    "m3_train_all_models",
+    f"""SELECT unnest([{", ".join(f"'{m}'" for m in sorted(MODELS))}]) AS model, TRUE AS trained, TRUE AS in_order,
+    TRUE AS beats_mean, TRUE AS consistent""",
+)
 def _(spark, d):
-    # Small forests, all five families.
-    small = {
-        "random_forest": {"n_estimators": 10, "max_depth": 5, "random_state": 42},
-        "gradient_boosting": {"n_estimators": 5, "max_depth": 3, "random_state": 42},
-    }
-    board, _fitted = TN.train_all_models(_rows(spark, d), features=S.BASIC_FEATURES, params=small)
-    return board
+    # Tree metrics have no SQL twin: the board is held to what must be true of it. All
+    # families with their defaults.
+    rows = _rows(spark, d)
+    board, _fitted = TN.train_all_models(rows, features=S.BASIC_FEATURES)
+    by_rmse, as_given = Window.orderBy("rmse", "model"), Window.orderBy("_row")  # one row per model
+    spread = V.split_of(rows, "val").select(F.var_pop(S.TARGET)).scalar()
+    board = board.withColumn("_row", F.monotonically_increasing_id())
+    gap = F.col("r2") - (1.0 - F.col("rmse") * F.col("rmse") / spread)
+    return board.select(
+        "model",
+        F.col("error").isNull().alias("trained"),
+        (F.row_number().over(by_rmse) == F.row_number().over(as_given)).alias("in_order"),
+        (F.col("r2") > 0).alias("beats_mean"),
+        (F.abs(gap) < 1e-6).alias("consistent"),
+    )
 
 
 _ALPHAS = [10.0, 200000.0, 40000.0, 5000.0, 0.1]
@@ -126,11 +146,24 @@ def _(spark, d):
     return SC.score_linear(test, weights, 2.5).select("trip_id", "predicted_fare")
 
 
-@query("m7_feature_importance")
+@query(
+    "m7_feature_importance",
+    f"""SELECT f AS feature, f = 'trip_distance' AS is_top, TRUE AS is_share, TRUE AS sums_to_one
+    FROM (SELECT unnest([{", ".join(f"'{c}'" for c in S.BASIC_FEATURES)}]) AS f)""",
+)
 def _(spark, d):
-    params = {"n_estimators": 10, "max_depth": 5, "random_state": 42}
-    t = TN.train_model("random_forest", _rows(spark, d), S.BASIC_FEATURES, params=params)
-    return TN.feature_importance(spark, t.model, t.features)
+    # Importances of a default forest have no SQL twin: invariants, and the feature that the fare
+    # is made of comes first.
+    t = TN.train_model("random_forest", _rows(spark, d), S.BASIC_FEATURES)
+    table = TN.feature_importance(spark, t.model, t.features)
+    v = F.col("importance")
+    every = Window.partitionBy()  # one row per feature
+    return table.select(
+        "feature",
+        (v == F.max(v).over(every)).alias("is_top"),
+        v.between(0, 1).alias("is_share"),
+        (F.abs(F.sum(v).over(every) - 1) < 1e-9).alias("sums_to_one"),
+    )
 
 
 @query(

@@ -78,7 +78,7 @@ def _distance_sql(columns, reference, current):
     )
 
 
-_SAMPLE = f"(SELECT * FROM train ORDER BY {_HASH}, trip_id LIMIT 2000)"
+_SAMPLE = f"(SELECT * FROM train ORDER BY {_HASH}, trip_id LIMIT 10000)"
 
 
 def _sides_sql(columns, full, sample):
@@ -110,7 +110,7 @@ def _sides_sql(columns, full, sample):
 )
 def _(spark, d):
     train = _split(spark, d, "train")
-    sample = stage(SA.reference_sample(train, 2000), "reference-sample")
+    sample = stage(SA.reference_sample(train), "reference-sample")
     return SA.representativeness(train, sample)
 
 
@@ -296,14 +296,17 @@ def _(spark, d):
 
 @query(
     "d7b_drift_report_too_few",
-    """SELECT 'dataset' AS feature, 'too_few_rows' AS metric, count(*)::DOUBLE AS value FROM test WHERE trip_distance > 95
-    UNION ALL SELECT 'dataset', 'total_predictions', count(*)::DOUBLE FROM test WHERE trip_distance > 95""",
+    """SELECT 'dataset' AS feature, 'too_few_rows' AS metric, count(*)::DOUBLE AS value FROM (SELECT * FROM log LIMIT 29)
+    UNION ALL SELECT 'dataset', 'total_predictions', count(*)::DOUBLE FROM log""",
 )
 def _(spark, d):
-    test = _split(spark, d, "test")
-    few = test.where(F.col("trip_distance") > 95).withColumn("prediction", F.col("predicted"))
+    from meterline.operators.ranking import last_n
+
+    log = V.event_log(spark, d)
+    # One row below the limit.
+    few = stage(last_n(log, S.MIN_LOG_ROWS - 1, "ts", "event_id"), "log-tail")
     reference = stage(SA.reference_sample(_split(spark, d, "train")), "reference-sample")
-    return DR.drift_report(reference, stage(few, "log-tail"), min_rows=10**9)
+    return DR.drift_report(reference, few, log_rows=log.select(F.count(F.lit(1))).scalar())
 
 
 @query(
@@ -326,9 +329,24 @@ def _(spark, d):
     return DR.perturb(DR.perturb(test, "distance"), "time").select("trip_id", "trip_distance", "pickup_hour")
 
 
-@query("d8n_perturb_noise")
+@query(
+    "d8n_perturb_noise",
+    """SELECT count(trip_duration_minutes) AS rows, TRUE AS mean_kept, TRUE AS spread_grown FROM test""",
+)
 def _(spark, d):
-    noisy = DR.perturb(_split(spark, d, "test"), "noise")
-    return noisy.agg(
-        F.count("trip_duration_minutes").alias("rows"), F.avg("trip_duration_minutes").alias("mean")
+    # Noise has no SQL twin: the mean moves by chance alone (six of its deviations), and the
+    # deviation grows to sqrt(1 + 0.5^2) times itself, within a tenth.
+    test = _split(spark, d, "test")
+
+    def side(df, p):
+        v = F.col("trip_duration_minutes")
+        return df.agg(F.count(v).alias(f"n_{p}"), F.avg(v).alias(f"m_{p}"), F.stddev_samp(v).alias(f"s_{p}"))
+
+    both = side(DR.perturb(test, "noise"), "b").crossJoin(side(test, "a"))  # one row each
+    moved = F.abs(F.col("m_b") - F.col("m_a"))
+    growth = F.col("s_b") / F.col("s_a") / 1.25**0.5
+    return both.select(
+        F.col("n_b").alias("rows"),
+        (moved < 6 * 0.5 * F.col("s_a") / F.sqrt("n_a")).alias("mean_kept"),
+        (F.abs(growth - 1) < 0.1).alias("spread_grown"),
     )
