@@ -4,13 +4,13 @@ Training text gives counts of words and word pairs. The filter holds them quanti
 of level q = 1 + floor(log_b(count)) is q entries (n-gram, 1) to (n-gram, q). A lookup asks for
 level 1, 2, ... until one is missing, and returns the mean count of the last level found.
 Scoring interpolates p(w | v) = l * c(v, w) / c(v) + (1 - l) * p(w), with a weight l for each
-level of c(v), fitted by leave-one-out expectation steps on a bounded sample of training rows.
+level of c(v), fitted by leave-one-out expectation steps on all training tokens: what enters them
+is the number of tokens of each (context, pair, word) level, a table of at most (LEVELS + 1)^3 rows.
 
 Counts are made in one pass and one shuffle: tasks hand on packed counts by hash shard, and a
-shard's counts become its word counts and its segment of the filter. The filter is broadcast,
-so its size is bounded by `MAX_FILTER_BYTES`: within it the filter grows with the corpus and
-holds all n-grams; beyond it, each shard leaves out its rarest n-grams by the smallest count
-cutoff that fits.
+shard's counts become its word counts and its segment of the filter, which holds all n-grams of
+the shard. Segments stay rows: chunks of documents send the distinct n-grams that they ask for to
+the shards, and the levels come back to the chunk. No task and no broadcast holds the whole filter.
 
 The base score needs exact counts. Words with a share of at least `HEAD_SHARE` of the tokens
 (at most 1 / HEAD_SHARE of them) are broadcast; all rarer words are joined, and none of them
@@ -24,6 +24,7 @@ empty text; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -33,21 +34,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from meterline.llm.common import crc_of, slices, written
+from meterline.llm.common import appended, crc_of, slices, written
 
 BASE = 2.0
 LEVELS = 48
 HASHES = 3
 BITS_PER_ENTRY = 10
-MAX_FILTER_BYTES = 64 << 20
 HEAD_SHARE = 2e-6
 #: Documents per shard of the counts, which bounds a shard's memory.
 SHARD_DOCS = 2_500
 #: Tokens that a task counts before it hands on its counts.
 HELD_TOKENS = 1_000_000
-MEMO = 200_000
-#: Training rows on which interpolation weights are fitted.
-SAMPLE_ROWS = 1_000
+#: Text that a chunk of documents holds at a time.
+HELD_BYTES = 4 << 20
 
 START, END = b"\r", b"\n"  # no word holds either
 TO_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -110,8 +109,9 @@ def bit_of(a: np.ndarray, b: np.ndarray, k: int, bits: np.ndarray | np.uint64) -
         return ((((a + np.uint64(k) * b) >> np.uint64(32)) * bits) >> np.uint64(32)).astype(np.int64)
 
 
-def segment(keys: np.ndarray, counts: np.ndarray, most_bytes: int) -> tuple[np.ndarray, int]:
-    """Filter segment of these n-grams, and the count from which on they are in it."""
+def segment(keys: np.ndarray, counts: np.ndarray, most_bytes: float = math.inf) -> tuple[np.ndarray, int]:
+    """Filter segment of these n-grams, and the count from which on they are in it: 1, unless
+    the segment is bounded."""
     cutoff = 1
     while True:
         entries = int(level_of(counts[counts >= cutoff]).sum()) if len(counts) else 0
@@ -211,7 +211,7 @@ def packed_counts(shards: int):
 SHARDS = "kind string, word binary, n long, data binary"
 
 
-def shard_tables(shards: int, most_bytes: int):
+def shard_tables(shards: int):
     """Shard side: exact word counts, and the shard's segment of the filter."""
 
     def merge(key: tuple, rows: pa.Table) -> pa.Table:
@@ -235,7 +235,6 @@ def shard_tables(shards: int, most_bytes: int):
         data, cutoff = segment(
             np.concatenate([all_keys[first] if len(all_keys) else all_keys, own]),
             np.concatenate([summed, np.fromiter(words.values(), np.int64, len(names))]),
-            most_bytes // shards,
         )
         n = len(names)
         return pa.table(
@@ -253,55 +252,173 @@ def shard_tables(shards: int, most_bytes: int):
 @dataclass
 class Model:
     counted: DataFrame  # (word, n): exact counts of the training tokens
+    segments: DataFrame  # (shard, data): the filter, a row per shard
+    shards: int
     total: int
     distinct: int
     head: dict[bytes, int]
-    filter: LogFrequencyFilter
-    weights: np.ndarray  # by level of the context
 
     def denominator(self) -> float:
         return self.total + 0.5 * (self.distinct + 1)
 
 
-class Lookup:
-    """Filter counts of words and pairs. A word's hash, level and exact logarithm (NaN unless it
-    is one of the head) are remembered in slots."""
-
-    def __init__(self, filter: LogFrequencyFilter, logs: dict[bytes, float] | None = None):
-        self.filter, self.logs = filter, logs or {}
-        self.counts = level_counts()
-        self.forget()
-
-    def forget(self) -> None:
-        self.slots: dict[bytes, int] = {}
-        self.h, self.q, self.log = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
-
-    def slots_of(self, words: list[bytes]) -> np.ndarray:
-        if len(self.slots) > MEMO:
-            self.forget()
-        slots = self.slots
-        fresh = [w for w in set(words) if w not in slots]
-        if fresh:
-            slots.update(zip(fresh, range(len(slots), len(slots) + len(fresh)), strict=True))
-            h = np.fromiter(map(xxhash.xxh64_intdigest, fresh), np.uint64, len(fresh))
-            self.h = np.concatenate([self.h, h])
-            self.q = np.concatenate([self.q, self.filter.levels(word_keys(h))])
-            self.log = np.concatenate([self.log, [self.logs.get(w, math.nan) for w in fresh]])
-        return np.fromiter(map(slots.__getitem__, words), np.int64, len(words))
-
-    def read(self, texts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
-        """For all tokens of all texts: levels of context, pair and word, and the exact logarithm."""
+def fit_model(training: DataFrame, text: str = "text") -> Model:
+    slim = training.select(F.col(text).cast("binary").alias("bytes"))
+    shards = slim.count() // SHARD_DOCS + 1
+    merged = written(
+        slim.mapInArrow(packed_counts(shards), COUNTS).groupBy("shard").applyInArrow(shard_tables(shards), SHARDS),
+        "lm-counts",
+    )
+    counted = merged.where("kind = 'word'").select("word", "n")
+    sums = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    total, distinct = int(sums[0]), int(sums[1])
+    least = max(1, math.ceil(HEAD_SHARE * total))
+    head = {bytes(r["word"]): r["n"] for r in counted.where(F.col("n") >= least).toLocalIterator()}
+    segments = merged.where("kind like 'filter %'").select(
+        F.substring_index("kind", " ", -1).cast("int").alias("shard"), "data"
+    )
+    return Model(counted, segments, shards, total, distinct, head)
+
+
+class Questions:
+    """The distinct words and pairs of some texts, by shard, and where each token needs them."""
+
+    def __init__(self, texts: list[list[bytes]], shards: int):
         words = [w for t in texts for w in (START, *t)]
-        slot = self.slots_of(words)
-        h, q = self.h[slot], self.q[slot]
-        is_start = slot == self.slots.get(START, -1)
-        at = np.flatnonzero(~is_start)
-        # Frequent pairs, which take the most probes, are asked for once.
-        keys, back = np.unique(pair_keys(h[at - 1], h[at]), return_inverse=True)
-        pair = self.filter.levels(keys)[back]
+        slots: dict[bytes, int] = {START: 0, END: 1}
+        for w in words:
+            slots.setdefault(w, len(slots))
+        slot = np.fromiter(map(slots.__getitem__, words), np.int64, len(words))
+        h = np.fromiter(map(xxhash.xxh64_intdigest, slots), np.uint64, len(slots))
+        at = np.flatnonzero(slot)
+        pairs, back = np.unique(pair_keys(h[slot[at - 1]], h[slot[at]]), return_inverse=True)
         # The start token itself isn't counted; as many texts start as end.
-        q[is_start] = self.filter.levels(word_keys(np.array([xxhash.xxh64_intdigest(END)], np.uint64)))[0]
-        return q[at - 1], pair, q[at], self.log[slot[at]]
+        slot[slot == 0] = 1
+        self.context, self.word, self.pair = slot[at - 1], slot[at], len(h) + back
+        self.words = list(slots)
+        keys = np.concatenate([word_keys(h), pairs])
+        shard = (keys % np.uint64(shards)).astype(np.int64)
+        self.order = np.argsort(shard, kind="stable")
+        self.keys = keys[self.order]
+        self.cuts = np.searchsorted(shard[self.order], np.arange(shards + 1))
+
+
+ASKED = "chunk string, shard int, keys binary, texts array<binary>, docs binary"
+
+
+def asking(shards: int):
+    """Task side: chunks of documents as rows, and for each shard the keys that a chunk asks for."""
+
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+        held = 0
+
+        def rows() -> pa.RecordBatch:
+            name = uuid.uuid4().hex
+            docs = pa.Table.from_batches(parts).combine_chunks()
+            texts = docs.column("bytes").to_pylist()
+            asked = Questions([[*words_of(t), END] for t in texts], shards)
+            cuts = asked.cuts.tolist()
+            some = [s for s in range(shards) if cuts[s] < cuts[s + 1]]
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, docs.drop_columns(["bytes"]).schema) as out:
+                out.write_table(docs.drop_columns(["bytes"]))
+            n = len(some)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([name] * (n + 1)),
+                    pa.array([None, *some], pa.int32()),
+                    pa.array([None, *(asked.keys[cuts[s] : cuts[s + 1]].tobytes() for s in some)], pa.binary()),
+                    pa.array([texts, *[None] * n], pa.list_(pa.binary())),
+                    pa.array([sink.getvalue().to_pybytes(), *[None] * n], pa.binary()),
+                ],
+                ["chunk", "shard", "keys", "texts", "docs"],
+            )
+
+        for batch in slices(batches):
+            parts.append(batch)
+            held += batch.column("bytes").nbytes
+            if held >= HELD_BYTES:
+                yield rows()
+                parts.clear()
+                held = 0
+        if parts:
+            yield rows()
+
+    return ask
+
+
+def answer(key: tuple, asked: pa.Table, segments: pa.Table) -> pa.Table:
+    """Shard side: the levels of the keys that each chunk asks for."""
+    data = [np.frombuffer(d, np.uint8) for d in segments.column("data").to_pylist()]
+    held = LogFrequencyFilter(data[0], np.array([0]), np.array([len(data[0])])) if data else None
+    levels = []
+    for keys in asked.column("keys").to_pylist():
+        keys = np.frombuffer(keys, "<u8")
+        found = held.levels(keys) if held else np.zeros(len(keys), np.int64)
+        levels.append(found.astype(np.uint8).tobytes())
+    return pa.table({"chunk": asked.column("chunk"), "shard": asked.column("shard"), "levels": pa.array(levels, pa.binary())})
+
+
+LEVELLED = "doc_id long, held_out boolean, n_tokens long, known long, base double, rare array<binary>, triples binary"
+
+
+def levelled(docs: DataFrame, model: Model) -> DataFrame:
+    """A row per document: its base score without the rare words, the rare words, and for each
+    token the levels of context, pair and word as one number."""
+    sent = docs.sparkSession.sparkContext.broadcast({w: math.log10(n + 0.5) for w, n in model.head.items()})
+    shards = model.shards
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + LEVELLED.split(", ", 1)[1]
+    source = docs.select("doc_id", "held_out", F.col("text").cast("binary").alias("bytes"))
+    # Written, so that the names of the chunks stay.
+    asked = written(source.mapInArrow(asking(shards), ASKED), "lm-asked")
+    answers = (
+        asked.where("keys is not null").select("chunk", "shard", "keys").groupBy("shard")
+        .cogroup(model.segments.groupBy("shard"))
+        .applyInArrow(answer, "chunk string, shard int, levels binary")
+    )
+
+    def put_together(key: tuple, chunk: pa.Table, answered: pa.Table) -> pa.Table:
+        logs = sent.value
+        texts = [[*words_of(t), END] for t in chunk.column("texts")[0].as_py()]
+        asked = Questions(texts, shards)
+        by_shard = answered.sort_by("shard").column("levels").to_pylist()
+        level = np.zeros(len(asked.keys), np.uint8)
+        level[asked.order] = np.frombuffer(b"".join(by_shard), np.uint8)
+        level = level.astype(np.int64)
+        triples = triple(level[asked.context], level[asked.pair], level[asked.word]).astype("<i4")
+        log = np.array([logs.get(w, math.nan) for w in asked.words])[asked.word]
+        lengths = np.array([len(t) for t in texts])
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        is_rare = np.isnan(log)
+        at = np.flatnonzero(is_rare)
+        cuts = np.searchsorted(at, np.append(starts, ends[-1]))
+        rare = [asked.words[k] for k in asked.word[at].tolist()]
+        out = pa.ipc.open_stream(chunk.column("docs")[0].as_py()).read_all()
+        return pa.table(
+            {
+                "doc_id": out.column("doc_id"),
+                "held_out": out.column("held_out"),
+                "n_tokens": pa.array(lengths, pa.int64()),
+                "known": pa.array(lengths - np.diff(cuts), pa.int64()),
+                "base": pa.array(np.add.reduceat(np.where(is_rare, 0.0, log), starts), pa.float64()),
+                "rare": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(rare, pa.binary())),
+                "triples": pa.array([triples[i:j].tobytes() for i, j in zip(starts, ends, strict=True)], pa.binary()),
+            }
+        )
+
+    chunks = asked.where("keys is null").select("chunk", "texts", "docs").groupBy("chunk")
+    return written(chunks.cogroup(answers.groupBy("chunk")).applyInArrow(put_together, schema), "lm-levels")
+
+
+def triple(context: np.ndarray, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return (context * (LEVELS + 1) + pair) * (LEVELS + 1) + word
+
+
+def apart(triples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    left, word = np.divmod(triples, LEVELS + 1)
+    return *np.divmod(left, LEVELS + 1), word
 
 
 def pair_share(counts: np.ndarray, context: np.ndarray, pair: np.ndarray, off: float = 0.0) -> np.ndarray:
@@ -309,102 +426,63 @@ def pair_share(counts: np.ndarray, context: np.ndarray, pair: np.ndarray, off: f
     return both / np.maximum(np.maximum(counts[context] - off, both), 1.0)
 
 
-def fit_weights(texts: list[list[bytes]], filter: LogFrequencyFilter, denominator: float) -> np.ndarray:
-    """Interpolation weight for each context level: expectation steps, each token left out."""
+def count_triples(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums = np.zeros((LEVELS + 1) ** 3, np.int64)
+    for batch in slices(batches):
+        found = np.frombuffer(b"".join(batch.column("triples").to_pylist()), "<i4")
+        codes, n = np.unique(found, return_counts=True)
+        sums[codes] += n
+    codes = np.flatnonzero(sums)
+    yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(sums[codes])], ["code", "n"])
+
+
+def fit_weights(training: DataFrame, denominator: float) -> np.ndarray:
+    """Interpolation weight for each context level: expectation steps over all training tokens,
+    each left out. Tokens of the same three levels are one row of a table of bounded size."""
     weights = np.full(LEVELS + 1, 0.3)
     weights[0] = 0.0
-    if not texts:
+    rows = (
+        training.select("triples").mapInArrow(count_triples, "code long, n long")
+        .groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()
+    )
+    if not rows:
         return weights
-    look = Lookup(filter)
-    context, pair, word, _ = look.read(texts)
-    near = pair_share(look.counts, context, pair, 1.0)
-    alone = (np.maximum(look.counts[word] - 1.0, 0.0) + 0.5) / denominator
+    codes, n = (np.array([r[c] for r in rows], np.int64) for c in ("code", "n"))
+    context, pair, word = apart(codes)
+    counts = level_counts()
+    near = pair_share(counts, context, pair, 1.0)
+    alone = (np.maximum(counts[word] - 1.0, 0.0) + 0.5) / denominator
     for _ in range(20):
         l = weights[context]
-        post = l * near / (l * near + (1 - l) * alone)
+        post = n * l * near / (l * near + (1 - l) * alone)
         # One imagined token with a share of 0.3 keeps rare levels off the ends.
         sums = np.bincount(context, post, LEVELS + 1) + 0.3
-        weights = sums / (np.bincount(context, minlength=LEVELS + 1) + 1.0)
+        weights = sums / (np.bincount(context, n, LEVELS + 1) + 1.0)
         weights[0] = 0.0
     return weights
 
 
-def fit_model(training: DataFrame, text: str = "text", most_bytes: int = MAX_FILTER_BYTES) -> Model:
-    slim = training.select(F.col(text).cast("binary").alias("bytes"))
-    rows = slim.count()
-    shards = rows // SHARD_DOCS + 1
-    merged = written(
-        slim.mapInArrow(packed_counts(shards), COUNTS).groupBy("shard").applyInArrow(shard_tables(shards, most_bytes), SHARDS),
-        "lm-counts",
-    )
-    counted = merged.where("kind = 'word'").select("word", "n")
-    sums = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    total, distinct = int(sums[0]), int(sums[1])
-    least = max(1, math.ceil(HEAD_SHARE * total))
-    head = {bytes(r["word"]): r["n"] for r in counted.where(F.col("n") >= least).toLocalIterator()}
-    parts = {int(r["kind"].split()[1]): bytes(r["data"]) for r in merged.where("kind like 'filter %'").select("kind", "data").toLocalIterator()}
-    empty = bytes(8)
-    data = [parts.get(s, empty) for s in range(shards)]
-    sizes = np.array([len(d) for d in data], np.int64)
-    filter = LogFrequencyFilter(np.frombuffer(b"".join(data), np.uint8), np.cumsum(sizes) - sizes, sizes)
-    share = max(1, int(1e6 * min(1.0, 2.0 * SAMPLE_ROWS / max(1, rows))))
-    sample = slim.where(F.pmod(F.xxhash64("bytes"), F.lit(1_000_000)) < share).limit(SAMPLE_ROWS).collect()
-    texts = [[*words_of(bytes(r["bytes"] or b"")), END] for r in sample]
-    weights = fit_weights(texts, filter, total + 0.5 * (distinct + 1))
-    return Model(counted, total, distinct, head, filter, weights)
-
-
-SCORED = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<binary>"
-
-
 def score_text(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of the rows
-    (doc_id, held_out, text)."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((model.filter, model.head, model.weights))
+    (doc_id, held_out, text); those not held out are the training rows."""
     denominator = model.denominator()
-    schema = docs.select("doc_id", "held_out").schema
-    schema = f"doc_id {schema['doc_id'].dataType.simpleString()}, " + SCORED.split(", ", 1)[1]
+    rows = levelled(docs, model)
+    weights, counts = fit_weights(rows.where(~F.col("held_out")), denominator), level_counts()
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + SCORED.split(", ", 1)[1]
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter, head, weights = sent.value
-        logs = {w: math.log10(n + 0.5) for w, n in head.items()}
-        look = Lookup(filter, logs)
         for batch in slices(batches):
-            texts = [[*words_of(t), END] for t in batch.column("bytes").to_pylist()]
-            context, pair, word, log = look.read(texts)
+            parts = [np.frombuffer(t, "<i4") for t in batch.column("triples").to_pylist()]
+            ends = np.cumsum([len(p) for p in parts])
+            codes, back = np.unique(np.concatenate(parts), return_inverse=True)
+            context, pair, word = apart(codes.astype(np.int64))
             l = weights[context]
-            p = l * pair_share(look.counts, context, pair) + (1 - l) * (look.counts[word] + 0.5) / denominator
-            ends = np.cumsum([len(t) for t in texts])
-            starts = ends - [len(t) for t in texts]
-            scores = np.add.reduceat(np.log10(p), starts)
-            is_rare = np.isnan(log)
-            base = np.add.reduceat(np.where(is_rare, 0.0, log), starts)
-            tokens = [w for t in texts for w in t]
-            at = np.flatnonzero(is_rare)
-            cuts = np.searchsorted(at, np.append(starts, ends[-1]))
-            rare = pa.ListArray.from_arrays(
-                pa.array(cuts, pa.int32()), pa.array([tokens[k] for k in at.tolist()], pa.binary())
-            )
-            known = ends - starts - np.diff(cuts)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("held_out"),
-                    pa.array([len(t) for t in texts], pa.int64()),
-                    pa.array(known, pa.int64()),
-                    pa.array(base, pa.float64()),
-                    pa.array(scores, pa.float64()),
-                    rare,
-                ],
-                ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"],
-            )
+            p = l * pair_share(counts, context, pair) + (1 - l) * (counts[word] + 0.5) / denominator
+            scores = np.add.reduceat(np.log10(p)[back], ends - [len(x) for x in parts])
+            yield appended(batch.drop_columns(["triples"]), score=pa.array(scores, pa.float64()))
 
-    source = docs.select("doc_id", "held_out", F.col("text").cast("binary").alias("bytes"))
     # Written, so that the row numbers stay.
-    scored = written(
-        source.mapInArrow(score, schema).withColumn("uid", F.monotonically_increasing_id()), "lm-scored"
-    )
+    scored = written(rows.mapInArrow(score, schema).withColumn("uid", F.monotonically_increasing_id()), "lm-scored")
     rare = scored.select("uid", F.explode("rare").alias("word")).join(model.counted, "word", "left")
     sums = rare.groupBy("uid").agg(
         F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more"), F.count("n").alias("found")
@@ -420,6 +498,9 @@ def score_text(docs: DataFrame, model: Model) -> DataFrame:
     )
 
 
+SCORED = "doc_id long, held_out boolean, n_tokens long, known long, base double, rare array<binary>, score double"
+
+
 def held_out(doc_id: Column) -> Column:
     return F.pmod(crc_of(doc_id), F.lit(5)) == 1
 
