@@ -36,9 +36,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from meterline.llm.common import appended, crc_of, slices, written
 
-BASE = 2.0
-LEVELS = 48
-HASHES = 3
+BASE = 1.5
+LEVELS = 64
+HASHES = 5
 BITS_PER_ENTRY = 10
 HEAD_SHARE = 2e-6
 #: Documents per shard of the counts, which bounds a shard's memory.

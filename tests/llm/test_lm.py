@@ -39,3 +39,13 @@ def test_no_ngram_is_left_out(spark, monkeypatch):
             assert len(f) == len(e) and (f >= e).all()
             above, total = above + (f > e).sum(), total + len(f)
     assert above < 0.03 * total
+
+
+def test_filter_accuracy():
+    rng = np.random.default_rng(7)
+    keys = rng.integers(0, 1 << 63, 50_000).astype(np.uint64)
+    data, _ = lm.segment(keys, np.maximum(1, rng.zipf(1.5, 50_000) % 10_000).astype(np.int64))
+    held = lm.LogFrequencyFilter(data, np.array([0]), np.array([len(data)]))
+    assert (held.levels(rng.integers(0, 1 << 63, 100_000).astype(np.uint64)) > 0).mean() < 0.013
+    counts = np.arange(1, 100_000)
+    assert (np.abs(lm.level_counts()[lm.level_of(counts)] / counts - 1) <= 0.3).all()
