@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from meterline.llm import lm
@@ -49,3 +51,26 @@ def test_filter_accuracy():
     assert (held.levels(rng.integers(0, 1 << 63, 100_000).astype(np.uint64)) > 0).mean() < 0.013
     counts = np.arange(1, 100_000)
     assert (np.abs(lm.level_counts()[lm.level_of(counts)] / counts - 1) <= 0.3).all()
+
+
+def test_weights_come_from_all_rows(spark):
+    """Null rows and a large group of copies don't take the place of others."""
+    rng = np.random.default_rng(8)
+    some = [" ".join(f"w{x}" for x in rng.zipf(1.5, 60) % 500) for _ in range(1500)]
+    texts = [None] * 1500 + ["the same text of a group"] * 1500 + some
+    docs = rows_of(spark, texts)
+    model = lm.fit_model(docs)
+    levels = lm.levelled(docs, model)
+    weights = lm.fit_weights(levels, model.denominator())
+    found = np.concatenate([np.frombuffer(r["triples"], "<i4") for r in levels.collect()])
+    context, pair, word = lm.apart(found)
+    counts = lm.level_counts()
+    near = lm.pair_share(counts, context, pair, 1.0)
+    alone = (np.maximum(counts[word] - 1, 0) + 0.5) / model.denominator()
+    wanted = np.where(np.arange(lm.LEVELS + 1) > 0, 0.3, 0.0)
+    for _ in range(20):
+        post = wanted[context] * near / (wanted[context] * near + (1 - wanted[context]) * alone)
+        wanted = (np.bincount(context, post, lm.LEVELS + 1) + 0.3) / (np.bincount(context, minlength=lm.LEVELS + 1) + 1)
+        wanted[0] = 0.0
+    assert weights == pytest.approx(wanted, rel=1e-6)
+    assert (np.abs(weights[np.unique(context)] - 0.3) > 1e-3).all() and math.isclose(weights[0], 0.0)
