@@ -10,7 +10,8 @@ band settings have a miss rate of zero for every match at the containment asked
 
 Band keys only retrieve. Each candidate place is verified by exact shingle containment: of the
 template's distinct shingles (as words, not hashes) at least 0.8 must occur in the stretch of
-the document that the template would cover there, with room for inserted words.
+the document that the template would cover there, with room for inserted words. Against every
+related template of another license, one of the shingles that tell the two apart must occur as well.
 
 Templates are a table (license, text) of at most `MAX_TEMPLATE_WORDS` words together, which
 is checked; this bounds what is broadcast. A template needs five words.
@@ -31,6 +32,8 @@ LEAST_CONTAINMENT = 0.8
 MAX_TEMPLATE_WORDS = 200_000
 #: Words that may be inserted in a matching stretch, as a share of the template.
 SLACK = 0.25
+#: Share of a template's shingles in one of another license from which on the two are told apart.
+RELATED = 0.5
 #: Constants of the order: hash xor constant, and its complement.
 ORDER = 0x5DEECE66D1234567
 
@@ -49,9 +52,19 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License.",
     ],
-    "GPL-2.0": ["Licensed under the GNU General Public License, version 2."],
-    "LGPL": ["Licensed under the GNU Lesser General Public License."],
-    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3."],
+    "GPL-2.0": [
+        "Licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License.",
+    ],
+    "LGPL": [
+        "Licensed under the GNU Lesser General Public License.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License.",
+    ],
+    "AGPL-3.0": [
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License.",
+    ],
     "BSD": [
         "Licensed under the BSD License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
@@ -195,16 +208,29 @@ def met(keys: str, known: str) -> Column:
     return F.get(F.transform(F.array(hit), of), F.lit(0))
 
 
+def distinguishing(listed: DataFrame) -> DataFrame:
+    """(t, marks): for each template of another license that holds most of this one's shingles, those it lacks."""
+    other = listed.select(F.col("license").alias("o_license"), F.col("wanted").alias("o_wanted"))
+    lacking = F.array_except("wanted", "o_wanted")
+    return (
+        listed.join(F.broadcast(other), F.col("license") != F.col("o_license"))
+        .where((F.size(F.array_intersect("wanted", "o_wanted")) >= RELATED * F.size("wanted")) & (F.size(lacking) > 0))
+        .groupBy("t")
+        .agg(F.collect_set(lacking).alias("marks"))
+    )
+
+
 def verified(placed: DataFrame, known: DataFrame, least: float) -> DataFrame:
     """(uid, doc_id, license, containment, first_word, n_words) of the places that hold enough."""
     listed = known.select("t", "license", "words", F.array_distinct(shingles(F.col("words"))).alias("wanted"))
-    joined = placed.join(F.broadcast(listed.withColumnRenamed("words", "template")), placed["p.t"] == listed["t"])
+    listed = listed.join(F.broadcast(distinguishing(listed)), "t", "left")
+    joined = placed.join(F.broadcast(listed.withColumnRenamed("words", "template")), F.col("p.t") == F.col("t"))
     n = F.size("template")
     slack = F.ceil(n * SLACK).cast("int")
     start = F.greatest(F.lit(0), F.col("p.align") - slack)
     stretch = once(
         joined.select(
-            "uid", "doc_id", "license", "wanted", n.alias("n_words"), start.alias("start"),
+            "uid", "doc_id", "license", "wanted", "marks", n.alias("n_words"), start.alias("start"),
             F.slice("words", start + 1, F.col("p.align") + n + slack - start).alias("part"),
         ),
         found=shingles(F.col("part")),
@@ -213,8 +239,10 @@ def verified(placed: DataFrame, known: DataFrame, least: float) -> DataFrame:
     first = F.filter(
         F.transform("found", lambda x, i: F.when(F.array_contains("wanted", x), i)), lambda i: i.isNotNull()
     )
+    told = F.forall(F.coalesce("marks", F.array()), lambda m: F.arrays_overlap("found", m))
     return (
-        stretch.select(
+        stretch.where(told)
+        .select(
             "uid", "doc_id", "license", share.alias("containment"), "n_words",
             (F.col("start") + F.get(first, F.lit(0))).alias("first_word"),
         )
