@@ -74,6 +74,22 @@ def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
         return mix(v * K1 + ((w << np.uint64(17)) | (w >> np.uint64(47))))
 
 
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    return ((keys >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """The lower 40 bits, by which a shard knows its n-grams: a million of them meet a foreign
+    key with 1e-6, against false positives of about 1e-2."""
+    return np.ascontiguousarray(keys, "<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 def level_of(counts: np.ndarray) -> np.ndarray:
     return np.minimum(1 + np.floor(np.log(counts) / math.log(BASE) + 1e-9), LEVELS).astype(np.int64)
 
@@ -168,16 +184,16 @@ def packed_counts(shards: int):
             out = []
             pairs = np.concatenate([pair_keys(r[:-1], r[1:]) for r in runs])
             keys, n = np.unique(pairs, return_counts=True)
-            shard = (keys % np.uint64(shards)).astype(np.int64)
+            shard = shard_of(keys, shards)
             order = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[order], np.arange(shards + 1))
             for s in range(shards):
                 mine = order[cuts[s] : cuts[s + 1]]
                 if len(mine):
-                    out.append((s, "pair", keys[mine].tobytes(), n[mine].astype("<u4").tobytes()))
+                    out.append((s, "pair", packed(keys[mine]), n[mine].astype("<u4").tobytes()))
             names = list(words)
             h = word_keys(np.fromiter(map(memo.__getitem__, names), np.uint64, len(names)))
-            shard = (h % np.uint64(shards)).astype(np.int64).tolist()
+            shard = shard_of(h, shards).tolist()
             by_shard: dict[int, list[bytes]] = {}
             for w, s in zip(names, shard, strict=True):
                 by_shard.setdefault(s, []).append(w)
@@ -220,7 +236,7 @@ def shard_tables(shards: int):
         times: list[np.ndarray] = []
         for kind, keys, counts in zip(*(rows.column(c).to_pylist() for c in ("kind", "keys", "counts")), strict=True):
             if kind == "pair":
-                pairs.append(np.frombuffer(keys, "<u8"))
+                pairs.append(unpacked(keys))
                 times.append(np.frombuffer(counts, "<u4"))
             else:
                 words.update(dict(zip(keys.split(b" "), np.frombuffer(counts, "<u8").tolist(), strict=True)))
@@ -232,6 +248,7 @@ def shard_tables(shards: int):
         summed = np.add.reduceat(all_times, first) if len(all_keys) else all_times
         names = list(words)
         own = word_keys(np.fromiter((xxhash.xxh64_intdigest(w) for w in names), np.uint64, len(names)))
+        own &= np.uint64((1 << 40) - 1)
         data, cutoff = segment(
             np.concatenate([all_keys[first] if len(all_keys) else all_keys, own]),
             np.concatenate([summed, np.fromiter(words.values(), np.int64, len(names))]),
@@ -297,53 +314,66 @@ class Questions:
         self.context, self.word, self.pair = slot[at - 1], slot[at], len(h) + back
         self.words = list(slots)
         keys = np.concatenate([word_keys(h), pairs])
-        shard = (keys % np.uint64(shards)).astype(np.int64)
+        shard = shard_of(keys, shards)
         self.order = np.argsort(shard, kind="stable")
         self.keys = keys[self.order]
         self.cuts = np.searchsorted(shard[self.order], np.arange(shards + 1))
 
 
-ASKED = "chunk string, shard int, keys binary, texts array<binary>, docs binary"
+CHUNKS = "chunk string, texts array<binary>, docs binary"
 
 
-def asking(shards: int):
-    """Task side: chunks of documents as rows, and for each shard the keys that a chunk asks for."""
+def chunks_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task side: chunks of documents as rows."""
+    parts: list[pa.RecordBatch] = []
+    held = 0
 
-    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[pa.RecordBatch] = []
-        held = 0
+    def row() -> pa.RecordBatch:
+        docs = pa.Table.from_batches(parts)
+        rest = docs.drop_columns(["bytes"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rest.schema) as out:
+            out.write_table(rest)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([uuid.uuid4().hex]),
+                pa.array([docs.column("bytes").to_pylist()], pa.list_(pa.binary())),
+                pa.array([sink.getvalue().to_pybytes()], pa.binary()),
+            ],
+            ["chunk", "texts", "docs"],
+        )
 
-        def rows() -> pa.RecordBatch:
-            name = uuid.uuid4().hex
-            docs = pa.Table.from_batches(parts).combine_chunks()
-            texts = docs.column("bytes").to_pylist()
-            asked = Questions([[*words_of(t), END] for t in texts], shards)
-            cuts = asked.cuts.tolist()
-            some = [s for s in range(shards) if cuts[s] < cuts[s + 1]]
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, docs.drop_columns(["bytes"]).schema) as out:
-                out.write_table(docs.drop_columns(["bytes"]))
-            n = len(some)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([name] * (n + 1)),
-                    pa.array([None, *some], pa.int32()),
-                    pa.array([None, *(asked.keys[cuts[s] : cuts[s + 1]].tobytes() for s in some)], pa.binary()),
-                    pa.array([texts, *[None] * n], pa.list_(pa.binary())),
-                    pa.array([sink.getvalue().to_pybytes(), *[None] * n], pa.binary()),
-                ],
-                ["chunk", "shard", "keys", "texts", "docs"],
-            )
+    for batch in slices(batches):
+        parts.append(batch)
+        held += sum(len(t or b"") for t in batch.column("bytes").to_pylist())
+        if held >= HELD_BYTES:
+            yield row()
+            parts.clear()
+            held = 0
+    if parts:
+        yield row()
 
-        for batch in slices(batches):
-            parts.append(batch)
-            held += batch.column("bytes").nbytes
-            if held >= HELD_BYTES:
-                yield rows()
-                parts.clear()
-                held = 0
-        if parts:
-            yield rows()
+
+ASKED = "chunk string, shard int, keys binary"
+
+
+def asking(shards: int):
+    """Task side: for each shard the keys that a chunk asks for."""
+
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, texts in zip(batch.column("chunk").to_pylist(), batch.column("texts"), strict=True):
+                asked = Questions([[*words_of(t), END] for t in texts.as_py()], shards)
+                cuts = asked.cuts.tolist()
+                some = [s for s in range(shards) if cuts[s] < cuts[s + 1]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([name] * len(some)),
+                        pa.array(some, pa.int32()),
+                        pa.array([packed(asked.keys[cuts[s] : cuts[s + 1]]) for s in some], pa.binary()),
+                    ],
+                    ["chunk", "shard", "keys"],
+                )
 
     return ask
 
@@ -354,7 +384,7 @@ def answer(key: tuple, asked: pa.Table, segments: pa.Table) -> pa.Table:
     held = LogFrequencyFilter(data[0], np.array([0]), np.array([len(data[0])])) if data else None
     levels = []
     for keys in asked.column("keys").to_pylist():
-        keys = np.frombuffer(keys, "<u8")
+        keys = unpacked(keys)
         found = held.levels(keys) if held else np.zeros(len(keys), np.int64)
         levels.append(found.astype(np.uint8).tobytes())
     return pa.table({"chunk": asked.column("chunk"), "shard": asked.column("shard"), "levels": pa.array(levels, pa.binary())})
@@ -370,10 +400,10 @@ def levelled(docs: DataFrame, model: Model) -> DataFrame:
     shards = model.shards
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + LEVELLED.split(", ", 1)[1]
     source = docs.select("doc_id", "held_out", F.col("text").cast("binary").alias("bytes"))
-    # Written, so that the names of the chunks stay.
-    asked = written(source.mapInArrow(asking(shards), ASKED), "lm-asked")
+    # Written, so that the names of the chunks stay; keys are made again rather than written.
+    chunks = written(source.mapInArrow(chunks_of, CHUNKS), "lm-chunks")
     answers = (
-        asked.where("keys is not null").select("chunk", "shard", "keys").groupBy("shard")
+        chunks.select("chunk", "texts").mapInArrow(asking(shards), ASKED).groupBy("shard")
         .cogroup(model.segments.groupBy("shard"))
         .applyInArrow(answer, "chunk string, shard int, levels binary")
     )
@@ -408,8 +438,7 @@ def levelled(docs: DataFrame, model: Model) -> DataFrame:
             }
         )
 
-    chunks = asked.where("keys is null").select("chunk", "texts", "docs").groupBy("chunk")
-    return written(chunks.cogroup(answers.groupBy("chunk")).applyInArrow(put_together, schema), "lm-levels")
+    return written(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(put_together, schema), "lm-levels")
 
 
 def triple(context: np.ndarray, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
