@@ -12,7 +12,8 @@ Text: character references are decoded, white space inside a block becomes one s
 are trimmed and joined by one space in page order; nothing is cut.
 
 Defined cases: null or empty html has empty text; a page without any word has empty text;
-unclosed and stray tags are tolerated (a closing tag ends all that is open inside of it);
+unclosed and stray tags are tolerated (a closing tag ends all that is open inside of it; the next
+article or main ends an unclosed nav, aside or form);
 without labelled pages fixed penalties of the well-known names apply; equal regions: the first
 one; repeated pages give repeated rows.
 """
@@ -43,6 +44,8 @@ CONTENT = ("article", "main")
 INLINE = "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
 FURNITURE_TAGS = "nav aside footer form dialog menu fieldset".split()
+#: Furniture whatever share of the page it holds.
+LANDMARKS = "nav aside footer menu".split()
 FURNITURE_CLASSES = (
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead topbar toolbar "
     "ad ads adv advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent notice "
@@ -50,6 +53,14 @@ FURNITURE_CLASSES = (
     "reply replies disqus discussion respond share sharing social related recommended more tags pagination pager "
     "copyright legal disclaimer widget"
 ).split()
+#: Parts of a compound class that leave it furniture beside a furniture name; with any other part
+#: ("with-sidebar", "no-sidebar") the class says something of an element that isn't furniture.
+PLACES = (
+    "site page main top bottom left right side global primary secondary post box bar block section area list item items "
+    "links link container inner outer wrap wrapper row col text button title entry story article user"
+).split()
+#: Share of the page's words outside of furniture below which inherited marks are looked at again.
+LITTLE = 0.1
 #: Landmark roles.
 FURNITURE_ROLES = "navigation banner contentinfo complementary search form dialog alert".split()
 
@@ -70,7 +81,12 @@ def features(tag: str, attributes: str) -> list[str]:
     if "=" in attributes:
         for kind, *values in ATTR.findall(attributes):
             mark = "@" if kind.lower() == "role" else "."
-            out += [f"{mark}{w}" for w in NAME.findall("".join(values).lower())]
+            for token in "".join(values).lower().split():
+                parts = NAME.findall(token)
+                named = [w in FURNITURE_CLASSES for w in parts]
+                whole = mark == "@" or all(n or w in PLACES for n, w in zip(named, parts, strict=True))
+                # A name of furniture in another compound is marked, and is a feature of its own.
+                out += [f"{mark}{w}" if whole or not n else f"{mark}+{w}" for n, w in zip(named, parts, strict=True)]
     return out
 
 
@@ -122,6 +138,17 @@ def text_of(parts: Iterable[Piece]) -> str:
     return " ".join(b for b in clean if b)
 
 
+def unclosed(parts: list[Piece]) -> set[int]:
+    """The nav, aside and form elements that no tag closes; the next article or main ends them."""
+    left: dict[str, list[int]] = {t: [] for t in ("nav", "aside", "form")}
+    for k, p in enumerate(parts):
+        if p.open in left:
+            left[p.open].append(k)
+        elif p.close in left and left[p.close]:
+            left[p.close].pop()
+    return {k for ks in left.values() for k in ks}
+
+
 @dataclass
 class Extractor:
     odds: dict[str, float]  # log-odds of a feature outside against inside
@@ -143,28 +170,69 @@ class Extractor:
         return 0.1 + self.scale * max(0.0, max(found, default=0.0))
 
     def marked(self, parts: list[Piece]) -> list[bool]:
-        """Which pieces lie in furniture."""
-        stack: list[tuple[str, bool]] = []
+        """Which pieces lie in furniture.
+
+        Where hardly a word lies outside of furniture, a frame around the page was marked: then the
+        page's article and main elements, or else the marked element that holds most of the words,
+        lift the marks around them.
+        """
+        lifts: set[int] = set()
+        while True:
+            out, spans = self._marks(parts, lifts)
+            words = [p.words for p in parts]
+            total = sum(words)
+            free = sum(w for w, f in zip(words, out, strict=True) if not f)
+            content = [k for k, p in enumerate(parts) if p.open in CONTENT]
+            if free >= LITTLE * total or any(not out[k] for k in content):
+                return out
+            fresh = {k for k in content if k not in lifts}
+            if not fresh:
+                sums = [0]
+                for w in words:
+                    sums.append(sums[-1] + w)
+                most = [
+                    k for k, end in spans.items()
+                    if out[k] and k not in lifts and parts[k].keys[0] not in LANDMARKS and 2 * (sums[end] - sums[k]) > total
+                ]
+                fresh = {min(most)} if most else set()
+            if not fresh:
+                return out
+            lifts |= fresh
+
+    def _marks(self, parts: list[Piece], lifts: set[int]) -> tuple[list[bool], dict[int, int]]:
+        """Which pieces lie in furniture, given those that lift marks; and where elements end."""
+        open_ended = unclosed(parts)
+        stack: list[tuple[str, bool, int]] = []
         out = []
-        for p in parts:
+        spans: dict[int, int] = {}
+
+        def cut(depth: int, at: int) -> None:
+            spans.update((k, at) for _, _, k in stack[depth:])
+            del stack[depth:]
+
+        for n, p in enumerate(parts):
             if p.close:
                 depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == p.close), None)
                 # A closing inline tag ends nothing but its own element.
                 if depth is not None and (p.starts_block or depth == len(stack) - 1):
                     inside = stack[depth][1]
-                    del stack[depth:]
+                    cut(depth, n)
                     out.append(inside)
                     continue
             if p.open and (p.starts_block or p.open == "a"):
-                inside = bool(stack and stack[-1][1]) or self.is_furniture(p.keys)
+                if p.open in CONTENT:
+                    first = next((k for k, e in enumerate(stack) if e[2] in open_ended), None)
+                    if first is not None:
+                        cut(first, n)
                 if p.open in ("p", "li", "option", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == p.open:
-                    inside = bool(len(stack) > 1 and stack[-2][1]) or self.is_furniture(p.keys)
-                    stack.pop()
-                stack.append((p.open, inside))
+                    cut(len(stack) - 1, n)
+                inside = n not in lifts and (bool(stack and stack[-1][1]) or self.is_furniture(p.keys))
+                stack.append((p.open, inside, n))
                 out.append(inside)
                 continue
             out.append(bool(stack and stack[-1][1]))
-        return out
+        cut(0, len(parts))
+        return out, spans
 
     def region(self, parts: list[Piece], furniture: list[bool]) -> tuple[int, int]:
         """Bounds of the first contiguous run with the largest sum."""
