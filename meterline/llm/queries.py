@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meterline.llm.bradley import op13_quality_classifier
 from meterline.llm.common import table
 from meterline.llm.decontaminate import op5_benchmark_decontamination
 from meterline.llm.extract import op10_html_extraction
+from meterline.llm.fim import op11_fill_in_middle
 from meterline.llm.language import op4_language_id
 from meterline.llm.licenses import op1_license_scan
 from meterline.llm.lm import op9_lm_scoring
+from meterline.llm.merkle import op12_merkle_manifest
+from meterline.llm.oracle import ORACLE_SQL  # noqa: F401  (the driver contract reads it here)
 from meterline.llm.quality import op3_quality_rules
 from meterline.llm.secrets import op2_secret_scan
 from meterline.llm.sentencepiece import op8_sentencepiece
@@ -49,7 +53,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": on_documents(op8_sentencepiece),
     "op9_lm_scoring": on_documents(op9_lm_scoring),
     "op10_html_extraction": on_pages,
+    "op11_fill_in_middle": on_documents(op11_fill_in_middle),
+    "op12_merkle_manifest": on_documents(op12_merkle_manifest),
+    "op13_quality_classifier": on_documents(op13_quality_classifier, "labels"),
     "pipeline": pipeline,
 }
-
-ORACLE_SQL: dict[str, str] = {}
