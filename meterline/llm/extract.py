@@ -6,7 +6,7 @@ below zero. One linear scan finds the contiguous region with the largest sum; in
 it furniture is left out. Penalties come from labelled pages: a page with one `article` or
 `main` element says itself where its text is. The log-odds of a tag's features outside and
 inside of those elements, times a scale fitted on the same pages, are the penalties. Learning
-reads at most `SAMPLE_PAGES` pages (by hash of the id); extraction covers all pages.
+reads at most `SAMPLE_PAGES` pages (by hash of id and page; rows that repeat both count as one); extraction covers all pages.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks
 are trimmed and joined by one space in page order; nothing is cut.
@@ -20,6 +20,7 @@ one; repeated pages give repeated rows.
 
 from __future__ import annotations
 
+import bisect
 import html as references
 import math
 import re
@@ -53,23 +54,21 @@ FURNITURE_CLASSES = (
     "reply replies disqus discussion respond share sharing social related recommended more tags pagination pager "
     "copyright legal disclaimer widget"
 ).split()
-#: Parts of a compound class that leave it furniture beside a furniture name; with any other part
-#: ("with-sidebar", "no-sidebar") the class says something of an element that isn't furniture.
-PLACES = (
-    "site page main top bottom left right side global primary secondary post box bar block section area list item items "
-    "links link container inner outer wrap wrapper row col text button title entry story article user"
-).split()
+#: A name after one of these ("no-sidebar", "with-sidebar") says something of an element that isn't
+#: furniture itself.
+NEGATIONS = "no non not with without has hide hidden".split()
+#: Longer names also begin a class that is written in one word ("commentlist").
+BEGINNINGS = tuple(c for c in FURNITURE_CLASSES if len(c) >= 7)
 #: Share of the page's words outside of furniture below which inherited marks are looked at again.
 LITTLE = 0.1
 #: Landmark roles.
 FURNITURE_ROLES = "navigation banner contentinfo complementary search form dialog alert".split()
 
-PART = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|noscript|template|svg|iframe|title)\b(?P<rawattr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r".*?(?:</(?P=raw)\s*>|\Z)|</(?P<close>[a-zA-Z][^\s/>]*)[^>]*>"
-    r"|<(?P<open>[a-zA-Z][^\s/>]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+#: Elements whose inside is no markup; of these, some leave a mark in the page.
+RAW = "script style textarea noscript template svg iframe title".split()
+RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+TAG = re.compile(r"(/?)([a-zA-Z][^\s/><]*)")
+TAG_SIGN = re.compile("[<>\"']")
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
@@ -82,11 +81,13 @@ def features(tag: str, attributes: str) -> list[str]:
         for kind, *values in ATTR.findall(attributes):
             mark = "@" if kind.lower() == "role" else "."
             for token in "".join(values).lower().split():
-                parts = NAME.findall(token)
-                named = [w in FURNITURE_CLASSES for w in parts]
-                whole = mark == "@" or all(n or w in PLACES for n, w in zip(named, parts, strict=True))
-                # A name of furniture in another compound is marked, and is a feature of its own.
-                out += [f"{mark}{w}" if whole or not n else f"{mark}+{w}" for n, w in zip(named, parts, strict=True)]
+                negated = False
+                for w in NAME.findall(token):
+                    if w not in FURNITURE_CLASSES and w.startswith(BEGINNINGS):
+                        out.append(f"{mark}{next(c for c in BEGINNINGS if w.startswith(c))}")
+                    # A negated name is a feature of its own.
+                    out.append(f"{mark}+{w}" if negated and w in FURNITURE_CLASSES else f"{mark}{w}")
+                    negated = w in NEGATIONS
     return out
 
 
@@ -101,27 +102,82 @@ class Piece:
     close: str = ""
 
 
+class Scanner:
+    """Texts and tags of a page in one forward pass; a sign that was once looked for in vain is
+    not looked for again, so that broken markup takes no longer than any other."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.absent: set[str] = set()
+
+    def find(self, sign: str, at: int) -> int:
+        if sign in self.absent:
+            return -1
+        found = self.page.find(sign, at)
+        if found < 0:
+            self.absent.add(sign)
+        return found
+
+    def end_of_tag(self, at: int) -> int:
+        """Where a tag's attributes end: at the next `<` or `>` outside of quotes. A quote without
+        an end is a sign like any other."""
+        while True:
+            m = TAG_SIGN.search(self.page, at)
+            if m is None:
+                return len(self.page)
+            if m[0] in "<>":
+                return m.start()
+            closing = self.find(m[0], m.end())
+            at = closing + 1 if closing >= 0 else m.end()
+
+    def pieces(self) -> list[Piece]:
+        page, out = self.page, []
+        start = at = 0  # text since start, looked at up to at
+
+        def text(end: int) -> None:
+            if end > start:
+                raw = page[start:end]
+                out.append(Piece("text", raw, len(raw.split()), [], False))
+
+        while (at := self.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                text(at)
+                end = self.find("-->", at + 4)
+                start = at = end + 3 if end >= 0 else len(page)
+                continue
+            if page.startswith(("<!", "<?"), at):
+                end = self.find(">", at)
+                if end < 0:
+                    at += 1
+                    continue
+                text(at)
+                start = at = end + 1
+                continue
+            m = TAG.match(page, at + 1)
+            if m is None:
+                at += 1
+                continue
+            text(at)
+            tag = m[2].lower()
+            end = self.end_of_tag(m.end())
+            start = at = end + 1 if page.startswith(">", end) else end
+            if m[1]:
+                out.append(Piece("tag", "", 0, [f"/{tag}"], tag not in INLINE, close=tag))
+            elif tag in RAW:
+                closing = RAW_END[tag].search(page, at)
+                start = at = closing.end() if closing else len(page)
+                if tag in ("title", "textarea", "iframe"):
+                    out.append(Piece("tag", "", 0, [tag], True))
+            else:
+                attributes = page[m.end() : end]
+                held = "" if tag in VOID or attributes.rstrip().endswith("/") else tag
+                out.append(Piece("tag", "", 0, features(tag, attributes), tag not in INLINE, open=held))
+        text(len(page))
+        return out
+
+
 def pieces(page: str) -> list[Piece]:
-    out, at = [], 0
-
-    def text(raw: str) -> None:
-        if raw:
-            out.append(Piece("text", raw, len(raw.split()), [], False))
-
-    for m in PART.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
-        if m["open"]:
-            tag = m["open"].lower()
-            held = "" if tag in VOID or m["attr"].rstrip().endswith("/") else tag
-            out.append(Piece("tag", "", 0, features(tag, m["attr"]), tag not in INLINE, open=held))
-        elif m["close"]:
-            tag = m["close"].lower()
-            out.append(Piece("tag", "", 0, [f"/{tag}"], tag not in INLINE, close=tag))
-        elif m["raw"] and m["raw"].lower() in ("title", "textarea", "iframe"):
-            out.append(Piece("tag", "", 0, [m["raw"].lower()], True))
-    text(page[at:])
-    return out
+    return Scanner(page).pieces()
 
 
 def text_of(parts: Iterable[Piece]) -> str:
@@ -173,60 +229,68 @@ class Extractor:
         """Which pieces lie in furniture.
 
         Where hardly a word lies outside of furniture, a frame around the page was marked: then the
-        page's article and main elements, or else the marked element that holds most of the words,
-        lift the marks around them.
+        page's article and main elements, or else the outermost marked elements that hold most of
+        the words, as few of them as free enough words, lift the marks around them.
         """
-        lifts: set[int] = set()
-        while True:
-            out, spans = self._marks(parts, lifts)
-            words = [p.words for p in parts]
-            total = sum(words)
-            free = sum(w for w, f in zip(words, out, strict=True) if not f)
-            content = [k for k, p in enumerate(parts) if p.open in CONTENT]
-            if free >= LITTLE * total or any(not out[k] for k in content):
-                return out
-            fresh = {k for k in content if k not in lifts}
-            if not fresh:
-                sums = [0]
-                for w in words:
-                    sums.append(sums[-1] + w)
-                most = [
-                    k for k, end in spans.items()
-                    if out[k] and k not in lifts and parts[k].keys[0] not in LANDMARKS and 2 * (sums[end] - sums[k]) > total
-                ]
-                fresh = {min(most)} if most else set()
-            if not fresh:
-                return out
-            lifts |= fresh
+        words = [p.words for p in parts]
+        total = sum(words)
+        content = [k for k, p in enumerate(parts) if p.open in CONTENT]
+
+        def enough(marks: list[bool]) -> bool:
+            free = sum(w for w, f in zip(words, marks, strict=True) if not f)
+            return free >= LITTLE * total or any(not marks[k] for k in content)
+
+        out, spans = self._marks(parts, set())
+        if enough(out):
+            return out
+        if content:
+            return self._marks(parts, set(content))[0]
+        sums = [0]
+        for w in words:
+            sums.append(sums[-1] + w)
+        # Elements with most of the words lie in each other.
+        most = sorted(
+            k for k, end in spans.items()
+            if out[k] and parts[k].keys[0] not in LANDMARKS and 2 * (sums[end] - sums[k]) > total
+        )
+        few = bisect.bisect_left(range(len(most) + 1), True, key=lambda n: enough(self._marks(parts, set(most[:n]))[0]))
+        return self._marks(parts, set(most[:few]))[0]
 
     def _marks(self, parts: list[Piece], lifts: set[int]) -> tuple[list[bool], dict[int, int]]:
         """Which pieces lie in furniture, given those that lift marks; and where elements end."""
         open_ended = unclosed(parts)
         stack: list[tuple[str, bool, int]] = []
+        depths: dict[str, list[int]] = {}  # where each tag is open
+        loose: list[int] = []  # where elements are open that no tag closes
         out = []
         spans: dict[int, int] = {}
 
         def cut(depth: int, at: int) -> None:
-            spans.update((k, at) for _, _, k in stack[depth:])
-            del stack[depth:]
+            while len(stack) > depth:
+                tag, _, k = stack.pop()
+                spans[k] = at
+                depths[tag].pop()
+                if loose and loose[-1] == len(stack):
+                    loose.pop()
 
         for n, p in enumerate(parts):
-            if p.close:
-                depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == p.close), None)
+            if p.close and depths.get(p.close):
+                depth = depths[p.close][-1]
                 # A closing inline tag ends nothing but its own element.
-                if depth is not None and (p.starts_block or depth == len(stack) - 1):
+                if p.starts_block or depth == len(stack) - 1:
                     inside = stack[depth][1]
                     cut(depth, n)
                     out.append(inside)
                     continue
             if p.open and (p.starts_block or p.open == "a"):
-                if p.open in CONTENT:
-                    first = next((k for k, e in enumerate(stack) if e[2] in open_ended), None)
-                    if first is not None:
-                        cut(first, n)
+                if p.open in CONTENT and loose:
+                    cut(loose[0], n)
                 if p.open in ("p", "li", "option", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == p.open:
                     cut(len(stack) - 1, n)
                 inside = n not in lifts and (bool(stack and stack[-1][1]) or self.is_furniture(p.keys))
+                depths.setdefault(p.open, []).append(len(stack))
+                if n in open_ended:
+                    loose.append(len(stack))
                 stack.append((p.open, inside, n))
                 out.append(inside)
                 continue
@@ -294,25 +358,18 @@ def overlap(a: str, b: str) -> float:
 
 def fit_extractor(pages: DataFrame, html: str = "html", page_id: str = "page_id", sample_pages: int = SAMPLE_PAGES) -> Extractor:
     """Penalties from the labelled pages of a bounded sample."""
-    ids = F.col(page_id).cast("string")
-    total = pages.where(F.col(html).isNotNull()).count()
-    # By hash, a little more than the bound, then cut to it: few rows are ever sorted.
-    share = min(1.0, 1.5 * sample_pages / max(total, 1))
+    pages = pages.where(F.col(html).isNotNull())
+    place = F.xxhash64(F.col(page_id).cast("string"), html)
+    # The sample hangs on the rows, not on the files; only hashes are sorted.
+    last = pages.select(place.alias("h")).orderBy("h").limit(sample_pages).agg(F.max("h")).first()[0]
     sample = written(
-        pages.where(F.col(html).isNotNull())
-        .where(F.pmod(F.xxhash64(ids), F.lit(1_000_000)) < int(share * 1_000_000))
-        .select(F.col(html).alias("html"))
-        .limit(sample_pages)
-        .repartition(8),
-        "labelled-pages",
+        pages.where(place <= F.lit(last)).select(F.col(html).alias("html")).repartition(8), "labelled-pages"
     )
     counts = (
         sample.mapInArrow(count_features, "name string, i long, o long")
         .groupBy("name")
         .agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
         .where("i + o >= 5")
-        .orderBy(F.desc(F.col("i") + F.col("o")), "name")
-        .limit(5_000)
         .collect()
     )
     # Odds per page element: 0 is as frequent inside as outside.
