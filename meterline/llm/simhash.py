@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructType
 
 from meterline.llm.common import appended, fresh_name, slices, written
 from meterline.llm.components import components
@@ -80,20 +81,16 @@ def fingerprint(text: bytes) -> int:
 
 
 def with_fingerprints(docs: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds the fingerprint as a long."""
-    from pyspark.sql.types import LongType, StructType
-
-    held = fresh_name(docs, "_bytes")
+    """Adds the fingerprint as a long. A text travels once."""
     schema = StructType([*docs.schema.fields]).add(name, LongType())
+    column = docs.columns.index(text)
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            values = [signed(fingerprint(t or b"")) for t in batch.column(held).to_pylist()]
-            kept = batch.select([c for c in batch.schema.names if c != held])
-            yield appended(kept, **{name: pa.array(values, pa.int64())})
+            texts = batch.column(column).cast(pa.binary()).to_pylist()
+            yield appended(batch, **{name: pa.array([signed(fingerprint(t or b"")) for t in texts], pa.int64())})
 
-    source = docs.withColumn(held, F.col(f"`{text}`").cast("binary"))
-    return source.mapInArrow(add, schema)
+    return docs.mapInArrow(add, schema)
 
 
 def forest(prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -188,33 +185,25 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     Among rows that repeat that id, one row stays; without any id, one row stays as well.
     """
-    columns = docs.columns
-    row, fp, uid = (fresh_name(docs, c) for c in ("row", "fp", "uid"))
-    slim = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in columns]).alias(row),
-        F.col(f"`{text}`").alias("_text"),
-    )
+    fp, uid = (fresh_name(docs, c) for c in ("fp", "uid"))
     # The row number is fixed by being written.
     hashed = written(
-        with_fingerprints(slim, "_text", fp)
-        .drop("_text")
-        .withColumn(uid, F.monotonically_increasing_id()),
-        "simhash-rows",
+        with_fingerprints(docs, text, fp).withColumn(uid, F.monotonically_increasing_id()), "simhash-rows"
     )
-    rank = F.struct(F.col(f"`{row}`.`{doc_id}`").isNull().alias("n"), F.col(f"`{row}`.`{doc_id}`").alias("id"), F.col(uid).alias("uid"))
+    own_id = F.col(f"`{doc_id}`")
+    rank = F.struct(own_id.isNull().alias("n"), own_id.alias("id"), F.col(uid).alias("uid"))
     prints = written(
         hashed.select(F.col(fp).alias("fp"), rank.alias("r")).groupBy("fp").agg(F.min("r").alias("first")),
         "simhash-prints",
     )
-    winners = (
+    winners = written(
         prints.join(classes(prints.select("fp")), "fp")
         .groupBy("root")
         .agg(F.min("first").alias("first"))
-        .select(F.col("first.uid").alias(uid))
-    )
-    return hashed.join(winners, uid, "left_semi").select(
-        *[F.col(f"`{row}`.`{c}`").alias(c) for c in columns]
+        .select(F.col("first.uid").alias(uid)),
+        "simhash-winners",
     )
+    return hashed.join(winners, uid, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_simhash_near_dedup(docs: DataFrame) -> DataFrame:
