@@ -4,8 +4,8 @@ The model protobuf is read field by field; normaliser (character map, dummy pref
 folding), meta space, unigram scores or BPE merges, and byte fallback are rebuilt. No piece of
 such a model crosses from a letter to a following meta space, and none holds a line feed, so
 that a text is encoded unit by unit (leading spaces and a word; or a line feed): this gives the
-ids of the whole text, and each unit is encoded once per worker while it stays in a bounded
-memo. Models for which that does not hold are encoded text by text.
+ids of the whole text, and each unit is encoded once per task while it stays in a bounded
+memo. The ids of every text are decoded again and held against its normalised form. Models for which that does not hold are encoded text by text.
 
 Workers hold themselves against the sentencepiece library on probe texts before the first row
 and raise on a difference. Decoding maps ids to pieces and bytes.
@@ -32,8 +32,9 @@ from meterline.llm.common import appended, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Units that a worker remembers.
-MEMO = 300_000
+#: Units that a worker remembers while it works on a partition, and that it encodes at a time.
+MEMO = 200_000
+BATCH = 2_000
 #: Text against which both libraries are held in each worker.
 PROBES = [
     "",
@@ -137,6 +138,7 @@ class Codec:
             core = models.BPE(
                 {n: k for k, n in enumerate(names)},
                 merges_of(model),
+                cache_capacity=0,  # units are remembered here already
                 unk_token=names[unk],
                 fuse_unk=True,
                 byte_fallback=model.byte_fallback,
@@ -146,7 +148,7 @@ class Codec:
         self.normalizer = normalizers.Sequence(steps) if steps else None
         plain = [p for p, _, kind in model.pieces if kind in (NORMAL, USER)]
         self.by_unit = not any(re.search(f"[^{SPACE}]{SPACE}|\n.|.\n", p, re.S) for p in plain)
-        self.memo: dict[str, tuple[bytes, bool]] = {}
+        self.memo: dict[str, bytes] = {}
         self.bytes_of = [self._piece_bytes(p, kind) for p, _, kind in model.pieces]
         self.check()
 
@@ -173,11 +175,15 @@ class Codec:
         return text.replace(" ", SPACE) if m.escape_spaces else text
 
     def _learn(self, units: list[str]) -> None:
-        encoded = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
-        for unit, e in zip(units, encoded, strict=True):
-            ids = e.ids
-            back = b"".join([self.bytes_of[k] for k in ids]) == unit.replace(SPACE, " ").encode()
-            self.memo[unit] = (np.array(ids, "<i4").tobytes(), back)
+        # Encodings are much larger than their ids, so few of them live at a time.
+        for at in range(0, len(units), BATCH):
+            some = units[at : at + BATCH]
+            encoded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            for unit, e in zip(some, encoded, strict=True):
+                self.memo[unit] = np.array(e.ids, "<i4").tobytes()
+
+    def forget(self) -> None:
+        self.memo.clear()
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
         """Ids (int32, little endian) of each text; whether they decode to the normalised text."""
@@ -186,16 +192,21 @@ class Codec:
         units = [split(t) for t in normal]
         memo = self.memo
         if len(memo) > MEMO:
-            memo.clear()
+            self.forget()
         fresh = {u for us in units for u in us if u not in memo}
         if fresh:
             self._learn(list(fresh))
-        found = [[memo[u] for u in us] for us in units]
-        return [b"".join([x[0] for x in f]) for f in found], [all(x[1] for x in f) for f in found]
+        ids = [b"".join([memo[u] for u in us]) for us in units]
+        back = [self.bytes_from(np.frombuffer(i, "<i4").tolist()) == n.replace(SPACE, " ").encode() for i, n in zip(ids, normal, strict=True)]
+        return ids, back
+
+    def bytes_from(self, ids: Iterable[int]) -> bytes:
+        bytes_of = self.bytes_of
+        return b"".join([bytes_of[k] for k in ids])
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of these ids, without the dummy prefix."""
-        text = b"".join([self.bytes_of[k] for k in ids]).decode("utf-8", "replace")
+        text = self.bytes_from(ids).decode("utf-8", "replace")
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
     def check(self) -> None:
@@ -224,22 +235,27 @@ def encode_text(
     schema = schema.add(ids, ArrayType(IntegerType())).add("n_tokens", LongType()).add("round_trip", BooleanType())
     column = docs.columns.index(text)
 
+    def encoded(c: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(column).to_pylist()
+        packed, back = c.encode([t or "" for t in texts])
+        sizes = np.array([len(p) // 4 for p in packed], np.int32)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        missing = np.array([t is None for t in texts])
+        lists = pa.ListArray.from_arrays(
+            pa.array(offsets, mask=np.append(missing, False)),
+            pa.array(np.frombuffer(b"".join(packed), "<i4")),
+        )
+        return appended(
+            batch, **{ids: lists, "n_tokens": pa.array(sizes.astype(np.int64)), "round_trip": pa.array(back)}
+        )
+
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        for batch in slices(batches):
-            texts = batch.column(column).to_pylist()
-            packed, back = c.encode([t or "" for t in texts])
-            sizes = np.array([len(p) // 4 for p in packed], np.int32)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            missing = np.array([t is None for t in texts])
-            lists = pa.ListArray.from_arrays(
-                pa.array(offsets, mask=np.append(missing, False)),
-                pa.array(np.frombuffer(b"".join(packed), "<i4")),
-            )
-            yield appended(
-                batch,
-                **{ids: lists, "n_tokens": pa.array(sizes.astype(np.int64)), "round_trip": pa.array(back)},
-            )
+        try:
+            for batch in slices(batches):
+                yield encoded(c, batch)
+        finally:  # the worker goes on to other tasks
+            c.forget()
 
     return docs.mapInArrow(add, schema)
 
