@@ -10,21 +10,18 @@ from pyspark.ml import Estimator
 from pyspark.ml.regression import (
     GBTRegressionModel,
     GBTRegressor,
-    LinearRegression,
-    LinearRegressionModel,
     RandomForestRegressionModel,
     RandomForestRegressor,
 )
-from pyspark.sql import DataFrame, functions as F
-
 from meterline import schemas as S
+from meterline.ml.linear import LinearFit, LinearModel
 
 FEATURES = "features_vector"
 LINEAR = ("linear_regression", "ridge", "lasso")
 TREES = ("random_forest", "gradient_boosting")
 MODELS = LINEAR + TREES
 #: What a fitted model is loaded as.
-FITTED = dict.fromkeys(LINEAR, LinearRegressionModel) | {
+FITTED = dict.fromkeys(LINEAR, LinearModel) | {
     "random_forest": RandomForestRegressionModel,
     "gradient_boosting": GBTRegressionModel,
 }
@@ -57,14 +54,9 @@ _TREE_NAMES = {
 def get_model(
     name: str,
     params: Mapping[str, Any] | None = None,
-    train: DataFrame | None = None,
     label: str = S.TARGET,
 ) -> Estimator:
-    """An unfitted regressor; an unknown name is a ValueError.
-
-    Ridge needs the training rows: Spark scales its penalty by the label's
-    deviation and the row count, and one small aggregate undoes that.
-    """
+    """An unfitted regressor; an unknown name is a ValueError."""
     if name not in MODELS:
         raise ValueError(f"no regressor is named {name!r}; there are {', '.join(MODELS)}")
     given = {**DEFAULT_PARAMS[name], **(params or {})}
@@ -72,31 +64,15 @@ def get_model(
         warnings.warn(f"{name}: Spark has no counterpart of {left_out}", stacklevel=2)
     given = {k: v for k, v in given.items() if k not in IGNORED}
     if name in LINEAR:
-        return _linear(name, given, train, label)
+        return _linear(name, given, label)
     return _trees(name, given, label)
 
 
-def _linear(name: str, given: dict, train: DataFrame | None, label: str) -> LinearRegression:
+def _linear(name: str, given: dict, label: str) -> LinearFit:
     alpha = float(given.pop("alpha", 0.0))
     given.pop("random_state", None)
     _refuse(given)
-    lr = LinearRegression(
-        featuresCol=FEATURES,
-        labelCol=label,
-        predictionCol="predicted",
-        standardization=False,
-        maxIter=1000,
-        tol=1e-10,
-        solver="auto",
-    )
-    if name == "ridge" and alpha > 0:
-        if train is None:
-            raise ValueError("ridge needs the training rows to scale its penalty")
-        n, sd = train.agg(F.count(label), F.stddev_pop(label)).first()
-        return lr.setElasticNetParam(0.0).setRegParam(alpha * sd / n)
-    if name == "lasso":
-        return lr.setElasticNetParam(1.0).setRegParam(alpha)
-    return lr
+    return LinearFit(kind=name, alpha=alpha, featuresCol=FEATURES, labelCol=label, predictionCol="predicted")
 
 
 def _trees(name: str, given: dict, label: str) -> Estimator:

@@ -22,7 +22,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meterline import schemas as S
-from meterline.ml.factory import FEATURES, FITTED, MODELS, get_model
+from meterline.ml.factory import FEATURES, FITTED, LINEAR, MODELS, get_model
+from meterline.ml.linear import LinearModel, grams, predictions
 from meterline.operators.evaluation import BASIC, metrics
 from meterline.operators.ranking import leaderboard
 from meterline.sources.staging import use_checkpoints
@@ -64,7 +65,7 @@ def fit_rows(
 ) -> Transformer:
     train = rows.where(F.col("split") == "train")
     use_checkpoints(rows.sparkSession)
-    return get_model(name, params, train, label).fit(train)
+    return get_model(name, params, label).fit(train)
 
 
 def split_metrics(model: Transformer, rows: DataFrame, label: str = S.TARGET) -> DataFrame:
@@ -78,6 +79,29 @@ def _frozen(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
+def fit_linear(
+    name: str,
+    df: DataFrame,
+    features: Sequence[str] = S.ALL_FEATURES,
+    label: str = S.TARGET,
+    trials: Sequence[Mapping[str, Any]] = ({},),
+) -> list[LinearModel]:
+    """A model for each of these parameters, all from one scan of the training rows."""
+    fits = [get_model(name, p, label) for p in trials]
+    train = df.where(F.col("split") == "train")
+    found = grams(train, features, label)
+    if not found:
+        raise ValueError("no training rows")
+    return [f.model(found[None]) for f in fits]
+
+
+def linear_metrics(model: LinearModel, df: DataFrame, features: Sequence[str], label: str = S.TARGET) -> DataFrame:
+    """Metrics of train and val from one scan of the named columns."""
+    kept = df.where(F.col("split").isin("train", "val"))
+    scored = kept.select("split", label, model.expression([F.col(c) for c in features]).alias("predicted"))
+    return metrics(scored, label, "predicted", ["split"])
+
+
 def train_model(
     name: str,
     df: DataFrame,
@@ -85,6 +109,9 @@ def train_model(
     label: str = S.TARGET,
     params: Mapping[str, Any] | None = None,
 ) -> Trained:
+    if name in LINEAR:  # one scan to fit, one for the errors: nothing to keep
+        [model] = fit_linear(name, df, features, label, [params or {}])
+        return Trained(name, dict(params or {}), model, _frozen(linear_metrics(model, df, features, label)), list(features))
     with training_rows(df, features, label) as rows:
         model = fit_rows(name, rows, params, label)
         result = _frozen(split_metrics(model, rows, label))
@@ -98,8 +125,8 @@ def train_all_models(
     label: str = S.TARGET,
     params: Mapping[str, Mapping[str, Any]] | None = None,
 ) -> tuple[DataFrame, dict[str, Trained]]:
-    """Validation leaderboard by rmse and the fitted models. A model that fails
-    is the board's last row, with the message in ``error`` and no metrics."""
+    """Validation leaderboard by rmse and the fitted models. A model whose parameters are
+    refused is the board's last row, with the message in ``error`` and no metrics."""
     fitted: dict[str, Trained] = {}
     failed: list[tuple[str, str]] = []
     board = None
@@ -107,12 +134,13 @@ def train_all_models(
         for name in models:
             chosen = (params or {}).get(name)
             try:
-                model = fit_rows(name, rows, chosen, label)
-                result = _frozen(split_metrics(model, rows, label))
-            except Exception as e:  # noqa: BLE001 - one failure must not end the comparison
+                get_model(name, chosen, label)
+            except (TypeError, ValueError) as e:  # bad parameters; a failing cluster ends the comparison
                 log.error("failed to train %s: %s", name, e)
                 failed.append((name, f"{type(e).__name__}: {e}"))
                 continue
+            model = fit_rows(name, rows, chosen, label)
+            result = _frozen(split_metrics(model, rows, label))
             fitted[name] = Trained(name, dict(chosen or {}), model, result, list(features))
             val = result.where(F.col("split") == "val").select(F.lit(name).alias("model"), *BASIC)
             board = val if board is None else board.unionByName(val)
@@ -201,13 +229,16 @@ def tune(
     """Random search on the validation split, then a refit of the best point on
     all training rows.
 
-    ``search_rows`` may hold a sample to search on. Each trial is a
+    ``search_rows`` may hold a sample to search on. Linear models are all fitted from one scan of
+    the training rows and judged by one of the validation rows. Each trial of another model is a
     distributed fit; ``parallelism`` of them share the cluster. rmse and mae
     are minimised, r2 is maximised.
     """
     if metric not in ("rmse", "mae", "r2"):
         raise ValueError(f"cannot tune for {metric}")
     points = [dict(p) for p in (trials or draw_trials(name, n_trials, seed))]
+    if name in LINEAR:
+        return _tune_linear(name, df, features, label, metric, points, search_rows)
     with training_rows(df if search_rows is None else search_rows, features, label) as rows:
 
         @inheritable_thread_target(rows.sparkSession)
@@ -222,13 +253,45 @@ def tune(
             results = pool.map(run, range(len(points)), chunksize=1)
         finally:
             pool.close()
+    best = _best_trial(results, metric)
+    return Tuned(_trials(df, results), points[best], train_model(name, df, features, label, points[best]))
+
+
+def _best_trial(results: Sequence[tuple], metric: str) -> int:
     value = {r[0]: r[2 + BASIC.index(metric)] for r in results}
     pick = max if metric == "r2" else min
-    best = pick(sorted(value), key=lambda i: value[i])
-    table = df.sparkSession.createDataFrame(
+    return pick(sorted(value), key=lambda i: value[i])
+
+
+def _trials(df: DataFrame, results: Sequence[tuple]) -> DataFrame:
+    return df.sparkSession.createDataFrame(
         results, "trial int, params string, " + ", ".join(f"{m} double" for m in BASIC)
     )
-    return Tuned(table, points[best], train_model(name, df, features, label, points[best]))
+
+
+def _tune_linear(
+    name: str,
+    df: DataFrame,
+    features: Sequence[str],
+    label: str,
+    metric: str,
+    points: list[dict[str, Any]],
+    search_rows: DataFrame | None,
+) -> Tuned:
+    rows = df if search_rows is None else search_rows
+    models = dict(enumerate(fit_linear(name, rows, features, label, points)))
+    val = rows.where(F.col("split") == "val").select(label, F.explode(predictions(models, features)).alias("t"))
+    judged = metrics(val.select(label, "t.*"), label, "predicted", ["trial"]).collect()
+    results = [(r["trial"], str(points[r["trial"]]), *[r[m] for m in BASIC]) for r in sorted(judged)]
+    if not results:
+        raise ValueError("no validation rows")
+    best = _best_trial(results, metric)
+    if search_rows is not None:
+        return Tuned(_trials(df, results), points[best], train_model(name, df, features, label, points[best]))
+    # Fitted on all training rows already; its metrics are computed when they are read.
+    model = models[best]
+    trained = Trained(name, points[best], model, linear_metrics(model, df, features, label), list(features))
+    return Tuned(_trials(df, results), points[best], trained)
 
 
 # --- scoring and inspection ------------------------------------------------------------

@@ -87,12 +87,18 @@ def with_ranges(
 
 
 def range_offsets(
-    ranged: DataFrame, keys: Sequence[str], weights: Sequence[str], value: str = "value"
+    ranged: DataFrame,
+    keys: Sequence[str],
+    weights: Sequence[str],
+    value: str = "value",
+    ahead: bool = False,
 ) -> DataFrame:
     """Per range: for each weight ``{w}_start`` (sum before the range),
-    ``{w}_here`` and ``{w}_total``; ``_next_min``, the least value after it."""
+    ``{w}_here`` and ``{w}_total``; ``_next_min``, the least value after it. With ``ahead`` also
+    ``{w}_next``, the weight of that value, and ``_origin``, the least value of all."""
+    first = [F.min_by(w, value).alias(f"{w}_first") for w in weights] if ahead else []
     totals = ranged.groupBy(*keys, "_range").agg(
-        *[F.sum(w).alias(f"{w}_here") for w in weights], F.min(value).alias("_min")
+        *[F.sum(w).alias(f"{w}_here") for w in weights], F.min(value).alias("_min"), *first
     )
     # At most `ranges` rows per group reach these windows.
     whole = Window.partitionBy(*keys)
@@ -103,7 +109,11 @@ def range_offsets(
         running = F.sum(here).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
         out[f"{w}_start"] = running - here
         out[f"{w}_total"] = F.sum(here).over(whole)
-    return totals.withColumns(out).drop("_min")
+        if ahead:
+            out[f"{w}_next"] = F.lead(f"{w}_first").over(ordered)
+    if ahead:
+        out["_origin"] = F.min("_min").over(whole)
+    return totals.withColumns(out).drop("_min", *[f"{w}_first" for w in weights])
 
 
 def brackets(
@@ -305,56 +315,74 @@ def ecdf(
 
     ``ranges=1`` is for samples of bounded size: one task per feature.
     """
-    keys = ["feature"]
+    return cdf_of_counts(paired_counts(reference, current, columns), ranges).select(
+        "feature", "value", "next_value", "f_ref", "f_cur"
+    )
+
+
+def cdf_of_counts(counts: DataFrame, ranges: int | None = None) -> DataFrame:
+    """``feature, value, next_value, n_ref, n_cur, f_ref, f_cur, next_f_ref, origin`` of merged
+    counts; ``origin`` is the feature's least value, ``next_f_ref`` the reference's share at the
+    next value."""
     weights = ["n_ref", "n_cur"]
-    counts = paired_counts(reference, current, columns)
     if ranges == 1:
         whole = Window.partitionBy("feature")
-        upto = whole.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-
-        def share(w: str) -> Column:
-            return F.try_divide(F.sum(w).over(upto), F.sum(w).over(whole)).cast("double")
-
-        return counts.select(
-            "feature",
-            "value",
-            F.lead("value").over(whole.orderBy("value")).alias("next_value"),
-            share("n_ref").alias("f_ref"),
-            share("n_cur").alias("f_cur"),
+        order = whole.orderBy("value")
+        upto = order.rowsBetween(Window.unboundedPreceding, 0)
+        ranged = counts.select(
+            "*",
+            F.min("value").over(whole).alias("_origin"),
+            F.lit(None).cast("double").alias("_next_min"),
+            F.lit(None).cast("bigint").alias("n_ref_next"),
+            *[F.lit(0).alias(f"{w}_start") for w in weights],
+            *[F.sum(w).over(whole).alias(f"{w}_total") for w in weights],
         )
-    ranged = with_ranges(counts, keys, ranges=ranges, weights=weights)
-    offsets = range_offsets(ranged, keys, weights).drop("n_ref_here", "n_cur_here")
-    inside = Window.partitionBy("feature", "_range").orderBy("value")
-    running = inside.rowsBetween(Window.unboundedPreceding, 0)
-
-    def cdf(w: str) -> Column:
-        upto = F.col(f"{w}_start") + F.sum(w).over(running)
-        return F.try_divide(upto.cast("double"), F.col(f"{w}_total").cast("double"))
-
-    # One offset row per feature and range.
-    return ranged.join(F.broadcast(offsets), ["feature", "_range"]).select(
+    else:
+        spread = with_ranges(counts, ["feature"], ranges=ranges, weights=weights)
+        offsets = range_offsets(spread, ["feature"], weights, ahead=True)
+        offsets = offsets.drop("n_ref_here", "n_cur_here", "n_cur_next")
+        # One offset row per feature and range.
+        ranged = spread.join(F.broadcast(offsets), ["feature", "_range"])
+        order = Window.partitionBy("feature", "_range").orderBy("value")
+        upto = order.rowsBetween(Window.unboundedPreceding, 0)
+
+    def share(w: str, more: Column | int = 0) -> Column:
+        cumulated = F.col(f"{w}_start") + F.sum(w).over(upto) + more
+        return F.try_divide(cumulated.cast("double"), F.col(f"{w}_total").cast("double"))
+
+    return ranged.select(
         "feature",
         "value",
-        F.coalesce(F.lead("value").over(inside), F.col("_next_min")).alias("next_value"),
-        cdf("n_ref").alias("f_ref"),
-        cdf("n_cur").alias("f_cur"),
+        F.coalesce(F.lead("value").over(order), F.col("_next_min")).alias("next_value"),
+        *weights,
+        share("n_ref").alias("f_ref"),
+        share("n_cur").alias("f_cur"),
+        share("n_ref", F.coalesce(F.lead("n_ref").over(order), F.col("n_ref_next"), F.lit(0))).alias("next_f_ref"),
+        F.col("_origin").alias("origin"),
     )
 
 
 def distances(
     reference: DataFrame, current: DataFrame, columns: Sequence[str], ranges: int | None = None
 ) -> DataFrame:
-    """``feature, wasserstein, ks``."""
+    """``feature, wasserstein, ks, ref_std, low, high``: the reference's deviation and the range of
+    both come from the same counts, so that each table is read once."""
+    counts = cdf_of_counts(paired_counts(reference, current, columns), ranges)
     gap = F.abs(F.col("f_ref") - F.col("f_cur"))
     width = F.col("next_value") - F.col("value")
-    return (
-        ecdf(reference, current, columns, ranges)
-        .groupBy("feature")
-        .agg(
-            F.coalesce(F.sum(width * gap), F.lit(0.0)).alias("wasserstein"),
-            F.max(gap).alias("ks"),
-        )
+    n, moved = F.col("n_ref"), F.col("value") - F.col("origin")
+    sums = counts.groupBy("feature").agg(
+        F.coalesce(F.sum(width * gap), F.lit(0.0)).alias("wasserstein"),
+        F.max(gap).alias("ks"),
+        F.sum(n).alias("_n"),
+        F.sum(n * moved).alias("_s1"),
+        F.sum(n * moved * moved).alias("_s2"),
+        F.min("value").alias("low"),
+        F.max("value").alias("high"),
     )
+    spread = F.col("_s2") - F.try_divide(F.col("_s1") * F.col("_s1"), F.col("_n"))
+    std = F.sqrt(F.try_divide(F.greatest(spread, F.lit(0.0)), F.col("_n") - 1))
+    return sums.select("feature", "wasserstein", "ks", std.alias("ref_std"), "low", "high")
 
 
 def ks_pvalue(statistic: Column, n_ref: Column, n_cur: Column, terms: int = 100) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -13,7 +14,6 @@ from meterline.operators import distribution as DI
 from meterline.operators.cleaning import common_columns
 from meterline.operators.evaluation import metric_exprs
 from meterline.operators.profile import histogram_pair, moments, rows_of
-from meterline.operators.sets import combined_range
 
 
 def column_drift(
@@ -27,31 +27,24 @@ def column_drift(
     """``feature, distance, score, drifted`` of numeric columns.
 
     The Wasserstein distance is divided by the reference deviation (``std``,
-    at least 0.001), by the combined range (``range``), or kept (``none``). ``ranges=1`` skips the
-    spreading of values over tasks, for two samples of bounded size.
+    at least 0.001), by the combined range (``range``), or kept (``none``). Each table is read
+    once. ``ranges=1`` skips the spreading of values over tasks, for two samples of bounded size.
+    Against a stored summary of the reference: `reference.column_drift`.
     """
-    dist = DI.distances(reference, current, columns, ranges)
-    if norm == "std":
-        scale = moments(reference, columns).select(
-            "feature", F.greatest(F.col("std"), F.lit(0.001)).alias("_scale")
-        )
-    elif norm == "range":
-        scale = combined_range(reference, current, columns).select(
-            "feature", (F.col("high") - F.col("low")).alias("_scale")
-        )
-    elif norm == "none":
-        scale = dist.select("feature", F.lit(1.0).alias("_scale"))
-    else:
+    scales = {
+        "std": F.greatest(F.col("ref_std"), F.lit(0.001)),
+        "range": F.col("high") - F.col("low"),
+        "none": F.lit(1.0),
+    }
+    if norm not in scales:
         raise ValueError(f"unknown normalisation: {norm}")
-    # One row per feature on both sides.
-    return dist.join(F.broadcast(scale), "feature").select(
+    score = N.ratio(F.col("wasserstein"), scales[norm])
+    return DI.distances(reference, current, columns, ranges).select(
         "feature",
         F.col("wasserstein").alias("distance"),
-        N.ratio(F.col("wasserstein"), F.col("_scale")).alias("score"),
+        score.alias("score"),
         F.lit(threshold).alias("threshold"),
-        F.coalesce(N.ratio(F.col("wasserstein"), F.col("_scale")) > threshold, F.lit(False))
-        .cast("int")
-        .alias("drifted"),
+        F.coalesce(score > threshold, F.lit(False)).cast("int").alias("drifted"),
     )
 
 
@@ -177,13 +170,22 @@ def check_alerts(
     return rows_of(cur, rows).where(F.col("value") > F.col("threshold"))
 
 
-def perturb(df: DataFrame, scenario: str, noise_seed: int = S.SAMPLE_SEED) -> DataFrame:
+def standard_normal(key: Column, seed: int) -> Column:
+    """A normal number that hangs on the key alone: Box-Muller over two uniform numbers of 48 bits
+    each from the key's hash, so that it is the same in every run and partitioning."""
+    h = F.md5(F.concat_ws("|", key.cast("string"), F.lit(str(seed))))
+    uniform = lambda at: (F.conv(F.substring(h, at, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    return F.sqrt(F.log(uniform(1)) * -2.0) * F.cos(uniform(13) * (2.0 * math.pi))
+
+
+def perturb(
+    df: DataFrame, scenario: str, noise_seed: int = S.SAMPLE_SEED, key: str = "trip_id"
+) -> DataFrame:
     """What-if changes of a table.
 
     ``distance``: x1.5; ``time``: +3 hours; ``extreme``: distance x2, +8
     hours, +2 to 4 passengers by a hash of the row; ``noise``: gaussian noise
-    of half a deviation on the duration (random, repeatable by seed only while
-    the partitioning stays the same).
+    of half a deviation on the duration, drawn from the row's ``key`` and the seed.
     """
     if scenario == "none":
         return df
@@ -204,7 +206,7 @@ def perturb(df: DataFrame, scenario: str, noise_seed: int = S.SAMPLE_SEED) -> Da
         spread = df.agg(F.stddev_samp("trip_duration_minutes")).scalar()
         return df.withColumn(
             "trip_duration_minutes",
-            F.col("trip_duration_minutes") + F.randn(noise_seed) * spread * 0.5,
+            F.col("trip_duration_minutes") + standard_normal(F.col(key), noise_seed) * spread * 0.5,
         )
     raise ValueError(f"unknown scenario: {scenario}")
 
@@ -217,6 +219,7 @@ def drift_report(
     min_rows: int = S.MIN_LOG_ROWS,
     prediction: str = "prediction",
     ranges: int | None = None,
+    categorical: Sequence[str] = (),
 ) -> DataFrame:
     """Everything about the newest log rows as one table ``feature, metric,
     value``: drift scores and verdicts, dataset verdict, means, shared
@@ -224,9 +227,30 @@ def drift_report(
 
     With fewer than ``min_rows`` rows the only row is the metric
     ``too_few_rows``. ``tail`` is bounded (the last hundred rows), the reference
-    need not be; ``ranges=1`` is for a staged reference sample.
+    need not be; ``ranges=1`` is for a staged reference sample. ``categorical`` columns are scored
+    by the distance of their frequencies and take part in the dataset verdict. Against a stored
+    summary of the reference: `reference.drift_report`.
     """
-    columns = common_columns(reference.select(*_known(reference)), tail)
+    columns = [c for c in common_columns(reference.select(*_known(reference)), tail) if c not in categorical]
+    drift = column_drift(reference, tail, columns, ranges=ranges)
+    if categorical:
+        drift = drift.unionByName(column_drift_cat(reference, tail, categorical))
+    means = mean_shift(reference, tail, columns).drop("change_pct", "drifted")
+    bars = histogram_pair(reference, tail, [c for c in S.HISTOGRAM_FEATURES if c in columns])
+    return report_of(drift, means, bars, tail, reference_fare_mean, log_rows, min_rows, prediction)
+
+
+def report_of(
+    drift: DataFrame,
+    means: DataFrame,
+    bars: DataFrame,
+    tail: DataFrame,
+    reference_fare_mean: Column | None = None,
+    log_rows: Column | None = None,
+    min_rows: int = S.MIN_LOG_ROWS,
+    prediction: str = "prediction",
+) -> DataFrame:
+    """The report from its parts: drift and means per feature, shared histograms."""
     enough = tail.select(F.count(F.lit(1)) >= min_rows).scalar()
 
     def metric(feature: Column, name: Column, value: Column) -> Column:
@@ -235,10 +259,8 @@ def drift_report(
         )
 
     # One row per feature, and one over all of them.
-    drift = column_drift(reference, tail, columns, ranges=ranges)
-    means = mean_shift(reference, tail, columns).drop("change_pct", "drifted")
     rolled = (
-        drift.join(F.broadcast(means), "feature")
+        drift.join(F.broadcast(means), "feature", "left")
         .groupingSets([[F.col("feature")], []], F.col("feature"))
         .agg(
             F.max("score").alias("score"),
@@ -255,18 +277,18 @@ def drift_report(
         "drift_share": share,
         "dataset_drift": (share > S.DRIFT_SHARE).cast("int"),
     }
-    single = ["score", "drifted", "reference_mean", "current_mean"]
+    # Categories have no means.
+    named = [F.when(F.col(m).isNotNull(), metric(F.col("feature"), F.lit(m), F.col(m))) for m in ("reference_mean", "current_mean")]
+    single = [metric(F.col("feature"), F.lit(m), F.col(m)) for m in ("score", "drifted")]
     scores = rolled.where(enough).select(
         F.explode(
             F.when(
                 F.col("feature").isNull(),
                 F.array(*[metric(F.lit("dataset"), F.lit(m), v) for m, v in overall.items()]),
-            ).otherwise(F.array(*[metric(F.col("feature"), F.lit(m), F.col(m)) for m in single]))
+            ).otherwise(F.array_compact(F.array(*single, *named)))
         ).alias("_r")
     )
-    bars = histogram_pair(
-        reference, tail, [c for c in S.HISTOGRAM_FEATURES if c in columns]
-    ).where(enough)
+    bars = bars.where(enough)
     sides = [
         metric(F.col("feature"), F.format_string(f"{side}[%s]", F.col("label")), F.col(side))
         for side in ("reference_pct", "current_pct")

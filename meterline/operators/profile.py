@@ -327,15 +327,20 @@ def histogram_pair(
     """Shared bins over both samples, each side in percent of its own rows."""
     from meterline.operators.sets import combined_range
 
-    limits = combined_range(reference, current, columns)
-    both = DI.long_values(reference, columns).withColumn("is_ref", F.lit(1)).unionByName(
-        DI.long_values(current, columns).withColumn("is_ref", F.lit(0))
+    one, none = F.lit(1), F.lit(0)
+    both = DI.long_values(reference, columns).select("*", one.alias("n_ref"), none.alias("n_cur")).unionByName(
+        DI.long_values(current, columns).select("*", none.alias("n_ref"), one.alias("n_cur"))
     )
+    return histogram_of_counts(both, combined_range(reference, current, columns), bins)
+
+
+def histogram_of_counts(both: DataFrame, limits: DataFrame, bins: int = 10) -> DataFrame:
+    """The same from ``feature, value, n_ref, n_cur`` and the features' united ranges."""
     index = N.equal_width_bin(F.col("value"), F.col("low"), F.col("high"), bins)
     counts = (
         both.join(F.broadcast(limits), "feature")
         .groupBy("feature", index.alias("bin"))
-        .agg(F.sum("is_ref").alias("_r"), F.sum(1 - F.col("is_ref")).alias("_c"))
+        .agg(F.sum("n_ref").alias("_r"), F.sum("n_cur").alias("_c"))
     )
 
     def pct(count: str, total: str) -> Column:

@@ -6,9 +6,10 @@ agree.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from meterline import schemas as S
 from meterline.functions import numeric as N
@@ -16,9 +17,6 @@ from meterline.operators import distribution as DI
 from meterline.operators.cleaning import select_available
 from meterline.operators.profile import moments
 
-# Samples up to this size fit a top-k comfortably.
-
-
 def hex_bucket(hex_text: Column, digits: int, buckets: int) -> Column:
     """Bucket number from the leading digits of a hexadecimal hash."""
     number = F.conv(F.substring(hex_text, 1, digits), 16, 10).cast("bigint")
@@ -30,35 +28,77 @@ def sample_hash(key: str, seed: int = S.SAMPLE_SEED) -> Column:
 
 
 def sample_n(
-    df: DataFrame, n: int, key: str = "trip_id", seed: int = S.SAMPLE_SEED
+    df: DataFrame, n: int, key: str = "trip_id", seed: int = S.SAMPLE_SEED, unique: bool = True
 ) -> DataFrame:
     """Exactly ``min(n, rows)`` rows without replacement: those with the least
-    key hash.
+    key hash. Lazy: nothing runs before the sample is used.
 
-    A count per hash cell (65,536 cells) finds the cell where the n-th row
-    lies, with one small job. Rows of earlier cells are taken as they stand,
-    wherever they are, and only the rest comes from a top-k over that one cell:
-    no task ever gathers the sample.
+    See `sample_by`, of which this is the case of one group.
+    """
+    grouped = df.withColumn("_group", F.lit(0))
+    return sample_by(grouped, "_group", {0: n}, key, seed, unique).drop("_group")
+
+
+def sample_by(
+    df: DataFrame,
+    group: str,
+    sizes: Mapping[Any, int],
+    key: str = "trip_id",
+    seed: int = S.SAMPLE_SEED,
+    unique: bool = True,
+) -> DataFrame:
+    """For each group in ``sizes`` exactly so many rows, or all it has: those with the least key
+    hash. Other groups give no rows.
+
+    A count per hash cell (65,536 cells a group, one pass for all groups) finds the cell where the
+    last row lies; the keys of that one cell say how it ends. Rows up to there are taken as they
+    stand, wherever they are: no task gathers the sample, and keys alone are read before. ``unique``
+    says that a key names one row; without it rows that share the last key are numbered, in one
+    task, by the hash of their columns.
     """
     order = sample_hash(key, seed)
     cell = F.conv(F.substring(order, 1, 4), 16, 10).cast("int")
-    counts = df.select(cell.alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("rows"))
-    # At most 65,536 rows reach the window, and one row reaches the driver.
-    running = F.sum("rows").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
-    edge = (
-        counts.withColumn("upto", running)
-        .where(F.col("upto") >= n)
-        .agg(F.min_by(F.struct("cell", (F.col("upto") - F.col("rows")).alias("before")), "cell"))
-        .first()[0]
+    kind = df.schema[group].dataType
+    wanted = F.create_map(*[F.lit(x) for g, n in sizes.items() for x in (g, n)])
+    keys = df.where(F.col(group).isin(list(sizes))).select(
+        F.col(group).alias("_g"), F.col(key).alias("_k"), order.alias("_h"), cell.alias("_cell")
     )
-    if edge is None:
-        return df
-
-    def least(rows: DataFrame, k: int) -> DataFrame:
-        return rows.withColumn("_h", order).orderBy("_h", key).limit(k).drop("_h")
-
-    rest = least(df.where(cell == edge["cell"]), n - edge["before"])
-    return df.where(cell < edge["cell"]).unionByName(rest)
+    counts = keys.groupBy("_g", "_cell").agg(F.count(F.lit(1)).alias("rows"))
+    by_group = Window.partitionBy("_g")
+    upto = by_group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    # At most 65,536 rows a group reach the window; one row a group is left.
+    edges = (
+        counts.withColumn("_upto", F.sum("rows").over(upto))
+        .withColumn("_n", F.try_element_at(wanted, F.col("_g").cast(kind)))
+        .where((F.col("_upto") >= F.col("_n")) & (F.col("_upto") - F.col("rows") < F.col("_n")))
+        .select("_g", "_cell", (F.col("_n") - F.col("_upto") + F.col("rows")).alias("_rest"))
+    )
+    place = F.row_number().over(by_group.orderBy("_h", "_k"))
+    last = (
+        keys.join(F.broadcast(edges), ["_g", "_cell"])
+        .withColumn("_place", place)
+        .where(F.col("_place") == F.col("_rest"))
+        .select(F.col("_g"), F.col("_h").alias("_last_h"), F.col("_k").alias("_last_k"))
+    )
+    # Groups that have no more rows than wanted have no last row. One row a group on either side.
+    some = [F.lit(g) for g, n in sizes.items() if n > 0]
+    ends = df.sparkSession.range(1).select(F.explode(F.array(*some).cast(T.ArrayType(kind))).alias("_g"))
+    ends = ends.join(F.broadcast(last), "_g", "left")
+    rows = df.withColumn("_h", order).join(F.broadcast(ends), F.col(group) == F.col("_g"))
+    below = F.col("_last_h").isNull() | (F.col("_h") < F.col("_last_h"))
+    tied = (F.col("_h") == F.col("_last_h")) & F.col(key).eqNullSafe(F.col("_last_k"))
+    before = below | ((F.col("_h") == F.col("_last_h")) & (F.col(key) < F.col("_last_k")))
+    if unique:
+        return rows.where(before | tied).select(*df.columns)
+    taken = rows.where(before).groupBy("_g").agg(F.count(F.lit(1)).alias("_taken"))
+    number = F.row_number().over(by_group.orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])))
+    rest = (
+        rows.where(tied)
+        .join(F.broadcast(taken), "_g", "left")
+        .withColumn("_number", number + F.coalesce(F.col("_taken"), F.lit(0)))
+        .where(F.col("_number") <= F.try_element_at(wanted, F.col("_g").cast(kind)))
+    )
+    return rows.where(before).select(*df.columns).unionByName(rest.select(*df.columns))
 
 
 def split_label(key_hash: Column, test_size: float = 0.2, val_size: float = 0.1) -> Column:
@@ -90,10 +130,8 @@ def split_data(
 def sample_train_val(
     df: DataFrame, n: int, key: str = "trip_id", seed: int = S.SAMPLE_SEED
 ) -> DataFrame:
-    """n training rows and n/4 validation rows."""
-    train = sample_n(df.where(F.col("split") == "train"), n, key, seed)
-    val = sample_n(df.where(F.col("split") == "val"), n // 4, key, seed)
-    return train.unionByName(val)
+    """n training rows and n/4 validation rows, both from the same passes."""
+    return sample_by(df, "split", {"train": n, "val": n // 4}, key, seed)
 
 
 def reference_sample(

@@ -22,10 +22,14 @@ def combined_range(
     is reduced to one row before the two meet."""
     from meterline.operators.profile import bounds
 
-    ref = bounds(reference, columns).withColumn("is_ref", F.lit(1))
-    cur = bounds(current, columns).withColumn("is_ref", F.lit(0))
+    return united_range(bounds(reference, columns), bounds(current, columns))
+
+
+def united_range(reference: DataFrame, current: DataFrame) -> DataFrame:
+    """The same from the bounds (``feature, low, high, n``) of each table."""
     return (
-        ref.unionByName(cur)
+        reference.withColumn("is_ref", F.lit(1))
+        .unionByName(current.withColumn("is_ref", F.lit(0)))
         .groupBy("feature")
         .agg(
             F.min("low").alias("low"),

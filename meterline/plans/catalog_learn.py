@@ -11,7 +11,7 @@ from meterline.functions import calendar as C
 from meterline.ml import scoring as SC, training as TN
 from meterline.ml.factory import FEATURES, MODELS, get_model
 from meterline.ml.transformer import TripFeatureModel, TripFeatureTransformer
-from meterline.operators import evaluation as EV, features as FE, sampling as SA
+from meterline.operators import evaluation as EV, features as FE, reference as RF, sampling as SA
 from meterline.plans import views as V
 from meterline.plans.catalog_monitor import _TAIL, _report_sql
 from meterline.plans.catalog_profile import _DICT, metrics_sql
@@ -30,39 +30,57 @@ def _rows(spark, d):
 
 # --- fitting -----------------------------------------------------------------------
 
-# One-feature closed forms over the training rows.
-_SUMS = """(SELECT count(*)::DOUBLE AS n, avg(trip_distance) AS mx, avg(fare_amount) AS my,
-  covar_pop(trip_distance, fare_amount) AS cxy, var_pop(trip_distance) AS vx FROM train)"""
+# Closed forms of two features over the training rows.
+_TWO = ["trip_distance", "passenger_count"]
+_SUMS = """(SELECT count(*)::DOUBLE AS n, avg(trip_distance) AS m1, avg(passenger_count) AS m2, avg(fare_amount) AS my,
+  var_pop(trip_distance) AS v1, var_pop(passenger_count) AS v2, covar_pop(trip_distance, passenger_count) AS c12,
+  covar_pop(trip_distance, fare_amount) AS c1, covar_pop(passenger_count, fare_amount) AS c2 FROM train)"""
+
+
+def _solved(moments: str, penalty: str = "0", c1: str = "c1", c2: str = "c2") -> str:
+    """Both coefficients: the penalty is on the diagonal."""
+    det = f"((v1 + {penalty}) * (v2 + {penalty}) - c12 * c12)"
+    return f"""SELECT *, (({c1}) * (v2 + {penalty}) - ({c2}) * c12) / {det} AS w1,
+      (({c2}) * (v1 + {penalty}) - ({c1}) * c12) / {det} AS w2 FROM {moments}"""
+
+
+def _shrunk(c: str) -> str:
+    return f"sign({c}) * greatest(abs({c}) - {_LASSO_ALPHA}, 0)"
+
+
 _RIDGE_ALPHA, _LASSO_ALPHA = 5000.0, 2.0
+# The lasso's minimum is one of the points where the signs of both coefficients are given.
+_LASSO = " UNION ALL ".join(
+    [_solved(_SUMS, "0", f"c1 - {_LASSO_ALPHA} * {i}", f"c2 - {_LASSO_ALPHA} * {j}") for i in (-1, 1) for j in (-1, 1)]
+    + [
+        f"SELECT *, {_shrunk('c1')} / v1 AS w1, 0.0::DOUBLE AS w2 FROM {_SUMS}",
+        f"SELECT *, 0.0::DOUBLE AS w1, {_shrunk('c2')} / v2 AS w2 FROM {_SUMS}",
+    ]
+)
+_LOSS = f"""(v1 * w1 * w1 + 2 * c12 * w1 * w2 + v2 * w2 * w2) / 2 - c1 * w1 - c2 * w2
+  + {_LASSO_ALPHA} * (abs(w1) + abs(w2))"""
 
 
 @query(
     "m1_get_model",
-    f"""SELECT model, round(w, 6) AS coefficient, round(my - w * mx, 6) AS intercept FROM (
-      SELECT 'linear_regression' AS model, cxy / vx AS w, mx, my FROM {_SUMS}
-      UNION ALL SELECT 'ridge', n * cxy / (n * vx + {_RIDGE_ALPHA}), mx, my FROM {_SUMS}
-      UNION ALL SELECT 'lasso', sign(cxy) * greatest(abs(cxy) - {_LASSO_ALPHA}, 0) / vx, mx, my FROM {_SUMS})""",
+    f"""SELECT model, round(w1, 6) AS distance, round(w2, 6) AS passengers,
+      round(my - w1 * m1 - w2 * m2, 6) AS intercept FROM (
+      SELECT 'linear_regression' AS model, * FROM ({_solved(_SUMS)})
+      UNION ALL SELECT 'ridge', * FROM ({_solved(_SUMS, f"{_RIDGE_ALPHA} / n")})
+      UNION ALL SELECT 'lasso', * FROM (SELECT * FROM ({_LASSO}) ORDER BY {_LOSS} LIMIT 1))""",
 )
 def _(spark, d):
     alphas = {"linear_regression": None, "ridge": _RIDGE_ALPHA, "lasso": _LASSO_ALPHA}
     rows = []
-    with TN.training_rows(_rows(spark, d), ["trip_distance"]) as ready:
+    with TN.training_rows(_rows(spark, d), _TWO) as ready:
         train = ready.where(F.col("split") == "train").select(S.TARGET, FEATURES)
         for name, alpha in alphas.items():
-            params = {} if alpha is None else {"alpha": alpha}
-            m = get_model(name, params, train).fit(train)
-            rows.append((name, float(m.coefficients[0]), float(m.intercept)))
-    return spark.createDataFrame(rows, "model string, coefficient double, intercept double")
+            m = get_model(name, {} if alpha is None else {"alpha": alpha}).fit(train)
+            rows.append((name, *map(float, m.coefficients), float(m.intercept)))
+    return spark.createDataFrame(rows, "model string, distance double, passengers double, intercept double")
 
 
-_OLS = "(SELECT regr_slope(fare_amount, trip_distance) AS w, regr_intercept(fare_amount, trip_distance) AS w0 FROM train)"
-
-# Two-feature closed form over the training rows.
-_OLS_2 = """(SELECT *, my - w1 * m1 - w2 * m2 AS w0 FROM (
-  SELECT m1, m2, my, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS w1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS w2
-  FROM (SELECT avg(trip_distance) AS m1, avg(passenger_count) AS m2, avg(fare_amount) AS my,
-    var_pop(trip_distance) AS v1, var_pop(passenger_count) AS v2, covar_pop(trip_distance, passenger_count) AS c12,
-    covar_pop(trip_distance, fare_amount) AS c1, covar_pop(passenger_count, fare_amount) AS c2 FROM train)))"""
+_OLS_2 = f"(SELECT *, my - w1 * m1 - w2 * m2 AS w0 FROM ({_solved(_SUMS)}))"
 
 
 @query(
@@ -72,7 +90,7 @@ _OLS_2 = """(SELECT *, my - w1 * m1 - w2 * m2 AS w0 FROM (
      FROM scored, {_OLS_2} WHERE split IN ('train', 'val')) GROUP BY 1""",
 )
 def _(spark, d):
-    return TN.train_model("linear_regression", _rows(spark, d), ["trip_distance", "passenger_count"]).metrics
+    return TN.train_model("linear_regression", _rows(spark, d), _TWO).metrics
 
 
 @query(
@@ -98,39 +116,32 @@ def _(spark, d):
     )
 
 
-_ALPHAS = [10.0, 200000.0, 40000.0, 5000.0, 0.1]
+_TRIALS = TN.draw_trials("ridge", 12)
+_JUDGED = f"""(SELECT trial, fare_amount, my + w1 * (trip_distance - m1) + w2 * (passenger_count - m2) AS p
+  FROM (SELECT fare_amount, trip_distance, passenger_count FROM scored WHERE split = 'val'),
+  ({_solved(f"(SELECT * FROM {_SUMS}, (VALUES {', '.join(f'({i}::INT, {t['alpha']!r}::DOUBLE)' for i, t in enumerate(_TRIALS))}) t(trial, alpha))", "alpha / n")}))"""
 
 
 @query(
     "m4_tune",
-    f"""SELECT trial, {metrics_sql("p", full=False)}, (trial = arg_min(trial, sse) OVER ())::INT AS is_best FROM (
-      SELECT * EXCLUDE (mx, my, w), my + w * (trip_distance - mx) AS p FROM
-        (SELECT fare_amount, trip_distance FROM scored WHERE split = 'val'),
-        (SELECT t.i AS trial, n * cxy / (n * vx + t.a) AS w, mx, my FROM {_SUMS},
-          (VALUES {", ".join(f"({i}::INT, {a}::DOUBLE)" for i, a in enumerate(_ALPHAS))}) t(i, a))) v
-      JOIN (SELECT trial, sum((fare_amount - p) ** 2) AS sse FROM (
-        SELECT trial, fare_amount, my + w * (trip_distance - mx) AS p FROM
-          (SELECT fare_amount, trip_distance FROM scored WHERE split = 'val'),
-          (SELECT t.i AS trial, n * cxy / (n * vx + t.a) AS w, mx, my FROM {_SUMS},
-            (VALUES {", ".join(f"({i}::INT, {a}::DOUBLE)" for i, a in enumerate(_ALPHAS))}) t(i, a))) GROUP BY 1) USING (trial)
-    GROUP BY trial, sse""",
+    f"""SELECT * EXCLUDE (sse), (trial = arg_min(trial, sse) OVER ())::INT AS is_best FROM (
+      SELECT trial, {metrics_sql("p", full=False)}, sum((fare_amount - p) ** 2) AS sse FROM {_JUDGED} GROUP BY trial)""",
 )
 def _(spark, d):
-    tuned = TN.tune(
-        "ridge", _rows(spark, d), ["trip_distance"], trials=[{"alpha": a} for a in _ALPHAS]
-    )
-    best = _ALPHAS.index(tuned.best_params["alpha"])
+    tuned = TN.tune("ridge", _rows(spark, d), _TWO, n_trials=len(_TRIALS))
+    best = _TRIALS.index(tuned.best_params)
     return tuned.trials.drop("params").withColumn("is_best", (F.col("trial") == best).cast("int"))
 
 
 @query(
     "m5_batch_predict",
-    f"SELECT trip_id, round(fare_amount, 6) AS fare_amount, round(w0 + w * trip_distance, 6) AS predicted_fare FROM test, {_OLS}",
+    f"""SELECT trip_id, round(fare_amount, 6) AS fare_amount,
+    round(w0 + w1 * trip_distance + w2 * passenger_count, 6) AS predicted_fare FROM test, {_OLS_2}""",
 )
 def _(spark, d):
     rows = _rows(spark, d)
     path = ST.new_path(spark, "trained")
-    TN.save_trained(TN.train_model("linear_regression", rows, ["trip_distance"]), path)
+    TN.save_trained(TN.train_model("linear_regression", rows, _TWO), path)
     saved = TN.load_trained(spark, path)
     scored = TN.batch_predict(saved.model, V.split_of(rows, "test"), saved.features)
     return scored.select("trip_id", "fare_amount", "predicted_fare")
@@ -319,11 +330,11 @@ def _(spark, d):
     for where in parts:
         log.where(where).coalesce(1).write.mode("append").parquet(f"{base}/in")
     train = V.split_of(V.scored_trips(spark, d), "train")
-    reference = ST.stage(SA.reference_sample(train), "reference-sample")
+    summary = ST.stage(RF.summarise(SA.reference_sample(train)), "reference-summary")
     arrivals = (
         spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     )
-    job = J.stream_drift_tail(arrivals, reference, base, f"{base}/state")
+    job = J.stream_drift_tail(arrivals, summary, base, f"{base}/state")
     job.awaitTermination()
     last = job.lastProgress["batchId"]
     return spark.read.parquet(f"{base}/report/{last}").drop("batch")

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from meterline import schemas as S
 from meterline.functions import calendar as C, numeric as N
 from meterline.ml.scoring import linear_score
-from meterline.operators import drift as DR
+from meterline.operators import reference as RF
 from meterline.operators.cleaning import validate_trips
 from meterline.operators.features import serving_features
 from meterline.operators.ranking import last_n
@@ -70,7 +70,7 @@ def stream_score(
 
 
 def tail_writer(
-    reference: DataFrame,
+    summary: DataFrame,
     path: str,
     n: int = S.RECENT_LOG_ROWS,
     min_rows: int = S.MIN_LOG_ROWS,
@@ -79,7 +79,8 @@ def tail_writer(
     """A ``foreachBatch`` function that keeps the newest n rows in arrival
     order and writes their drift report.
 
-    Each batch reads only itself and the n rows its predecessor kept, and
+    ``summary`` is the stored summary of the reference. Each batch reads only itself, the n rows
+    its predecessor kept and the summary, and
     writes under its own number: replaying a batch overwrites the same files.
     """
 
@@ -92,7 +93,7 @@ def tail_writer(
         here = f"{path}/tail/{batch_id}"
         last_n(newest, n, "batch", *order).write.mode("overwrite").parquet(here)
         tail = spark.read.schema(newest.schema).parquet(here)
-        report = DR.drift_report(reference, tail, min_rows=min_rows)
+        report = RF.drift_report(summary, tail, min_rows=min_rows)
         report.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(
             f"{path}/report/{batch_id}"
         )
@@ -102,14 +103,15 @@ def tail_writer(
 
 def stream_drift_tail(
     scored: DataFrame,
-    reference: DataFrame,
+    summary: DataFrame,
     path: str,
     checkpoint: str,
     n: int = S.RECENT_LOG_ROWS,
     min_rows: int = S.MIN_LOG_ROWS,
 ) -> StreamingQuery:
+    """Drift of the newest rows after every batch, against a stored summary of the reference."""
     return (
-        scored.writeStream.foreachBatch(tail_writer(reference, path, n, min_rows))
+        scored.writeStream.foreachBatch(tail_writer(summary, path, n, min_rows))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

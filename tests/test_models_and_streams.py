@@ -1,10 +1,13 @@
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from meterline import schemas as S
-from meterline.ml import training as TN
+from meterline.ml import linear as LN, training as TN
 from meterline.ml.factory import get_model
 from meterline.ml.transformer import TripFeatureModel, TripFeatureTransformer
+from meterline.operators import reference as RF
 from meterline.plans import views as V
 from meterline.sources import staging as ST
 from meterline.streaming import jobs as J
@@ -102,7 +105,7 @@ def test_tail_survives_a_replayed_batch(spark, sf):
     base = ST.new_path(spark, "t-tail")
     log = V.event_log(spark, sf)
     reference = V.strict_features(spark, sf).select(*S.DRIFT_FEATURES)
-    write = J.tail_writer(reference, base, n=50)
+    write = J.tail_writer(ST.stage(RF.summarise(reference), "t-summary"), base, n=50)
     ordered = log.orderBy("ts", "event_id")
     first, second = ordered.limit(200), ordered.orderBy(F.desc("ts"), F.desc("event_id")).limit(20)
     write(first, 0)
@@ -115,3 +118,73 @@ def test_tail_survives_a_replayed_batch(spark, sf):
     assert {r.event_id for r in second.collect()} <= once
     few = spark.read.parquet(f"{base}/report/1").where("metric = 'too_few_rows'")
     assert few.count() == 0
+
+
+def _noisy(spark, n=400, d=5):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(n, d)) * [1, 10, 0.1, 1, 1] + [0, 1e6, 5, 0, -3]
+    x[:, 4] = 0.5 * x[:, 0] + 0.1 * x[:, 4]
+    y = x @ [1.0, 0.02, -3.0, 0.0, 0.5] + rng.normal(size=n)
+    split = np.where(np.arange(n) % 4 == 3, "val", "train")
+    names = [f"x{k}" for k in range(d)]
+    rows = spark.createDataFrame(pd.DataFrame(x, columns=names).assign(fare_amount=y, split=split))
+    return rows, names, x[split == "train"], y[split == "train"]
+
+
+@pytest.mark.parametrize(("name", "alpha"), [("linear_regression", 0.0), ("ridge", 30.0), ("lasso", 0.05)])
+def test_one_pass_fits_equal_the_library(spark, name, alpha):
+    from pyspark.ml.regression import LinearRegression
+
+    rows, names, x, y = _noisy(spark)
+    [model] = TN.fit_linear(name, rows, names, trials=[{"alpha": alpha} if alpha else {}])
+    penalty = alpha * y.std() / len(y) if name == "ridge" else alpha
+    train = TN.assemble(rows.where("split = 'train'"), names)
+    other = LinearRegression(
+        featuresCol="features_vector", labelCol=S.TARGET, standardization=False, tol=1e-12, maxIter=5000,
+        regParam=penalty, elasticNetParam=float(name == "lasso"),
+    ).fit(train)
+    assert model.coefficients.toArray() == pytest.approx(other.coefficients.toArray(), abs=2e-6)
+    by_vector = get_model(name, {"alpha": alpha}).fit(train).coefficients.toArray()
+    assert by_vector == pytest.approx(model.coefficients.toArray(), abs=1e-9)
+    scored = model.transform(train)
+    assert scored.agg(F.sum((F.col("predicted") - F.col(S.TARGET)) ** 2)).first()[0] == pytest.approx(
+        LN.grams(rows.where("split = 'train'"), names, S.TARGET)[None].sse(model.coefficients.toArray(), model.intercept)
+    )
+
+
+def test_grams_merge_and_group(spark):
+    rows, names, *_ = _noisy(spark)
+    by_split = LN.grams(rows, names, S.TARGET, "split")
+    whole, merged = LN.grams(rows, names, S.TARGET)[None], by_split["train"].merged(by_split["val"])
+    assert merged.n == whole.n == 400
+    assert np.allclose(merged.means, whole.means) and np.allclose(merged.products, whole.products, rtol=1e-6, atol=1e-4)
+
+
+def test_columns_that_depend_on_each_other(spark):
+    rows, names, x, y = _noisy(spark)
+    rows = rows.withColumn("twice", 2 * F.col("x0")).withColumn("same", F.lit(3.0))
+    [plain] = TN.fit_linear("linear_regression", rows, names)
+    [model] = TN.fit_linear("linear_regression", rows, [*names, "twice", "same"])
+    both = model.coefficients.toArray()
+    assert both[0] + 2 * both[5] == pytest.approx(plain.coefficients[0], abs=1e-6) and both[6] == 0
+
+
+def test_a_missing_feature_or_no_rows_is_an_error(spark):
+    rows, names, *_ = _noisy(spark)
+    with pytest.raises(ValueError, match="lack a feature"):
+        TN.fit_linear("ridge", rows.withColumn("x0", F.when(F.col("x1") > 1e6, F.col("x0"))), names)
+    with pytest.raises(ValueError, match="no training rows"):
+        TN.fit_linear("ridge", rows.limit(0), names)
+
+
+def test_tuning_reads_train_and_val_once_each(spark):
+    rows, names, *_ = _noisy(spark)
+    tracker, group = spark.sparkContext.statusTracker(), "tuning"
+    seen = []
+    for n in (2, 40):
+        spark.sparkContext.setJobGroup(f"{group}{n}", "")
+        tuned = TN.tune("lasso", rows, names, n_trials=n)
+        assert tuned.trials.count() == n
+        seen.append(len(tracker.getJobIdsForGroup(f"{group}{n}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert seen[0] == seen[1]
