@@ -203,7 +203,8 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
         .select(F.col("first.uid").alias(uid)),
         "simhash-winners",
     )
-    return hashed.join(winners, uid, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # As many winners as documents, nearly: sorted and merged at every size, never broadcast.
+    return hashed.join(winners.hint("merge"), uid, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_simhash_near_dedup(docs: DataFrame) -> DataFrame:
