@@ -24,6 +24,7 @@ empty text; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+import struct
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -41,8 +42,8 @@ LEVELS = 64
 HASHES = 5
 BITS_PER_ENTRY = 10
 HEAD_SHARE = 2e-6
-#: Documents per shard of the counts, which bounds a shard's memory.
-SHARD_DOCS = 2_500
+#: Training text per shard of the counts, which bounds a shard's memory.
+SHARD_BYTES = 6 << 20
 #: Tokens that a task counts before it hands on its counts.
 HELD_TOKENS = 1_000_000
 #: Text that a chunk of documents holds at a time.
@@ -78,18 +79,57 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
 
 
-def packed(keys: np.ndarray) -> bytes:
-    """The lower 40 bits, by which a shard knows its n-grams: a million of them meet a foreign
-    key with 1e-6, against false positives of about 1e-2."""
-    return np.ascontiguousarray(keys, "<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+LOW = np.uint64((1 << 40) - 1)
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+def by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the keys by shard and, within it, by their lower 40 bits; where shards begin.
+
+    The lower 40 bits are those by which a shard knows its n-grams: a million of them meet a
+    foreign key with 1e-6, against false positives of about 1e-2.
+    """
+    shard = shard_of(keys, shards).astype(np.uint64)
+    order = np.argsort((shard << np.uint64(40)) | (keys & LOW))
+    return order, np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
+
+
+def planes(values: np.ndarray, width: int) -> np.ndarray:
+    """Whole numbers as bytes, all lowest ones first: high bytes hardly differ, and shrink."""
+    return np.ascontiguousarray(np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).ravel()
+
+
+def from_planes(data: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = data.reshape(width, -1).T
     return out.view("<u8").ravel()
 
 
+def squeezed(data: bytes | np.ndarray) -> bytes:
+    raw = data if isinstance(data, bytes) else data.tobytes()
+    return struct.pack("<Q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def released(data: bytes) -> bytes:
+    return pa.decompress(data[8:], struct.unpack("<Q", data[:8])[0], codec="zstd", asbytes=True)
+
+
+def packed(numbers: np.ndarray, width: int) -> bytes:
+    return squeezed(planes(numbers, width))
+
+
+def unpacked(data: bytes, width: int) -> np.ndarray:
+    return from_planes(np.frombuffer(released(data), np.uint8), width)
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """The lower 40 bits of keys in the order of `by_shard`, as gaps; nothing is lost."""
+    return packed(np.diff(keys & LOW, prepend=np.uint64(0)), 5)
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, 5))
+
+
 def level_of(counts: np.ndarray) -> np.ndarray:
     return np.minimum(1 + np.floor(np.log(counts) / math.log(BASE) + 1e-9), LEVELS).astype(np.int64)
 
@@ -125,24 +165,16 @@ def bit_of(a: np.ndarray, b: np.ndarray, k: int, bits: np.ndarray | np.uint64) -
         return ((((a + np.uint64(k) * b) >> np.uint64(32)) * bits) >> np.uint64(32)).astype(np.int64)
 
 
-def segment(keys: np.ndarray, counts: np.ndarray, most_bytes: float = math.inf) -> tuple[np.ndarray, int]:
-    """Filter segment of these n-grams, and the count from which on they are in it: 1, unless
-    the segment is bounded."""
-    cutoff = 1
-    while True:
-        entries = int(level_of(counts[counts >= cutoff]).sum()) if len(counts) else 0
-        if entries * BITS_PER_ENTRY <= most_bytes * 8 or cutoff > counts.max(initial=0):
-            break
-        cutoff += 1
-    kept = counts >= cutoff
-    keys, levels = keys[kept], level_of(counts[kept])
-    size = max(8, -(-entries * BITS_PER_ENTRY // 8))
+def segment(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Filter segment of these n-grams."""
+    levels = level_of(counts) if len(counts) else np.zeros(0, np.int64)
+    size = max(8, -(-int(levels.sum()) * BITS_PER_ENTRY // 8))
     bits = np.zeros(size * 8, np.uint8)
     for q in range(1, int(levels.max(initial=0)) + 1):
         a, b = probes(keys[levels >= q], q)
         for k in range(HASHES):
             bits[bit_of(a, b, k, np.uint64(size * 8))] = 1
-    return np.packbits(bits, bitorder="little"), cutoff
+    return np.packbits(bits, bitorder="little")
 
 
 @dataclass
@@ -184,22 +216,21 @@ def packed_counts(shards: int):
             out = []
             pairs = np.concatenate([pair_keys(r[:-1], r[1:]) for r in runs])
             keys, n = np.unique(pairs, return_counts=True)
-            shard = shard_of(keys, shards)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+            order, cuts = by_shard(keys, shards)
+            keys, n = keys[order], n[order]
             for s in range(shards):
-                mine = order[cuts[s] : cuts[s + 1]]
-                if len(mine):
-                    out.append((s, "pair", packed(keys[mine]), n[mine].astype("<u4").tobytes()))
+                if cuts[s] < cuts[s + 1]:
+                    mine = slice(cuts[s], cuts[s + 1])
+                    out.append((s, "pair", packed_keys(keys[mine]), packed(n[mine], 4)))
             names = list(words)
             h = word_keys(np.fromiter(map(memo.__getitem__, names), np.uint64, len(names)))
             shard = shard_of(h, shards).tolist()
-            by_shard: dict[int, list[bytes]] = {}
+            parts: dict[int, list[bytes]] = {}
             for w, s in zip(names, shard, strict=True):
-                by_shard.setdefault(s, []).append(w)
-            for s, ws in by_shard.items():
+                parts.setdefault(s, []).append(w)
+            for s, ws in parts.items():
                 n = np.fromiter((words[w] for w in ws), "<u8", len(ws))
-                out.append((s, "word", b" ".join(ws), n.tobytes()))
+                out.append((s, "word", squeezed(b" ".join(ws)), packed(n, 8)))
             memo.clear()
             words.clear()
             runs.clear()
@@ -232,25 +263,24 @@ def shard_tables(shards: int):
 
     def merge(key: tuple, rows: pa.Table) -> pa.Table:
         words: Counter = Counter()
-        pairs: list[np.ndarray] = []
-        times: list[np.ndarray] = []
+        pairs: list[np.ndarray] = [np.zeros(0, np.uint64)]
+        times: list[np.ndarray] = [np.zeros(0, np.uint64)]
         for kind, keys, counts in zip(*(rows.column(c).to_pylist() for c in ("kind", "keys", "counts")), strict=True):
             if kind == "pair":
-                pairs.append(unpacked(keys))
-                times.append(np.frombuffer(counts, "<u4"))
+                pairs.append(unpacked_keys(keys))
+                times.append(unpacked(counts, 4))
             else:
-                words.update(dict(zip(keys.split(b" "), np.frombuffer(counts, "<u8").tolist(), strict=True)))
-        all_keys = np.concatenate(pairs) if pairs else np.zeros(0, np.uint64)
-        all_times = np.concatenate(times) if times else np.zeros(0, np.uint32)
+                for w, n in zip(released(keys).split(b" "), unpacked(counts, 8).tolist(), strict=True):
+                    words[w] += n
+        all_keys, all_times = np.concatenate(pairs), np.concatenate(times)
         order = np.argsort(all_keys, kind="stable")
         all_keys, all_times = all_keys[order], all_times[order].astype(np.int64)
-        first = np.flatnonzero(np.append(True, all_keys[1:] != all_keys[:-1])) if len(all_keys) else []
+        first = np.flatnonzero(np.append(True, all_keys[1:] != all_keys[:-1])) if len(all_keys) else np.zeros(0, np.int64)
         summed = np.add.reduceat(all_times, first) if len(all_keys) else all_times
         names = list(words)
-        own = word_keys(np.fromiter((xxhash.xxh64_intdigest(w) for w in names), np.uint64, len(names)))
-        own &= np.uint64((1 << 40) - 1)
-        data, cutoff = segment(
-            np.concatenate([all_keys[first] if len(all_keys) else all_keys, own]),
+        own = word_keys(np.fromiter((xxhash.xxh64_intdigest(w) for w in names), np.uint64, len(names))) & LOW
+        data = segment(
+            np.concatenate([all_keys[first], own]),
             np.concatenate([summed, np.fromiter(words.values(), np.int64, len(names))]),
         )
         n = len(names)
@@ -258,7 +288,7 @@ def shard_tables(shards: int):
             {
                 "kind": pa.array(["word"] * n + [f"filter {key[0].as_py()}"]),
                 "word": pa.array([*names, None], pa.binary()),
-                "n": pa.array([*words.values(), cutoff], pa.int64()),
+                "n": pa.array([*words.values(), None], pa.int64()),
                 "data": pa.array([None] * n + [data.tobytes()], pa.binary()),
             }
         )
@@ -281,7 +311,7 @@ class Model:
 
 def fit_model(training: DataFrame, text: str = "text") -> Model:
     slim = training.select(F.col(text).cast("binary").alias("bytes"))
-    shards = slim.count() // SHARD_DOCS + 1
+    shards = (slim.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0) // SHARD_BYTES + 1
     merged = written(
         slim.mapInArrow(packed_counts(shards), COUNTS).groupBy("shard").applyInArrow(shard_tables(shards), SHARDS),
         "lm-counts",
@@ -297,30 +327,55 @@ def fit_model(training: DataFrame, text: str = "text") -> Model:
     return Model(counted, segments, shards, total, distinct, head)
 
 
+@dataclass
+class Chunk:
+    """Some documents as their distinct words and a slot per token: slot 0 is the start, which
+    is no token itself, slot 1 the end."""
+
+    words: list[bytes]  # of slots 2 and up
+    slots: np.ndarray
+    lengths: np.ndarray  # tokens of each document
+
+    @classmethod
+    def of(cls, texts: list[bytes | None]) -> Chunk:
+        tokens = [[*words_of(t), END] for t in texts]
+        known: dict[bytes, int] = {START: 0, END: 1}
+        for t in tokens:
+            for w in t:
+                known.setdefault(w, len(known))
+        lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        slots = np.fromiter((known[w] for t in tokens for w in t), np.int64, int(lengths.sum()))
+        return cls(list(known)[2:], slots, lengths)
+
+    def columns(self) -> dict[str, bytes]:
+        return {
+            "words": squeezed(b" ".join(self.words)),
+            "slots": packed(self.slots, 4),
+            "lengths": packed(self.lengths, 8),
+        }
+
+    @classmethod
+    def read(cls, words: bytes, slots: bytes, lengths: bytes) -> Chunk:
+        return cls(released(words).split(), unpacked(slots, 4).astype(np.int64), unpacked(lengths, 8).astype(np.int64))
+
+
 class Questions:
-    """The distinct words and pairs of some texts, by shard, and where each token needs them."""
-
-    def __init__(self, texts: list[list[bytes]], shards: int):
-        words = [w for t in texts for w in (START, *t)]
-        slots: dict[bytes, int] = {START: 0, END: 1}
-        for w in words:
-            slots.setdefault(w, len(slots))
-        slot = np.fromiter(map(slots.__getitem__, words), np.int64, len(words))
-        h = np.fromiter(map(xxhash.xxh64_intdigest, slots), np.uint64, len(slots))
-        at = np.flatnonzero(slot)
-        pairs, back = np.unique(pair_keys(h[slot[at - 1]], h[slot[at]]), return_inverse=True)
+    """The distinct words and pairs of a chunk, by shard, and where each token needs them."""
+
+    def __init__(self, chunk: Chunk, shards: int):
+        h = np.fromiter(map(xxhash.xxh64_intdigest, (START, END, *chunk.words)), np.uint64, len(chunk.words) + 2)
+        before = np.zeros_like(chunk.slots)
+        before[1:] = chunk.slots[:-1]
+        before[np.cumsum(chunk.lengths)[:-1]] = 0
+        pairs, back = np.unique(pair_keys(h[before], h[chunk.slots]), return_inverse=True)
         # The start token itself isn't counted; as many texts start as end.
-        slot[slot == 0] = 1
-        self.context, self.word, self.pair = slot[at - 1], slot[at], len(h) + back
-        self.words = list(slots)
+        self.context, self.word, self.pair = np.where(before == 0, 1, before), chunk.slots, len(h) + back
         keys = np.concatenate([word_keys(h), pairs])
-        shard = shard_of(keys, shards)
-        self.order = np.argsort(shard, kind="stable")
+        self.order, self.cuts = by_shard(keys, shards)
         self.keys = keys[self.order]
-        self.cuts = np.searchsorted(shard[self.order], np.arange(shards + 1))
 
 
-CHUNKS = "chunk string, texts array<binary>, docs binary"
+CHUNKS = "chunk long, words binary, slots binary, lengths binary, docs binary"
 
 
 def chunks_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,13 +389,14 @@ def chunks_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, rest.schema) as out:
             out.write_table(rest)
+        made = Chunk.of(docs.column("bytes").to_pylist()).columns()
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([uuid.uuid4().hex]),
-                pa.array([docs.column("bytes").to_pylist()], pa.list_(pa.binary())),
+                pa.array([uuid.uuid4().int >> 65], pa.int64()),
+                *[pa.array([made[c]], pa.binary()) for c in ("words", "slots", "lengths")],
                 pa.array([sink.getvalue().to_pybytes()], pa.binary()),
             ],
-            ["chunk", "texts", "docs"],
+            ["chunk", "words", "slots", "lengths", "docs"],
         )
 
     for batch in slices(batches):
@@ -354,7 +410,7 @@ def chunks_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
-ASKED = "chunk string, shard int, keys binary"
+ASKED = "chunk long, shard int, keys binary"
 
 
 def asking(shards: int):
@@ -362,15 +418,15 @@ def asking(shards: int):
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, texts in zip(batch.column("chunk").to_pylist(), batch.column("texts"), strict=True):
-                asked = Questions([[*words_of(t), END] for t in texts.as_py()], shards)
+            for name, *sides in zip(*(batch.column(c) for c in ("chunk", "words", "slots", "lengths")), strict=True):
+                asked = Questions(Chunk.read(*[x.as_py() for x in sides]), shards)
                 cuts = asked.cuts.tolist()
                 some = [s for s in range(shards) if cuts[s] < cuts[s + 1]]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([name] * len(some)),
+                        pa.array([name.as_py()] * len(some), pa.int64()),
                         pa.array(some, pa.int32()),
-                        pa.array([packed(asked.keys[cuts[s] : cuts[s + 1]]) for s in some], pa.binary()),
+                        pa.array([packed_keys(asked.keys[cuts[s] : cuts[s + 1]]) for s in some], pa.binary()),
                     ],
                     ["chunk", "shard", "keys"],
                 )
@@ -383,10 +439,10 @@ def answer(key: tuple, asked: pa.Table, segments: pa.Table) -> pa.Table:
     data = [np.frombuffer(d, np.uint8) for d in segments.column("data").to_pylist()]
     held = LogFrequencyFilter(data[0], np.array([0]), np.array([len(data[0])])) if data else None
     levels = []
-    for keys in asked.column("keys").to_pylist():
-        keys = unpacked(keys)
+    for keys in asked.column("keys"):
+        keys = unpacked_keys(keys.as_py())
         found = held.levels(keys) if held else np.zeros(len(keys), np.int64)
-        levels.append(found.astype(np.uint8).tobytes())
+        levels.append(squeezed(found.astype(np.uint8)))
     return pa.table({"chunk": asked.column("chunk"), "shard": asked.column("shard"), "levels": pa.array(levels, pa.binary())})
 
 
@@ -400,31 +456,33 @@ def levelled(docs: DataFrame, model: Model) -> DataFrame:
     shards = model.shards
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + LEVELLED.split(", ", 1)[1]
     source = docs.select("doc_id", "held_out", F.col("text").cast("binary").alias("bytes"))
-    # Written, so that the names of the chunks stay; keys are made again rather than written.
+    # Written, so that the names of the chunks stay; texts are split into words once, keys are
+    # made again rather than written.
     chunks = written(source.mapInArrow(chunks_of, CHUNKS), "lm-chunks")
     answers = (
-        chunks.select("chunk", "texts").mapInArrow(asking(shards), ASKED).groupBy("shard")
+        chunks.drop("docs").mapInArrow(asking(shards), ASKED).groupBy("shard")
         .cogroup(model.segments.groupBy("shard"))
-        .applyInArrow(answer, "chunk string, shard int, levels binary")
+        .applyInArrow(answer, "chunk long, shard int, levels binary")
     )
 
     def put_together(key: tuple, chunk: pa.Table, answered: pa.Table) -> pa.Table:
         logs = sent.value
-        texts = [[*words_of(t), END] for t in chunk.column("texts")[0].as_py()]
-        asked = Questions(texts, shards)
+        made = Chunk.read(*[chunk.column(c)[0].as_py() for c in ("words", "slots", "lengths")])
+        asked = Questions(made, shards)
         by_shard = answered.sort_by("shard").column("levels").to_pylist()
         level = np.zeros(len(asked.keys), np.uint8)
-        level[asked.order] = np.frombuffer(b"".join(by_shard), np.uint8)
+        level[asked.order] = np.frombuffer(b"".join(map(released, by_shard)), np.uint8)
         level = level.astype(np.int64)
-        triples = triple(level[asked.context], level[asked.pair], level[asked.word]).astype("<i4")
-        log = np.array([logs.get(w, math.nan) for w in asked.words])[asked.word]
-        lengths = np.array([len(t) for t in texts])
+        triples = triple(level[asked.context], level[asked.pair], level[asked.word]).astype("<u8")
+        log = np.array([logs.get(w, math.nan) for w in (START, END, *made.words)])[made.slots]
+        lengths = made.lengths
         ends = np.cumsum(lengths)
         starts = ends - lengths
         is_rare = np.isnan(log)
         at = np.flatnonzero(is_rare)
         cuts = np.searchsorted(at, np.append(starts, ends[-1]))
-        rare = [asked.words[k] for k in asked.word[at].tolist()]
+        names = (START, END, *made.words)
+        rare = [names[k] for k in made.slots[at].tolist()]
         out = pa.ipc.open_stream(chunk.column("docs")[0].as_py()).read_all()
         return pa.table(
             {
@@ -434,11 +492,20 @@ def levelled(docs: DataFrame, model: Model) -> DataFrame:
                 "known": pa.array(lengths - np.diff(cuts), pa.int64()),
                 "base": pa.array(np.add.reduceat(np.where(is_rare, 0.0, log), starts), pa.float64()),
                 "rare": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(rare, pa.binary())),
-                "triples": pa.array([triples[i:j].tobytes() for i, j in zip(starts, ends, strict=True)], pa.binary()),
+                "triples": pa.array([planes(triples[i:j], 3).tobytes() for i, j in zip(starts, ends, strict=True)], pa.binary()),
             }
         )
 
-    return written(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(put_together, schema), "lm-levels")
+    return written(
+        chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(put_together, schema),
+        "lm-levels",
+        compression="zstd",
+    )
+
+
+def triples_of(data: bytes) -> np.ndarray:
+    """The numbers of a document's tokens."""
+    return from_planes(np.frombuffer(data, np.uint8), 3).astype(np.int64)
 
 
 def triple(context: np.ndarray, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -458,7 +525,7 @@ def pair_share(counts: np.ndarray, context: np.ndarray, pair: np.ndarray, off: f
 def count_triples(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums = np.zeros((LEVELS + 1) ** 3, np.int64)
     for batch in slices(batches):
-        found = np.frombuffer(b"".join(batch.column("triples").to_pylist()), "<i4")
+        found = np.concatenate([np.zeros(0, np.int64), *map(triples_of, batch.column("triples").to_pylist())])
         codes, n = np.unique(found, return_counts=True)
         sums[codes] += n
     codes = np.flatnonzero(sums)
@@ -501,7 +568,7 @@ def score_text(docs: DataFrame, model: Model) -> DataFrame:
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            parts = [np.frombuffer(t, "<i4") for t in batch.column("triples").to_pylist()]
+            parts = [triples_of(t) for t in batch.column("triples").to_pylist()]
             ends = np.cumsum([len(p) for p in parts])
             codes, back = np.unique(np.concatenate(parts), return_inverse=True)
             context, pair, word = apart(codes.astype(np.int64))

@@ -151,6 +151,8 @@ def test_blocks_and_removal(spark):
         scanned = by_id(D.contamination(docs, bench, block_words=words, name="h"))
         assert scanned[1]["h"]["n_hit"] == 11 and scanned[1]["h"]["items"] == ["1"]
         assert scanned[3]["h"]["items"] == ["2"]
+    one, many = (by_id(D.contamination(docs, bench, block_words=w, name="h", remove=True)) for w in (1000, 30))
+    assert one == many
     clean = by_id(D.decontaminate(docs, bench))
     assert set(clean) == {1, 2, 3}  # the fourth is all benchmark
     assert "two" not in clean[1]["text"].lower() and clean[1]["text"].startswith("Before. ")
@@ -292,14 +294,11 @@ def test_filter_never_loses_an_entry():
     rng = np.random.default_rng(6)
     keys = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
     counts = np.maximum(1, rng.zipf(1.5, 5000) % 10_000).astype(np.int64)
-    data, cutoff = lm.segment(keys, counts, 1 << 20)
-    assert cutoff == 1
+    data = lm.segment(keys, counts)
     held = lm.LogFrequencyFilter(data, np.array([0]), np.array([len(data)]))
     assert (held.levels(keys) >= lm.level_of(counts)).all()
     others = rng.integers(0, 1 << 63, 20_000).astype(np.uint64)
     assert (held.levels(others) > 0).mean() < 0.03
-    small, cutoff = lm.segment(keys, counts, 1 << 10)
-    assert cutoff > 1 and len(small) <= 1 << 10
 
 
 def test_license_scan(spark):
