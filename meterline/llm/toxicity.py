@@ -36,7 +36,6 @@ from pyspark.sql.types import DoubleType, IntegerType, StructType
 from meterline.llm.common import appended, crc_of, slices, written
 
 SAMPLE_ROWS = 20_000
-LEXICON_ROWS = 4_000
 MIN_RATIO = 30.0  # log-likelihood ratio of a lexicon word
 MIN_PLACES = 4
 
@@ -190,10 +189,12 @@ def by_word(rows: DataFrame, all_p: float, all_n: float) -> DataFrame:
 
 
 def learn_lexicon(sample: DataFrame, all_p: float, all_n: float) -> dict[str, float]:
-    """Weights of at most `LEXICON_ROWS` words."""
+    """Weights of the words that are clearly more frequent in toxic rows; how many there are is
+    bounded by the sample."""
     first = by_word(sample.mapInArrow(lambda b: neighbourhoods(b, None), COUNTED), all_p, all_n)
-    likely = first.orderBy(F.desc(F.col("p") / (F.col("q") + 1.0)), "word").limit(LEXICON_ROWS).collect()
-    among = {r["word"] for r in likely if ratio(r["p"], r["q"], all_p, all_n) >= MIN_RATIO}
+    rate = (F.col("p") + F.col("q")) / (all_p + all_n)
+    terms = [F.when(F.col(x) > 0, 2 * F.col(x) * F.ln(F.col(x) / (rate * a))).otherwise(0.0) for x, a in (("p", all_p), ("q", all_n))]
+    among = {r["word"] for r in first.where(terms[0] + terms[1] >= MIN_RATIO).collect()}
     if not among:
         return {}
     places = sample.mapInArrow(lambda b: neighbourhoods(b, among), COUNTED)
@@ -205,14 +206,14 @@ def learn_lexicon(sample: DataFrame, all_p: float, all_n: float) -> dict[str, fl
     return dict(sorted(out.items()))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> tuple[float, ...]:
-    """Newton steps of a penalised logistic regression."""
+def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, penalty: float = 1e-2) -> tuple[float, ...]:
+    """Newton steps of a penalised logistic regression; a row counts n times."""
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + penalty * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(w))
+        grad = x.T @ (n * (p - y)) + penalty * w
+        hess = (x * (n * p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(w))
         step = np.linalg.solve(hess, grad)
         w -= step
         if np.abs(step).max() < 1e-9:
@@ -223,7 +224,9 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> tuple[float
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Toxicity:
     """Learns from the labelled rows (doc_id, toxic) and the documents' texts.
 
-    The labels are cut to `sample_rows`, so that they can be broadcast.
+    The labels are cut to `sample_rows`, so that they can be broadcast; as an id may repeat in the
+    documents, the rows found are cut once more, by hash (rows that repeat id and text count as one
+    there). The curve is fitted to counts of distinct features.
     """
     some = (
         labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -231,9 +234,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample_rows)
     )
-    sample = written(
-        docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic"), "toxic-sample"
+    place = F.xxhash64("doc_id", "text").alias("place")
+    found = written(
+        docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic", place), "toxic-sample"
     )
+    # Hashes alone are sorted.
+    last = found.select("place").orderBy("place").limit(sample_rows).agg(F.max("place")).first()[0]
+    sample = found.where(F.col("place") <= F.lit(last)).select("text", "toxic")
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     all_p, all_n = float(sizes.get(1, 0)), float(sizes.get(0, 0))
     if not all_p or not all_n:
@@ -247,8 +254,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
                 {"a": found[:, 0], "b": found[:, 1], "c": found[:, 2], "toxic": batch.column("toxic")}
             )
 
-    rows = sample.mapInArrow(features, "a double, b double, c double, toxic int").toPandas()
-    return Toxicity(model.lexicon, logistic(rows[["a", "b", "c"]].to_numpy(), rows["toxic"].to_numpy(float)))
+    made = sample.mapInArrow(features, "a double, b double, c double, toxic int")
+    rows = np.array([tuple(r) for r in made.groupBy("a", "b", "c", "toxic").count().orderBy("a", "b", "c", "toxic").collect()], float)
+    return Toxicity(model.lexicon, logistic(rows[:, :3], rows[:, 3], rows[:, 4]))
 
 
 def score_toxicity(docs: DataFrame, model: Toxicity, text: str = "text") -> DataFrame:
