@@ -7,8 +7,9 @@ the run reaches ten words (or a whole shorter item), the window is hit, and the
 that state's suffix of window length are the contaminating ones. Only stretches of words that
 occur in some item enter the automaton, as no window can hold another word.
 
-Items are taken in blocks of at most `BLOCK_WORDS` words, each broadcast by itself; documents
-pass every block in turn, so that memory does not grow with the benchmark.
+Items are dealt by hash to blocks of about `BLOCK_WORDS` words, in Spark. A benchmark of one block
+takes one pass. More blocks take one pass each, with one block broadcast at a time, and their
+hits are merged by document, so that memory does not grow with the benchmark.
 
 Defined cases: null or empty text has no words and no hits; null or empty items have no
 windows; an item without an id still marks words, but is not counted; items that repeat an
@@ -24,10 +25,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructType
 
-from meterline.llm.common import appended, arrow_struct, fresh_name, slices
+from meterline.llm.common import appended, arrow_struct, fresh_name, slices, written
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -144,24 +145,24 @@ class SuffixAutomaton:
                 ranges.append((start, at))
 
 
-def blocks_of(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> list[Broadcast]:
-    """Items in blocks of bounded size, read one by one and broadcast."""
-    sc = benchmark.sparkSession.sparkContext
-    out, held, size = [], [], 0
-    rows = benchmark.where(F.col(text).isNotNull()).select(
-        F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")
+def numbered_items(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> tuple[DataFrame, int]:
+    """(i, t, block) of the items, dealt by hash to blocks of about so many words; the blocks."""
+    items = benchmark.where(F.col(text).isNotNull()).select(
+        F.col(item_id).cast("string").alias("i"), F.col(text).cast("binary").alias("t")
     )
-    for r in rows.toLocalIterator():
-        words = words_of(r["t"].encode())
-        if words:
-            held.append((r["i"], words))
-            size += len(words)
-        if size >= block_words:
-            out.append(sc.broadcast(held))
-            held, size = [], 0
-    if held:
-        out.append(sc.broadcast(held))
-    return out
+    # Words are at least a letter and a separator.
+    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    blocks = size // (2 * block_words) + 1
+    dealt = items.distinct().withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)))
+    return (written(dealt, "benchmark-blocks") if blocks > 1 else dealt), blocks
+
+
+def block_of(items: DataFrame, k: int) -> Broadcast | None:
+    """The items of one block, whose size is bounded."""
+    rows = items.where(F.col("block") == k).select("i", "t").collect()
+    held = [(r["i"], words_of(bytes(r["t"]))) for r in sorted(rows, key=lambda r: (r["i"] or "", bytes(r["t"])))]
+    held = [(i, w) for i, w in held if w]
+    return items.sparkSession.sparkContext.broadcast(held) if held else None
 
 
 _built: dict[str, SuffixAutomaton] = {}
@@ -175,6 +176,13 @@ def automaton(key: str, block: Broadcast) -> SuffixAutomaton:
     return _built[key]
 
 
+def found_in(key: str, block: Broadcast, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+    """Hit word ranges and the ids of the items."""
+    machine = automaton(key, block)
+    ranges, items = machine.hits(words)
+    return ranges, {machine.names[k] for k in items if machine.names[k] is not None}
+
+
 def merged(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for i, j in sorted(ranges):
@@ -205,6 +213,59 @@ def without(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
     return b" ".join([*out, text[at:]]) if ranges else text
 
 
+def scanned(docs: DataFrame, text: str, name: str, key: str, block: Broadcast | None, remove: bool) -> DataFrame:
+    """All rows and columns, and the hits in one block's items; one pass, no shuffle."""
+    schema = StructType([*docs.schema.fields]).add(name, HITS)
+    kind = arrow_struct(HITS)
+    column = docs.columns.index(text)
+
+    def hits(words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        return found_in(key, block, words) if block else ([], set())
+
+    def row(t: bytes) -> dict:
+        words = words_of(t)
+        ranges, items = hits(words)
+        clean = None
+        if remove and ranges:
+            clean, left = without(t, ranges), ranges
+            while left:  # a removal can join the ends of two passages
+                left = hits(words_of(clean))[0]
+                clean = without(clean, left)
+        return {
+            "n_words": len(words),
+            "n_hit": sum(j - i for i, j in ranges),
+            "items": sorted(items),
+            "ranges": [{"start": i, "stop": j} for i, j in ranges],
+            "clean": clean,
+        }
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = [row(t or b"") for t in batch.column(column).cast(pa.binary()).to_pylist()]
+            yield appended(batch, **{name: pa.array(rows, kind)})
+
+    return docs.mapInArrow(add, schema)
+
+
+def merged_hits(lists: Column) -> Column:
+    """The union of the word ranges, touching ones joined."""
+    ordered = F.array_sort(F.flatten(lists))
+    return F.aggregate(
+        ordered,
+        F.array().cast("array<struct<start: bigint, stop: bigint>>"),
+        lambda done, r: F.when(
+            (F.size(done) > 0) & (r["start"] <= F.element_at(done, -1)["stop"]),
+            F.concat(
+                F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))),
+                F.array(F.struct(
+                    F.element_at(done, -1)["start"].alias("start"),
+                    F.greatest(F.element_at(done, -1)["stop"], r["stop"]).alias("stop"),
+                )),
+            ),
+        ).otherwise(F.concat(done, F.array(r))),
+    )
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -218,48 +279,85 @@ def contamination(
     """All rows and columns, and a struct: words, hit words, item ids, hit word ranges.
 
     With `remove`, `clean` is the text without the hit passages (UTF-8), until no window is left.
+    A benchmark of one block takes one pass over the documents. More blocks take one pass each,
+    every task builds one automaton, and the hits meet again by row.
     """
-    blocks = blocks_of(benchmark, item_id, item_text, block_words)
     run = uuid.uuid4().hex
-    held = fresh_name(docs, "_bytes")
-    schema = StructType([*docs.schema.fields]).add(name, HITS)
-    kind = arrow_struct(HITS)
+    items, blocks = numbered_items(benchmark, item_id, item_text, block_words)
+    if blocks == 1:
+        return scanned(docs, text, name, run, block_of(items, 0), remove)
+    uid, own = fresh_name(docs, "_uid"), fresh_name(docs, "_text")
+    held = written(docs.withColumn(uid, F.monotonically_increasing_id()), "decontaminate-rows")
+    texts = held.select(F.col(uid).alias("uid"), F.col(f"`{text}`").alias("text"))
+
+    def one_round(rows: DataFrame, number: int) -> DataFrame:
+        """(uid, ranges, items) of the rows with hits in any block."""
+        parts = None
+        for k in range(blocks):
+            block = block_of(items, k)
+            if block is None:
+                continue
+            hits = scanned(rows, "text", "h", f"{run}-{number}-{k}", block, False).where("h.n_hit > 0")
+            part = written(hits.select("uid", "h.ranges", "h.items"), "decontaminate-hits")
+            block.unpersist()
+            parts = part if parts is None else parts.unionByName(part)
+        if parts is None:
+            return written(rows.select("uid", F.array().cast(HITS["ranges"].dataType).alias("ranges"), F.array().cast("array<string>").alias("items")).limit(0), "decontaminate-hits")
+        # A row per block and document at most.
+        return written(
+            parts.groupBy("uid").agg(
+                merged_hits(F.collect_list("ranges")).alias("ranges"),
+                F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+            ),
+            "decontaminate-merged",
+        )
+
+    def cut(rows: DataFrame, found: DataFrame) -> DataFrame:
+        """(uid, text) of the rows with hits, without them."""
+
+        def out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                texts = batch.column("text").cast(pa.binary()).to_pylist()
+                spans = [[(r["start"], r["stop"]) for r in rs] for rs in batch.column("ranges").to_pylist()]
+                left = [without(t, r) for t, r in zip(texts, spans, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(left, pa.binary())], ["uid", "text"])
+
+        joined = rows.join(found.select("uid", "ranges"), "uid").select("uid", "text", "ranges")
+        return written(joined.mapInArrow(out, "uid long, text binary"), "decontaminate-cut")
+
+    found = one_round(texts, 0)
+    cleaned = None
+    if remove:
+        cleaned = cut(texts, found)
+        number = 1
+        while True:  # a removal can join the ends of two passages
+            more = one_round(cleaned, number)
+            if more.isEmpty():
+                break
+            again = cut(cleaned, more)
+            cleaned = written(cleaned.join(more, "uid", "left_anti").unionByName(again), "decontaminate-cut")
+            number += 1
+    whole = held.join(found.withColumnRenamed("uid", uid).select(uid, F.struct("ranges", "items").alias(own)), uid, "left")
+    clean = F.lit(None).cast("binary")
+    if cleaned is not None:
+        kept = fresh_name(docs, "_clean")
+        whole = whole.join(cleaned.select(F.col("uid").alias(uid), F.col("text").alias(kept)), uid, "left")
+        clean = F.col(kept)
+    ranges = F.coalesce(F.col(f"{own}.ranges"), F.array().cast(HITS["ranges"].dataType))
+    hits = F.struct(
+        word_count(F.col(f"`{text}`")).alias("n_words"),
+        F.aggregate(ranges, F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"]).alias("n_hit"),
+        F.coalesce(F.col(f"{own}.items"), F.array().cast("array<string>")).alias("items"),
+        ranges.alias("ranges"),
+        clean.alias("clean"),
+    )
+    return whole.select(*[F.col(f"`{c}`") for c in docs.columns], hits.alias(name))
 
-    def scan(texts: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set[str]]]:
-        found: list[tuple[list, set]] = [([], set()) for _ in texts]
-        for k, block in enumerate(blocks):
-            machine = automaton(f"{run}-{k}", block)
-            for (ranges, items), words in zip(found, texts, strict=True):
-                r, hit = machine.hits(words)
-                ranges.extend(r)
-                items.update(machine.names[k] for k in hit if machine.names[k] is not None)
-        return [(merged(r), items) for r, items in found]
 
-    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            texts = [t or b"" for t in batch.column(held).to_pylist()]
-            words = [words_of(t) for t in texts]
-            rows = []
-            for t, ws, (ranges, items) in zip(texts, words, scan(words), strict=True):
-                clean = None
-                if remove and ranges:
-                    clean, left = without(t, ranges), ranges
-                    while left:  # a removal can join the ends of two passages
-                        left = scan([words_of(clean)])[0][0]
-                        clean = without(clean, left)
-                rows.append(
-                    {
-                        "n_words": len(ws),
-                        "n_hit": sum(j - i for i, j in ranges),
-                        "items": sorted(items),
-                        "ranges": [{"start": i, "stop": j} for i, j in ranges],
-                        "clean": clean,
-                    }
-                )
-            kept = batch.select([c for c in batch.schema.names if c != held])
-            yield appended(kept, **{name: pa.array(rows, kind)})
-
-    return docs.withColumn(held, F.col(f"`{text}`").cast("binary")).mapInArrow(add, schema)
+def word_count(text: Column) -> Column:
+    """Words as the automaton sees them."""
+    words = F.split(F.coalesce(text, F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    return F.size(F.filter(words, lambda w: w != "")).cast("long")
 
 
 def decontaminate(
