@@ -7,10 +7,11 @@ Scoring interpolates p(w | v) = l * c(v, w) / c(v) + (1 - l) * p(w), with a weig
 level of c(v), fitted by leave-one-out expectation steps on all training tokens: what enters them
 is the number of tokens of each (context, pair, word) level, a table of at most (LEVELS + 1)^3 rows.
 
-Counts are made in one pass and one shuffle: tasks hand on packed counts by hash shard, and a
-shard's counts become its word counts and its segment of the filter, which holds all n-grams of
-the shard. Segments stay rows: chunks of documents send the distinct n-grams that they ask for to
-the shards, and the levels come back to the chunk. No task and no broadcast holds the whole filter.
+Texts are split into words once and written as chunks of documents. Counts are made from the
+chunks in one shuffle: tasks hand on packed counts by hash shard, and a shard's counts become its
+word counts and its segment of the filter, which holds all n-grams of the shard. Segments stay rows:
+chunks send the distinct n-grams that they ask for to the shards, and the levels come back to the
+chunk. No task and no broadcast holds the whole filter.
 
 The base score needs exact counts. Words with a share of at least `HEAD_SHARE` of the tokens
 (at most 1 / HEAD_SHARE of them) are broadcast; all rarer words are joined, and none of them
@@ -44,8 +45,8 @@ BITS_PER_ENTRY = 10
 HEAD_SHARE = 2e-6
 #: Training text per shard of the counts, which bounds a shard's memory.
 SHARD_BYTES = 6 << 20
-#: Tokens that a task counts before it hands on its counts.
-HELD_TOKENS = 1_000_000
+#: Keys that a shard looks up at a time.
+LOOKED_UP = 1_000_000
 #: Text that a chunk of documents holds at a time.
 HELD_BYTES = 4 << 20
 
@@ -143,14 +144,6 @@ def level_counts() -> np.ndarray:
     return np.array(out)
 
 
-class Hashes(dict):
-    """Hash of each word, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
 def probes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and step of the hashes of (key, level)."""
     with np.errstate(over="ignore"):
@@ -203,54 +196,129 @@ class LogFrequencyFilter:
         return out
 
 
+@dataclass
+class Chunk:
+    """Some documents as their distinct words and a slot per token: slot 0 is the start, which
+    is no token itself, slot 1 the end."""
+
+    words: list[bytes]  # of slots 2 and up
+    slots: np.ndarray
+    lengths: np.ndarray  # tokens of each document
+
+    @classmethod
+    def of(cls, texts: list[bytes | None]) -> Chunk:
+        tokens = [[*words_of(t), END] for t in texts]
+        known: dict[bytes, int] = {START: 0, END: 1}
+        for t in tokens:
+            for w in t:
+                known.setdefault(w, len(known))
+        lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        slots = np.fromiter((known[w] for t in tokens for w in t), np.int64, int(lengths.sum()))
+        return cls(list(known)[2:], slots, lengths)
+
+    def hashes(self) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh64_intdigest, (START, END, *self.words)), np.uint64, len(self.words) + 2)
+
+    def names(self) -> list[bytes]:
+        return [START, END, *self.words]
+
+    def before(self) -> np.ndarray:
+        """The slot before each token."""
+        out = np.zeros_like(self.slots)
+        out[1:] = self.slots[:-1]
+        out[np.cumsum(self.lengths)[:-1]] = 0
+        return out
+
+    def columns(self) -> dict[str, bytes]:
+        return {
+            "words": squeezed(b" ".join(self.words)),
+            "slots": packed(self.slots, 4),
+            "lengths": packed(self.lengths, 8),
+        }
+
+    @classmethod
+    def read(cls, words: bytes, slots: bytes, lengths: bytes) -> Chunk:
+        return cls(released(words).split(), unpacked(slots, 4).astype(np.int64), unpacked(lengths, 8).astype(np.int64))
+
+
+CHUNKS = "chunk long, size long, words binary, slots binary, lengths binary, docs binary"
+
+
+def chunks_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task side: chunks of documents as rows."""
+    parts: list[pa.RecordBatch] = []
+    held = 0
+
+    def row() -> pa.RecordBatch:
+        docs = pa.Table.from_batches(parts)
+        rest = docs.drop_columns(["bytes"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rest.schema) as out:
+            out.write_table(rest)
+        made = Chunk.of(docs.column("bytes").to_pylist()).columns()
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([uuid.uuid4().int >> 65], pa.int64()),
+                pa.array([held], pa.int64()),
+                *[pa.array([made[c]], pa.binary()) for c in ("words", "slots", "lengths")],
+                pa.array([sink.getvalue().to_pybytes()], pa.binary()),
+            ],
+            ["chunk", "size", "words", "slots", "lengths", "docs"],
+        )
+
+    for batch in slices(batches):
+        parts.append(batch)
+        held += sum(len(t or b"") for t in batch.column("bytes").to_pylist())
+        if held >= HELD_BYTES:
+            yield row()
+            parts.clear()
+            held = 0
+    if parts:
+        yield row()
+
+
+def text_chunks(docs: DataFrame) -> DataFrame:
+    """Chunks of the documents (doc_id, held_out, text), written, so that their names stay; texts
+    are split into words once."""
+    source = docs.select("doc_id", "held_out", F.col("text").cast("binary").alias("bytes"))
+    return written(source.mapInArrow(chunks_of, CHUNKS), "lm-chunks")
+
+
 COUNTS = "shard int, kind string, keys binary, counts binary"
 
 
 def packed_counts(shards: int):
-    """Task side: counts by shard, as packed arrays."""
+    """Task side: each chunk's counts of its training tokens by shard, as packed arrays."""
+
+    def rows(chunk: Chunk, docs: bytes) -> Iterator[tuple[int, str, bytes, bytes]]:
+        held = pa.ipc.open_stream(docs).read_all().column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+        taught = np.repeat(~held, chunk.lengths)
+        h = chunk.hashes()
+        keys, n = np.unique(pair_keys(h[chunk.before()], h[chunk.slots])[taught], return_counts=True)
+        order, cuts = by_shard(keys, shards)
+        keys, n = keys[order], n[order]
+        for s in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+            mine = slice(cuts[s], cuts[s + 1])
+            yield s, "pair", packed_keys(keys[mine]), packed(n[mine], 4)
+        times = np.bincount(chunk.slots[taught], minlength=len(h))
+        names = chunk.names()
+        found = np.flatnonzero(times)
+        shard = shard_of(word_keys(h[found]), shards)
+        order = np.argsort(shard, kind="stable")
+        found, cuts = found[order], np.searchsorted(shard[order], np.arange(shards + 1))
+        for s in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+            mine = found[cuts[s] : cuts[s + 1]]
+            yield s, "word", squeezed(b" ".join([names[k] for k in mine.tolist()])), packed(times[mine], 8)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, words, runs, held = Hashes(), Counter(), [], 0
-
-        def rows() -> pa.RecordBatch:
-            out = []
-            pairs = np.concatenate([pair_keys(r[:-1], r[1:]) for r in runs])
-            keys, n = np.unique(pairs, return_counts=True)
-            order, cuts = by_shard(keys, shards)
-            keys, n = keys[order], n[order]
-            for s in range(shards):
-                if cuts[s] < cuts[s + 1]:
-                    mine = slice(cuts[s], cuts[s + 1])
-                    out.append((s, "pair", packed_keys(keys[mine]), packed(n[mine], 4)))
-            names = list(words)
-            h = word_keys(np.fromiter(map(memo.__getitem__, names), np.uint64, len(names)))
-            shard = shard_of(h, shards).tolist()
-            parts: dict[int, list[bytes]] = {}
-            for w, s in zip(names, shard, strict=True):
-                parts.setdefault(s, []).append(w)
-            for s, ws in parts.items():
-                n = np.fromiter((words[w] for w in ws), "<u8", len(ws))
-                out.append((s, "word", squeezed(b" ".join(ws)), packed(n, 8)))
-            memo.clear()
-            words.clear()
-            runs.clear()
-            sides = list(zip(*out, strict=True))
-            kinds = (pa.int32(), pa.string(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(sides, kinds, strict=True)], ["shard", "kind", "keys", "counts"]
-            )
-
-        for batch in slices(batches):
-            for text in batch.column("bytes").to_pylist():
-                tokens = [START, *words_of(text), END]
-                runs.append(np.fromiter(map(memo.__getitem__, tokens), np.uint64, len(tokens)))
-                words.update(tokens[1:])
-                held += len(tokens)
-            if held >= HELD_TOKENS:
-                yield rows()
-                held = 0
-        if held:
-            yield rows()
+        for batch in batches:
+            for words, slots, lengths, docs in zip(*(batch.column(c) for c in ("words", "slots", "lengths", "docs")), strict=True):
+                out = list(rows(Chunk.read(words.as_py(), slots.as_py(), lengths.as_py()), docs.as_py()))
+                sides = list(zip(*out, strict=True)) or [[]] * 4
+                kinds = (pa.int32(), pa.string(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, t) for x, t in zip(sides, kinds, strict=True)], ["shard", "kind", "keys", "counts"]
+                )
 
     return count
 
@@ -309,13 +377,11 @@ class Model:
         return self.total + 0.5 * (self.distinct + 1)
 
 
-def fit_model(training: DataFrame, text: str = "text") -> Model:
-    slim = training.select(F.col(text).cast("binary").alias("bytes"))
-    shards = (slim.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0) // SHARD_BYTES + 1
-    merged = written(
-        slim.mapInArrow(packed_counts(shards), COUNTS).groupBy("shard").applyInArrow(shard_tables(shards), SHARDS),
-        "lm-counts",
-    )
+def fit_model(chunks: DataFrame) -> Model:
+    """Learns from the chunks' documents that are not held out."""
+    shards = (chunks.agg(F.sum("size")).first()[0] or 0) // SHARD_BYTES + 1
+    counts = chunks.select("words", "slots", "lengths", "docs").mapInArrow(packed_counts(shards), COUNTS)
+    merged = written(counts.groupBy("shard").applyInArrow(shard_tables(shards), SHARDS), "lm-counts")
     counted = merged.where("kind = 'word'").select("word", "n")
     sums = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, distinct = int(sums[0]), int(sums[1])
@@ -327,46 +393,11 @@ def fit_model(training: DataFrame, text: str = "text") -> Model:
     return Model(counted, segments, shards, total, distinct, head)
 
 
-@dataclass
-class Chunk:
-    """Some documents as their distinct words and a slot per token: slot 0 is the start, which
-    is no token itself, slot 1 the end."""
-
-    words: list[bytes]  # of slots 2 and up
-    slots: np.ndarray
-    lengths: np.ndarray  # tokens of each document
-
-    @classmethod
-    def of(cls, texts: list[bytes | None]) -> Chunk:
-        tokens = [[*words_of(t), END] for t in texts]
-        known: dict[bytes, int] = {START: 0, END: 1}
-        for t in tokens:
-            for w in t:
-                known.setdefault(w, len(known))
-        lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        slots = np.fromiter((known[w] for t in tokens for w in t), np.int64, int(lengths.sum()))
-        return cls(list(known)[2:], slots, lengths)
-
-    def columns(self) -> dict[str, bytes]:
-        return {
-            "words": squeezed(b" ".join(self.words)),
-            "slots": packed(self.slots, 4),
-            "lengths": packed(self.lengths, 8),
-        }
-
-    @classmethod
-    def read(cls, words: bytes, slots: bytes, lengths: bytes) -> Chunk:
-        return cls(released(words).split(), unpacked(slots, 4).astype(np.int64), unpacked(lengths, 8).astype(np.int64))
-
-
 class Questions:
     """The distinct words and pairs of a chunk, by shard, and where each token needs them."""
 
     def __init__(self, chunk: Chunk, shards: int):
-        h = np.fromiter(map(xxhash.xxh64_intdigest, (START, END, *chunk.words)), np.uint64, len(chunk.words) + 2)
-        before = np.zeros_like(chunk.slots)
-        before[1:] = chunk.slots[:-1]
-        before[np.cumsum(chunk.lengths)[:-1]] = 0
+        h, before = chunk.hashes(), chunk.before()
         pairs, back = np.unique(pair_keys(h[before], h[chunk.slots]), return_inverse=True)
         # The start token itself isn't counted; as many texts start as end.
         self.context, self.word, self.pair = np.where(before == 0, 1, before), chunk.slots, len(h) + back
@@ -375,41 +406,6 @@ class Questions:
         self.keys = keys[self.order]
 
 
-CHUNKS = "chunk long, words binary, slots binary, lengths binary, docs binary"
-
-
-def chunks_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task side: chunks of documents as rows."""
-    parts: list[pa.RecordBatch] = []
-    held = 0
-
-    def row() -> pa.RecordBatch:
-        docs = pa.Table.from_batches(parts)
-        rest = docs.drop_columns(["bytes"])
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, rest.schema) as out:
-            out.write_table(rest)
-        made = Chunk.of(docs.column("bytes").to_pylist()).columns()
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([uuid.uuid4().int >> 65], pa.int64()),
-                *[pa.array([made[c]], pa.binary()) for c in ("words", "slots", "lengths")],
-                pa.array([sink.getvalue().to_pybytes()], pa.binary()),
-            ],
-            ["chunk", "words", "slots", "lengths", "docs"],
-        )
-
-    for batch in slices(batches):
-        parts.append(batch)
-        held += sum(len(t or b"") for t in batch.column("bytes").to_pylist())
-        if held >= HELD_BYTES:
-            yield row()
-            parts.clear()
-            held = 0
-    if parts:
-        yield row()
-
-
 ASKED = "chunk long, shard int, keys binary"
 
 
@@ -438,29 +434,37 @@ def answer(key: tuple, asked: pa.Table, segments: pa.Table) -> pa.Table:
     """Shard side: the levels of the keys that each chunk asks for."""
     data = [np.frombuffer(d, np.uint8) for d in segments.column("data").to_pylist()]
     held = LogFrequencyFilter(data[0], np.array([0]), np.array([len(data[0])])) if data else None
-    levels = []
+    levels: list[bytes] = []
+    some: list[np.ndarray] = []
+
+    def look_up() -> None:
+        # N-grams that several chunks ask for are looked up once.
+        keys, back = np.unique(np.concatenate(some), return_inverse=True)
+        found = (held.levels(keys) if held else np.zeros(len(keys), np.int64)).astype(np.uint8)[back]
+        levels.extend(squeezed(x) for x in np.split(found, np.cumsum([len(k) for k in some])[:-1]))
+        some.clear()
+
     for keys in asked.column("keys"):
-        keys = unpacked_keys(keys.as_py())
-        found = held.levels(keys) if held else np.zeros(len(keys), np.int64)
-        levels.append(squeezed(found.astype(np.uint8)))
+        some.append(unpacked_keys(keys.as_py()))
+        if sum(map(len, some)) >= LOOKED_UP:
+            look_up()
+    if some:
+        look_up()
     return pa.table({"chunk": asked.column("chunk"), "shard": asked.column("shard"), "levels": pa.array(levels, pa.binary())})
 
 
 LEVELLED = "doc_id long, held_out boolean, n_tokens long, known long, base double, rare array<binary>, triples binary"
 
 
-def levelled(docs: DataFrame, model: Model) -> DataFrame:
+def levelled(chunks: DataFrame, doc_id: str, model: Model) -> DataFrame:
     """A row per document: its base score without the rare words, the rare words, and for each
-    token the levels of context, pair and word as one number."""
-    sent = docs.sparkSession.sparkContext.broadcast({w: math.log10(n + 0.5) for w, n in model.head.items()})
+    token the levels of context, pair and word as one number. `doc_id` is the type of the id."""
+    sent = chunks.sparkSession.sparkContext.broadcast({w: math.log10(n + 0.5) for w, n in model.head.items()})
     shards = model.shards
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + LEVELLED.split(", ", 1)[1]
-    source = docs.select("doc_id", "held_out", F.col("text").cast("binary").alias("bytes"))
-    # Written, so that the names of the chunks stay; texts are split into words once, keys are
-    # made again rather than written.
-    chunks = written(source.mapInArrow(chunks_of, CHUNKS), "lm-chunks")
+    schema = f"doc_id {doc_id}, " + LEVELLED.split(", ", 1)[1]
+    # Keys are made again rather than written.
     answers = (
-        chunks.drop("docs").mapInArrow(asking(shards), ASKED).groupBy("shard")
+        chunks.select("chunk", "words", "slots", "lengths").mapInArrow(asking(shards), ASKED).groupBy("shard")
         .cogroup(model.segments.groupBy("shard"))
         .applyInArrow(answer, "chunk long, shard int, levels binary")
     )
@@ -474,14 +478,14 @@ def levelled(docs: DataFrame, model: Model) -> DataFrame:
         level[asked.order] = np.frombuffer(b"".join(map(released, by_shard)), np.uint8)
         level = level.astype(np.int64)
         triples = triple(level[asked.context], level[asked.pair], level[asked.word]).astype("<u8")
-        log = np.array([logs.get(w, math.nan) for w in (START, END, *made.words)])[made.slots]
+        log = np.array([logs.get(w, math.nan) for w in made.names()])[made.slots]
         lengths = made.lengths
         ends = np.cumsum(lengths)
         starts = ends - lengths
         is_rare = np.isnan(log)
         at = np.flatnonzero(is_rare)
         cuts = np.searchsorted(at, np.append(starts, ends[-1]))
-        names = (START, END, *made.words)
+        names = made.names()
         rare = [names[k] for k in made.slots[at].tolist()]
         out = pa.ipc.open_stream(chunk.column("docs")[0].as_py()).read_all()
         return pa.table(
@@ -558,13 +562,16 @@ def fit_weights(training: DataFrame, denominator: float) -> np.ndarray:
     return weights
 
 
-def score_text(docs: DataFrame, model: Model) -> DataFrame:
+def score_text(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of the rows
     (doc_id, held_out, text); those not held out are the training rows."""
+    chunks = text_chunks(docs)
+    model = fit_model(chunks)
     denominator = model.denominator()
-    rows = levelled(docs, model)
+    doc_id = docs.schema["doc_id"].dataType.simpleString()
+    rows = levelled(chunks, doc_id, model)
     weights, counts = fit_weights(rows.where(~F.col("held_out")), denominator), level_counts()
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + SCORED.split(", ", 1)[1]
+    schema = f"doc_id {doc_id}, " + SCORED.split(", ", 1)[1]
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -602,5 +609,4 @@ def held_out(doc_id: Column) -> Column:
 
 
 def op9_lm_scoring(docs: DataFrame) -> DataFrame:
-    model = fit_model(docs.where(~held_out(F.col("doc_id"))))
-    return score_text(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), model)
+    return score_text(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")))

@@ -23,7 +23,8 @@ def test_no_ngram_is_left_out(spark, monkeypatch):
     rng = np.random.default_rng(5)
     texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 200) % 3000) for _ in range(100)]
     docs = rows_of(spark, texts).repartition(4)
-    model = lm.fit_model(docs)
+    chunks = lm.text_chunks(docs)
+    model = lm.fit_model(chunks)
     assert 8 < model.shards == model.segments.count()
     words, pairs = Counter(), Counter()
     tokens = [[lm.START, *lm.words_of(t.encode()), lm.END] for t in texts]
@@ -33,7 +34,7 @@ def test_no_ngram_is_left_out(spark, monkeypatch):
     words[lm.START] = words[lm.END]
     level = lambda c: lm.level_of(np.array(c))
     above = total = 0
-    for r in lm.levelled(docs, model).collect():
+    for r in lm.levelled(chunks, "bigint", model).collect():
         t = tokens[r["doc_id"]]
         found = lm.apart(lm.triples_of(r["triples"]))
         exact = level([words[w] for w in t[:-1]]), level([pairs[p] for p in zip(t[:-1], t[1:], strict=True)]), level([words[w] for w in t[1:]])
@@ -59,8 +60,9 @@ def test_weights_come_from_all_rows(spark):
     some = [" ".join(f"w{x}" for x in rng.zipf(1.5, 60) % 500) for _ in range(1500)]
     texts = [None] * 1500 + ["the same text of a group"] * 1500 + some
     docs = rows_of(spark, texts)
-    model = lm.fit_model(docs)
-    levels = lm.levelled(docs, model)
+    chunks = lm.text_chunks(docs)
+    model = lm.fit_model(chunks)
+    levels = lm.levelled(chunks, "bigint", model)
     weights = lm.fit_weights(levels, model.denominator())
     found = np.concatenate([lm.triples_of(r["triples"]) for r in levels.collect()])
     context, pair, word = lm.apart(found)
@@ -102,9 +104,10 @@ def test_probabilities_of_a_vocabulary_sum_to_about_one(spark):
     texts = [" ".join(f"w{x}" for x in rng.zipf(1.4, 100) % 300) for _ in range(400)]
     words = sorted({w for t in texts for w in t.split()})
     docs = rows_of(spark, texts)
-    model = lm.fit_model(docs)
+    chunks = lm.text_chunks(docs)
+    model = lm.fit_model(chunks)
     denominator = model.denominator()
-    weights = lm.fit_weights(lm.levelled(docs, model), denominator)
+    weights = lm.fit_weights(lm.levelled(chunks, "bigint", model), denominator)
     segments = {r["shard"]: np.frombuffer(r["data"], np.uint8) for r in model.segments.collect()}
     assert list(segments) == [0]
     held = lm.LogFrequencyFilter(segments[0], np.array([0]), np.array([len(segments[0])]))
