@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -119,36 +118,40 @@ def grams(df: DataFrame, features: Sequence[str], label: str, by: str | None = N
     """The Gram of each group (None without `by`) from one scan. `by` is for few groups, such as
     splits. Rows without a label take no part; a missing feature is an error."""
     x = F.array(*[F.col(c).cast("double") for c in features])
-    return _grams(df.select(x.alias("_x"), F.col(label).cast("double").alias("_y"), *([by] if by else [])), len(features), by)
+    return _grams(df.select(x.alias("_x"), F.col(label).cast("double").alias("_y"), *([by] if by else [])), by)
 
 
-def vector_grams(df: DataFrame, vector: str, label: str) -> Gram:
+def vector_gram(df: DataFrame, vector: str, label: str) -> Gram:
     """The Gram of a table with a feature vector."""
-    rows = df.select(vector_to_array(vector).alias("_x"), F.col(label).cast("double").alias("_y"))
-    first = rows.select(F.size("_x")).head(1)
-    if not first:
+    found = _grams(df.select(vector_to_array(vector).alias("_x"), F.col(label).cast("double").alias("_y")), None)
+    if not found:
         raise ValueError("no training rows")
-    return _grams(rows, first[0][0], None)[None]
+    return found[None]
 
 
-def _grams(rows: DataFrame, d: int, by: str | None) -> dict[Any, Gram]:
-    columns = [f"_{k}" for k in range(d + 1)]
-    wide = rows.where(F.col("_y").isNotNull()).select(
-        *[F.col("_x")[k].alias(f"_{k}") for k in range(d)], F.col("_y").alias(f"_{d}"), *([by] if by else [])
-    )
-    # Any row will do as the origin: far from zero, sums of squares would lose digits.
-    some = wide.select(*columns).head(1)
+def _grams(rows: DataFrame, by: str | None) -> dict[Any, Gram]:
+    rows = rows.where("_y IS NOT NULL")
+    # The means of any rows will do as the origin: far from the values, sums of squares lose digits.
+    some = rows.select("_x", "_y").head(200)
     if not some:
         return {}
-    origin = [0.0 if v is None or not np.isfinite(v) else v for v in some[0]]
-    moved = wide.select(*[(F.col(c) - F.lit(o)).alias(c) for c, o in zip(columns, origin, strict=True)], *([by] if by else []))
-    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+    seen = np.array([[np.nan if v is None else v for v in (*r["_x"], r["_y"])] for r in some], float)
+    known = np.isfinite(seen)
+    origin = np.where(known, seen, 0.0).sum(0) / np.maximum(known.sum(0), 1)
+    d = len(origin) - 1
+    values = [f"_x[{k}]" for k in range(d)] + ["_y"]
+    moved = rows.selectExpr(
+        *[f"{v} - ({float(o)!r}D) AS _{k}" for k, (v, o) in enumerate(zip(values, origin, strict=True))],
+        *([f"`{by}`"] if by else []),
+    )
+    columns = [f"_{k}" for k in range(d + 1)]
     pairs = [(i, j) for i in range(d + 1) for j in range(i, d + 1)]
+    # One expression each: hundreds of sums are parsed faster than they are built one by one.
     sums = moved.groupBy(*([by] if by else [])).agg(
         F.count(F.lit(1)).alias("rows"),
-        F.count_if(whole).alias("n"),
-        *[F.sum(c).alias(f"s{c}") for c in columns],
-        *[F.sum(F.col(columns[i]) * F.col(columns[j])).alias(f"p{i}_{j}") for i, j in pairs],
+        F.expr(f"count_if({' AND '.join(f'{c} IS NOT NULL' for c in columns)})").alias("n"),
+        F.expr(f"array({', '.join(f'sum({c})' for c in columns)})").alias("sums"),
+        F.expr(f"array({', '.join(f'sum(_{i} * _{j})' for i, j in pairs)})").alias("products"),
     )
     out = {}
     for r in sums.collect():
@@ -156,12 +159,12 @@ def _grams(rows: DataFrame, d: int, by: str | None) -> dict[Any, Gram]:
             raise ValueError(f"{r['rows'] - r['n']} rows lack a feature")
         if not r["n"]:
             continue
-        total = np.array([r[f"s{c}"] for c in columns])
+        total = np.array(r["sums"])
         products = np.zeros((d + 1, d + 1))
-        for i, j in pairs:
-            products[i, j] = products[j, i] = r[f"p{i}_{j}"]
+        for (i, j), p in zip(pairs, r["products"], strict=True):
+            products[i, j] = products[j, i] = p
         products -= np.outer(total, total) / r["n"]
-        out[r[by] if by else None] = Gram(r["n"], np.array(origin) + total / r["n"], products)
+        out[r[by] if by else None] = Gram(r["n"], origin + total / r["n"], products)
     return out
 
 
@@ -216,7 +219,7 @@ class LinearFit(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, Defaul
         )
 
     def _fit(self, dataset: DataFrame) -> LinearModel:
-        return self.model(vector_grams(dataset, self.getFeaturesCol(), self.getLabelCol()))
+        return self.model(vector_gram(dataset, self.getFeaturesCol(), self.getLabelCol()))
 
 
 def predictions(models: Mapping[int, LinearModel], features: Sequence[str]) -> Column:

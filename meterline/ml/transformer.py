@@ -36,8 +36,8 @@ class _TripParams(Params):
     scaleNumerical = Param(
         Params._dummy(), "scaleNumerical", "whether to scale", TypeConverters.toBoolean
     )
-    salts = Param(
-        Params._dummy(), "salts", "parts that a hot class is split into", TypeConverters.toInt
+    skewed = Param(
+        Params._dummy(), "skewed", "whether hot classes are found and split", TypeConverters.toBoolean
     )
 
     def __init__(self) -> None:
@@ -46,7 +46,7 @@ class _TripParams(Params):
             numericalFeatures=list(S.TRANSFORMER_NUMERICAL),
             categoricalFeatures=list(S.TRANSFORMER_CATEGORICAL),
             scaleNumerical=True,
-            salts=1,
+            skewed=False,
         )
 
     def _columns(self, df: DataFrame) -> tuple[list[str], list[str]]:
@@ -82,7 +82,7 @@ class TripFeatureModel(Model, _TripParams, MLReadable, MLWritable):
         if self.scaler is not None and numeric:
             out = LK.scaler_apply(out, self.scaler, numeric)
         if self.classes is not None and text:
-            out = LK.encode_lookup(out, self.classes, text, self.getOrDefault(self.salts))
+            out = LK.encode_lookup(out, self.classes, text, self.getOrDefault(self.skewed))
         return out.select(*dataset.columns)
 
     def write(self) -> MLWriter:

@@ -24,11 +24,15 @@ from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from meterline.sources.staging import stage
+
 #: Value ranges, at least; a session with more shuffle partitions has as many ranges.
 RANGES = 256
 
 
-#: Relative rank error of the sketch that brackets quantiles is one over this.
+#: Size of the sketch that brackets quantiles; its relative rank error is about one over
+#: `SKETCH_ACCURACY` (99 % confidence).
+SKETCH_SIZE = 65_535
 SKETCH_ACCURACY = 10_000
 #: Rank shares on either side of a quantile that its bracket spans: three sketch errors.
 BRACKET_MARGIN = 3.0 / SKETCH_ACCURACY
@@ -119,12 +123,13 @@ def range_offsets(
 def brackets(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()
 ) -> DataFrame:
-    """``by..., feature, _edges``: for each probability a low and a high value that the
-    wanted ranks lie between, from one wide aggregate.
+    """``by..., _edges``: for each column and probability a low and a high value that the
+    wanted ranks lie between, from one wide aggregate of quantile sketches.
 
     Ranks next to a quantile are at most two away from its share of the rows. A bracket is three
     sketch errors wide on either side, which holds both the sketch's error and those two ranks
-    from 10,000 values on; the brackets of smaller groups are open, so that all values stay.
+    from 10,000 values on; the brackets of smaller groups are open, so that all values stay, and
+    so are those of a column with NaN, which a sketch leaves out.
     """
     shares = [min(1.0, max(0.0, p + m)) for p in probs for m in (-BRACKET_MARGIN, BRACKET_MARGIN)]
     open_ends = [float("-inf"), float("nan")]  # NaN is above all numbers
@@ -132,36 +137,48 @@ def brackets(
 
     def edges(c: str) -> Column:
         v = F.col(c).cast("double")
-        sketch = F.percentile_approx(v, shares, SKETCH_ACCURACY)
-        wide = F.count(v) >= SKETCH_ACCURACY
+        sketch = F.kll_sketch_agg_double(v, SKETCH_SIZE)
+        wide = (F.count(v) >= SKETCH_ACCURACY) & (F.kll_sketch_get_n_double(sketch) == F.count(v))
+        found = F.kll_sketch_get_quantile_double(sketch, F.array(*[F.lit(x) for x in shares]))
         ends = [F.lit(open_ends[k % 2]) for k in range(len(shares))]
-        found = [ends[k] if is_open[k] else F.get(sketch, F.lit(k)) for k in range(len(shares))]
-        return F.when(wide, F.array(*found)).otherwise(F.array(*ends))
+        some = [ends[k] if is_open[k] else F.get(found, F.lit(k)) for k in range(len(shares))]
+        return F.when(wide, F.array(*some)).otherwise(F.array(*ends))
 
-    packed = [F.struct(F.lit(c).alias("feature"), edges(c).alias("_edges")) for c in columns]
-    sketched = df.groupBy(*by).agg(F.array(*packed).alias("_all"))
-    return sketched.select(*by, F.explode("_all").alias("_one")).select(*by, "_one.*")
+    return df.groupBy(*by).agg(F.array(*[edges(c) for c in columns]).alias("_edges"))
 
 
 def bracketed_counts(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()
 ) -> DataFrame:
-    """``by..., feature, value, inside, n``: values inside a bracket as they are; those of a gap
-    between brackets together, as the bracket's end below them."""
-    v, edges = F.col("value"), F.col("_edges")
-    low = [F.get(edges, F.lit(2 * k)) for k in range(len(probs))]
-    high = [F.get(edges, F.lit(2 * k + 1)) for k in range(len(probs))]
-    inside = reduce(lambda a, b: a | b, [(v >= lo) & (v <= hi) for lo, hi in zip(low, high, strict=True)])
-    below = [F.lit(float("-inf"))] + [F.when(v > hi, hi) for hi in high]
-    long = long_values(df, columns, by)
-    # One row of edges per group and feature.
-    held = long.join(F.broadcast(brackets(df, columns, probs, by)), [*by, "feature"]).select(
-        *by, "feature", v, inside.alias("inside"), F.greatest(*below).alias("_gap")
-    )
-    return (
-        held.select(*by, "feature", F.when(F.col("inside"), v).otherwise(F.col("_gap")).alias("value"), "inside")
-        .groupBy(*by, "feature", "value", "inside")
-        .agg(F.count(F.lit(1)).alias("n"))
+    """``by..., column, prob, value, n`` of the values inside the brackets, and a row per group
+    with column -1 and ``totals``: for each column its values, then those below each bracket.
+
+    Only values inside a bracket become rows; all others are counted where they lie.
+    """
+    wide = df.select(*by, *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
+    edges = brackets(df, columns, probs, by)
+    # One row of edges per group.
+    held = wide.join(F.broadcast(edges), list(by)) if by else wide.withColumn("_edges", edges.scalar())
+    values = [F.col(f"_v{i}") for i in range(len(columns))]
+    low = [[F.get(F.get("_edges", F.lit(i)), F.lit(2 * k)) for k in range(len(probs))] for i in range(len(columns))]
+    high = [[F.get(F.get("_edges", F.lit(i)), F.lit(2 * k + 1)) for k in range(len(probs))] for i in range(len(columns))]
+
+    def item(i: int, k: int, value: Column) -> Column:
+        return F.struct(F.lit(i).alias("column"), F.lit(k).alias("prob"), value.alias("value"))
+
+    inside = [
+        F.when((v >= low[i][k]) & (v <= high[i][k]), item(i, k, v)) for i, v in enumerate(values) for k in range(len(probs))
+    ]
+    whole_row = item(-1, -1, F.lit(None).cast("double"))
+    rows = held.withColumn("_item", F.explode(F.array_compact(F.array(whole_row, *inside))))
+    is_row = F.col("_item.column") < 0
+    totals = [
+        F.count_if(is_row & t)
+        for i, v in enumerate(values)
+        for t in (v.isNotNull(), *[v < low[i][k] for k in range(len(probs))])
+    ]
+    return rows.groupBy(*by, "_item").agg(F.count(F.lit(1)).alias("n"), F.array(*totals).alias("totals")).select(
+        *by, "_item.*", "n", "totals"
     )
 
 
@@ -172,84 +189,127 @@ def exact_quantiles(
     by: Sequence[str] = (),
     ranges: int | None = None,
     packed_by: Sequence[str] = (),
+    many: bool = False,
 ) -> DataFrame:
     """``by..., feature, n, q`` with linearly interpolated quantiles in ``q``.
 
-    ``by`` is for few groups (splits, segments). The table is read twice: for the brackets of the
+    ``by`` is for few groups (splits, segments); ``many=True`` for any number of them. The table is read twice: for the brackets of the
     wanted ranks, and for the counts of the values inside them. A rank outside its bracket,
-    against the sketch's bound, is an error, never a wrong number. ``ranges=1`` is for groups
+    against the sketch's bound, is an error, never a wrong number; ``many=True`` has no brackets. ``ranges=1`` is for groups
     known to have few distinct values: one task then holds those of a whole group.
     """
     if by:
         # A struct is never null itself, so a null group stays a group and the
         # joins below add no null tests that would tell the branches apart.
         packed = df.select(F.struct(*by).alias("_group"), *columns)
-        return exact_quantiles(packed, columns, probs, (), ranges, ("_group",)).select(
+        return exact_quantiles(packed, columns, probs, (), ranges, ("_group",), many).select(
             "_group.*", "feature", "n", "q"
         )
-    keys = [*packed_by, "feature"]
     if ranges == 1:
         counts = distinct_counts(df, columns, packed_by)
-        return counts.groupBy(*keys).agg(
+        return counts.groupBy(*packed_by, "feature").agg(
             F.sum("n").alias("n"),
             F.percentile("value", F.array(*[F.lit(float(p)) for p in probs]), F.col("n")).alias("q"),
         )
+    if many:
+        return _grouped_quantiles(df, columns, probs, packed_by)
     counts = bracketed_counts(df, columns, probs, packed_by)
-    ranged = with_ranges(counts, keys, ranges=ranges)
-    offsets = range_offsets(ranged, keys, ["n"])
-    position = [F.lit(float(p)) * (F.col("n_total") - 1) for p in probs]
-    wanted = F.array_distinct(
-        F.array(*[f(h).cast("bigint") for h in position for f in (F.floor, F.ceil)])
+    keys = [*packed_by, "column", "prob"]
+    # Told apart by the sums, not by the key, and with the count kept, so that both branches read
+    # the same shuffle.
+    most = F.array_max("totals")
+    ranged = with_ranges(counts.where(most == 0), keys, ranges=ranges)
+    width = len(probs) + 1
+    wanted = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("prob") + 1)
+    each = F.explode(
+        F.flatten(
+            F.transform(
+                F.sequence(F.lit(0), F.lit(len(columns) - 1)),
+                lambda i: F.transform(
+                    F.sequence(F.lit(0), F.lit(len(probs) - 1)),
+                    lambda k: F.struct(
+                        i.alias("column"),
+                        k.alias("prob"),
+                        F.get("totals", i * width).alias("n_all"),
+                        F.get("totals", i * width + k + 1).alias("below"),
+                    ),
+                ),
+            )
+        )
     )
-    # Groups x (at most two ranges per quantile) rows.
+    # Groups x columns x probabilities rows.
+    sizes = counts.where((most > 0) & (F.col("n") > 0)).select(*packed_by, each.alias("_t")).select(*packed_by, "_t.*")
+    position = wanted * (F.col("n_all") - 1)
+    ranks = F.array_distinct(F.array(*[f(position).cast("bigint") - F.col("below") for f in (F.floor, F.ceil)]))
+    offsets = range_offsets(ranged, keys, ["n"]).join(F.broadcast(sizes), keys)
+    # At most two ranges per quantile and group.
     targets = (
         offsets.withColumn(
             "_ranks",
-            F.filter(
-                wanted,
-                lambda r: (r >= F.col("n_start")) & (r < F.col("n_start") + F.col("n_here")),
-            ),
+            F.filter(ranks, lambda r: (r >= F.col("n_start")) & (r < F.col("n_start") + F.col("n_here"))),
         )
         .where(F.size("_ranks") > 0)
-        .select(*keys, "_range", "n_start", "n_total", "_ranks")
-    )
-    # A gap's values follow the bracket's end that stands for them.
-    inside = Window.partitionBy(*keys, "_range").orderBy("value", F.desc("inside"))
-    upto = F.col("n_start") + F.sum("n").over(
-        inside.rowsBetween(Window.unboundedPreceding, 0)
-    )
-    found = F.when(F.col("inside"), F.col("value")).otherwise(
-        F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
+        .select(*keys, "_range", "n_start", "_ranks")
     )
+    inside = Window.partitionBy(*keys, "_range").orderBy("value")
+    upto = F.col("n_start") + F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     hits = (
         ranged.join(F.broadcast(targets), [*keys, "_range"])
         .withColumn("_upto", upto)
         .withColumn(
             "_rank",
             F.explode(
-                F.filter(
-                    "_ranks",
-                    lambda r: (r < F.col("_upto")) & (r >= F.col("_upto") - F.col("n")),
-                )
+                F.filter("_ranks", lambda r: (r < F.col("_upto")) & (r >= F.col("_upto") - F.col("n")))
             ),
         )
         .groupBy(*keys)
-        .agg(
-            F.first("n_total").alias("n_total"),
-            F.map_from_entries(F.collect_list(F.struct(F.col("_rank"), found))).alias("_at"),
-        )
+        .agg(F.map_from_entries(F.collect_list(F.struct("_rank", "value"))).alias("_at"))
     )
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("column") + 1)
 
-    def interpolate(h: Column) -> Column:
-        low = F.try_element_at("_at", F.floor(h).cast("bigint"))
-        high = F.try_element_at("_at", F.ceil(h).cast("bigint"))
-        return low + (high - low) * (h - F.floor(h))
+    def at(f) -> Column:
+        found = F.try_element_at("_at", f(position).cast("bigint") - F.col("below"))
+        return F.coalesce(found, F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double"))
 
-    return hits.select(
-        *keys, F.col("n_total").alias("n"), F.array(*[interpolate(h) for h in position]).alias("q")
+    one = at(F.floor) + (at(F.ceil) - at(F.floor)) * (position - F.floor(position))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("prob", one.alias("q")))), lambda x: x["q"])
+    return (
+        sizes.where("n_all > 0")
+        .join(hits, keys, "left")
+        .groupBy(*packed_by, name.alias("feature"))
+        .agg(F.first("n_all").alias("n"), ordered.alias("q"))
     )
 
 
+def _grouped_quantiles(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str]
+) -> DataFrame:
+    """Quantiles of any number of groups by secondary sort: the distinct values of all groups are
+    sorted by range over the tasks, so that small groups lie together and a large one is spread.
+    Nothing is broadcast; what the sums need per group is joined by group."""
+    keys = [*by, "feature"]
+    counts = distinct_counts(df, columns, by)
+    # Written, so that every branch finds the rows in the same tasks.
+    ranged = stage(
+        counts.repartitionByRange(*keys, "value").withColumn("_range", F.spark_partition_id()), "grouped-values"
+    )
+    # Groups + tasks rows.
+    offsets = range_offsets(ranged, keys, ["n"]).select(*keys, "_range", "n_start", "n_total")
+    inside = Window.partitionBy(*keys, "_range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.join(offsets, [*keys, "_range"]).withColumn("_upto", F.col("n_start") + F.sum("n").over(inside))
+    position = [F.lit(float(p)) * (F.col("n_total") - 1) for p in probs]
+    before = F.col("_upto") - F.col("n")
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((rank < F.col("_upto")) & (rank >= before), F.col("value")))
+
+    def quantile(h: Column) -> Column:
+        low, high = value_at(F.floor(h)), value_at(F.ceil(h))
+        return low + (high - low) * F.max(h - F.floor(h))
+
+    return placed.groupBy(*keys).agg(F.max("n_total").alias("n"), F.array(*[quantile(h) for h in position]).alias("q"))
+
+
 def approx_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -274,8 +334,11 @@ def quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     approx: bool = False,
+    many: bool = False,
 ) -> DataFrame:
-    return (approx_quantiles if approx else exact_quantiles)(df, columns, probs, by)
+    if approx:
+        return approx_quantiles(df, columns, probs, by)
+    return exact_quantiles(df, columns, probs, by, many=many)
 
 
 def ranked_classes(classes: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -344,12 +344,12 @@ def evaluation_verdicts(
     )
     gap = F.abs(F.col("train_mae") - F.col("mae"))
     checks = [
-        ("good_r2", F.col("r2"), F.col("r2") > 0.8),
-        ("low_mape", F.col("mape"), F.col("mape") < 20),
-        ("low_overfitting", gap, gap < 0.5),
-        ("mae_could_be_lower", F.col("mae"), F.col("mae") > 2.5),
-        ("high_fares_worse", high_mae, high_mae > F.col("mae") * 1.5),
-        ("alert_level", F.col("mae") * 1.2, F.lit(True)),
+        ("good_r2", F.col("r2"), F.col("r2") > S.VERDICT_R2),
+        ("low_mape", F.col("mape"), F.col("mape") < S.VERDICT_MAPE),
+        ("low_overfitting", gap, gap < S.VERDICT_GAP),
+        ("mae_could_be_lower", F.col("mae"), F.col("mae") > S.VERDICT_MAE),
+        ("high_fares_worse", high_mae, high_mae > F.col("mae") * S.VERDICT_HIGH_FARES),
+        ("alert_level", F.col("mae") * S.VERDICT_ALERT, F.lit(True)),
     ]
     return rows_of(
         wide,

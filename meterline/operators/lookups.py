@@ -2,7 +2,7 @@
 
 No broadcast hint is given here: a scanned or staged table carries its true
 size, so the optimizer broadcasts it below ``autoBroadcastJoinThreshold`` and
-otherwise plans a sort-merge join, where ``salts`` splits hot keys.
+otherwise plans a sort-merge join, where ``skewed`` finds and splits hot keys.
 """
 
 from __future__ import annotations
@@ -16,29 +16,64 @@ from meterline.functions.trip import as_string_key, zone_label
 from meterline.operators.distribution import ranked_classes
 
 
+#: Keys that a heavy-hitter sketch follows: none with a larger share than about one over this
+#: is missed.
+SKETCH_KEYS = 10_000
+
+
+def hot_keys(facts: DataFrame, on: Sequence[str], parts: int) -> DataFrame:
+    """``_key, _copies``: hashes of the keys that hold more than half of an even share of the rows
+    (one part of ``parts``), and into how many pieces, each an eighth of such a share, they are cut.
+
+    From a heavy-hitter sketch of the key columns, one pass with one small row per task: at most
+    2 x parts rows come out, whatever the number of keys.
+    """
+    key = F.xxhash64(*[F.col(c) for c in on]).alias("_key")
+    most, followed = 2 * parts, max(SKETCH_KEYS, 20 * parts)
+    top = F.expr(f"approx_top_k(_key, {most}, {followed})").alias("_top")
+    sketched = facts.select(key).agg(top, F.count(F.lit(1)).alias("_rows"))
+    each = sketched.select("_rows", F.explode("_top").alias("_t"))
+    even = F.col("_rows") / parts
+    return each.where(F.col("_t.count") > even / 2).select(
+        F.col("_t.item").alias("_key"), F.ceil(F.col("_t.count") * 8 / even).cast("int").alias("_copies")
+    )
+
+
 def left_lookup(
     facts: DataFrame,
     table: DataFrame,
     on: Sequence[str],
-    salts: int = 1,
+    skewed: bool = False,
     row_key: Sequence[str] = (),
+    parts: int | None = None,
 ) -> DataFrame:
-    """Left join. With ``salts`` > 1 each key is spread over that many
-    partitions and the looked-up table repeated as often: for a table too
-    large to broadcast under keys that hold much of the facts.
-
-    Rows are spread by a hash of ``row_key``, columns that tell rows apart; without
-    it by the number of their partition. No other column is read for it.
+    """Left join. With ``skewed`` the hot keys of the facts are found by a sketch and cut into
+    small pieces, and their rows of the table repeated as often; all other keys
+    are joined as they are. For a table too large to broadcast under keys that hold much of the
+    facts; it costs one more pass over the facts' key columns.
+
+    Rows of a hot key are spread by a hash of ``row_key``, columns that tell rows apart (all
+    columns, if none are given). ``parts``: the partitions to spread over, by default those of a
+    shuffle.
     """
-    if salts <= 1:
+    if not skewed:
         return facts.join(table, list(on), "left")
-    # Unlike a random salt, both are the same again when a task is retried.
-    row = F.xxhash64(*[F.col(c) for c in row_key]) if row_key else F.spark_partition_id()
-    spread = F.pmod(row, F.lit(salts)).cast("int")
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return (
-        facts.withColumn("_salt", spread).join(copies, [*on, "_salt"], "left").drop("_salt")
+    parts = parts or int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # At most 2 x parts rows.
+    hot = F.broadcast(hot_keys(facts, on, parts))
+    key = F.xxhash64(*[F.col(c) for c in on])
+    row = F.xxhash64(F.lit(1), *[F.col(c) for c in row_key or facts.columns])
+    # Rows of other keys have salt 0; like the hash, it is the same again when a task is retried.
+    salt = F.coalesce(F.pmod(row, F.col("_copies")).cast("int"), F.lit(0))
+    spread = facts.withColumn("_key", key).join(hot, "_key", "left").withColumn("_salt", salt).drop("_key", "_copies")
+    last = F.coalesce(F.col("_copies"), F.lit(1)) - 1
+    copies = (
+        table.withColumn("_key", key)
+        .join(hot, "_key", "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
+        .drop("_key", "_copies")
     )
+    return spread.join(copies, [*on, "_salt"], "left").drop("_salt")
 
 
 # --- routes -----------------------------------------------------------------------
@@ -56,12 +91,12 @@ def lookup_route_distance(
     trips: DataFrame,
     routes: DataFrame,
     default: float = S.DEFAULT_ROUTE_MILES,
-    salts: int = 1,
+    skewed: bool = False,
     row_key: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``route_distance`` (default for an unknown route) and ``has_data``."""
     keys = ["PULocationID", "DOLocationID"]
-    found = left_lookup(trips, routes.select(*keys, "avg_distance"), keys, salts, row_key)
+    found = left_lookup(trips, routes.select(*keys, "avg_distance"), keys, skewed, row_key)
     return found.withColumns(
         {
             "route_distance": F.coalesce("avg_distance", F.lit(default)),
@@ -74,13 +109,13 @@ def fill_distance(
     trips: DataFrame,
     routes: DataFrame,
     default: float = S.DEFAULT_ROUTE_MILES,
-    salts: int = 1,
+    skewed: bool = False,
     row_key: Sequence[str] = (),
 ) -> DataFrame:
     """Replace a distance that is not positive by the route's mean."""
     d = F.col("trip_distance")
     return (
-        lookup_route_distance(trips, routes, default, salts, row_key)
+        lookup_route_distance(trips, routes, default, skewed, row_key)
         .withColumn("trip_distance", F.when(d <= 0, F.col("route_distance")).otherwise(d))
         .drop("route_distance", "has_data")
     )
@@ -90,7 +125,7 @@ def fill_distance(
 
 
 def enrich_zones(
-    trips: DataFrame, zones: DataFrame, salts: int = 1, row_key: Sequence[str] = ()
+    trips: DataFrame, zones: DataFrame, skewed: bool = False, row_key: Sequence[str] = ()
 ) -> DataFrame:
     """Borough and zone of both ends."""
     out = trips
@@ -100,7 +135,7 @@ def enrich_zones(
             F.col("Borough").alias(f"{side}_borough"),
             F.col("Zone").alias(f"{side}_zone"),
         )
-        out = left_lookup(out, dim, [key], salts, row_key)
+        out = left_lookup(out, dim, [key], skewed, row_key)
     return out
 
 
@@ -145,7 +180,7 @@ def encode_lookup(
     df: DataFrame,
     dictionary: DataFrame,
     columns: Sequence[str],
-    salts: int = 1,
+    skewed: bool = False,
     row_key: Sequence[str] = (),
 ) -> DataFrame:
     """Replace each column by its code; a class not in the dictionary gives -1."""
@@ -155,7 +190,7 @@ def encode_lookup(
             F.col("class").alias("_class"), F.col("code").alias("_code")
         )
         out = left_lookup(
-            out.withColumn("_class", as_string_key(F.col(c))), codes, ["_class"], salts, row_key
+            out.withColumn("_class", as_string_key(F.col(c))), codes, ["_class"], skewed, row_key
         )
         out = out.withColumn(c, F.coalesce("_code", F.lit(-1))).drop("_class", "_code")
     return out

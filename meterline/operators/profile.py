@@ -183,42 +183,13 @@ def condition_counts(df: DataFrame, conditions: Mapping[str, Column]) -> DataFra
 
 
 def anomaly_counts(df: DataFrame) -> DataFrame:
-    distance, riders = F.col("trip_distance"), F.col("passenger_count")
-    minutes = F.col("trip_duration_minutes")
-    return condition_counts(
-        df,
-        {
-            "zero distance": distance == 0,
-            "distance > 50": distance > 50,
-            "distance > 100": distance > 100,
-            "zero passengers": riders == 0,
-            "passengers > 6": riders > 6,
-            "negative duration": minutes < 0,
-            "zero duration": minutes == 0,
-            "duration > 60": minutes > 60,
-            "duration > 120": minutes > 120,
-        },
-    ).select("issue", "count")
+    return condition_counts(df, {k: F.expr(c) for k, c in S.ANOMALIES.items()}).select("issue", "count")
 
 
 def quality_report(df: DataFrame) -> DataFrame:
     """Eight issues with count, percent and status."""
-    fare, distance = F.col("fare_amount"), F.col("trip_distance")
-    riders, minutes = F.col("passenger_count"), F.col("trip_duration_minutes")
     pct = N.percent(F.col("count"), F.col("total"))
-    return condition_counts(
-        df,
-        {
-            "Missing passenger_count": riders.isNull(),
-            "Zero/Negative fare": fare <= 0,
-            "Fare > $500": fare > 500,
-            "Zero trip distance": distance == 0,
-            "Distance > 100 miles": distance > 100,
-            "Zero passenger count": riders == 0,
-            "Negative duration": minutes < 0,
-            "Duration > 3 hours": minutes > 180,
-        },
-    ).select(
+    return condition_counts(df, {k: F.expr(c) for k, c in S.QUALITY_ISSUES.items()}).select(
         "issue", "count", F.round(pct, 6).alias("pct"), N.quality_status(pct).alias("status"), "total"
     )
 
@@ -227,13 +198,13 @@ def corr_matrix(df: DataFrame, columns: Sequence[str] = S.CORRELATION_COLUMNS) -
     """Pearson r of every ordered pair, as ``a, b, r``; rows with a null in any
     of the columns are left out.
 
-    The means come first, so that the products are summed around them: one
-    row of 8 + 36 sums instead of 28 correlation states keeps the aggregate
-    inside generated code, and the sums do not cancel.
+    One pass: products are summed around the means of some rows, which is near enough for the sums
+    not to cancel. One row of 8 + 36 sums instead of 28 correlation states keeps the aggregate
+    inside generated code.
     """
     data = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop("any")
-    means = data.select(F.struct(*[F.avg(c).alias(c) for c in columns])).scalar()
-    centred = data.select(*[(F.col(c) - means.getField(c)).alias(c) for c in columns])
+    origin = data.limit(1000).select(F.struct(*[F.avg(c).alias(c) for c in columns])).scalar()
+    centred = data.select(*[(F.col(c) - origin.getField(c)).alias(c) for c in columns])
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     sums = centred.agg(
         F.count(F.lit(1)).cast("double").alias("_n"),

@@ -28,7 +28,7 @@ def sample_hash(key: str, seed: int = S.SAMPLE_SEED) -> Column:
 
 
 def sample_n(
-    df: DataFrame, n: int, key: str = "trip_id", seed: int = S.SAMPLE_SEED, unique: bool = True
+    df: DataFrame, n: int, key: str = "trip_id", seed: int = S.SAMPLE_SEED, unique: bool = False
 ) -> DataFrame:
     """Exactly ``min(n, rows)`` rows without replacement: those with the least
     key hash. Lazy: nothing runs before the sample is used.
@@ -45,7 +45,7 @@ def sample_by(
     sizes: Mapping[Any, int],
     key: str = "trip_id",
     seed: int = S.SAMPLE_SEED,
-    unique: bool = True,
+    unique: bool = False,
 ) -> DataFrame:
     """For each group in ``sizes`` exactly so many rows, or all it has: those with the least key
     hash. Other groups give no rows.
@@ -53,8 +53,8 @@ def sample_by(
     A count per hash cell (65,536 cells a group, one pass for all groups) finds the cell where the
     last row lies; the keys of that one cell say how it ends. Rows up to there are taken as they
     stand, wherever they are: no task gathers the sample, and keys alone are read before. ``unique``
-    says that a key names one row; without it rows that share the last key are numbered, in one
-    task, by the hash of their columns.
+    says that a key names one row, and saves a scan; without it the rows that share the last key
+    are numbered by the hash of their columns.
     """
     order = sample_hash(key, seed)
     cell = F.conv(F.substring(order, 1, 4), 16, 10).cast("int")
@@ -95,8 +95,9 @@ def sample_by(
     rest = (
         rows.where(tied)
         .join(F.broadcast(taken), "_g", "left")
-        .withColumn("_number", number + F.coalesce(F.col("_taken"), F.lit(0)))
-        .where(F.col("_number") <= F.try_element_at(wanted, F.col("_g").cast(kind)))
+        .withColumn("_number", number)
+        .where(F.col("_number") <= max(sizes.values(), default=0))  # tasks hand on no more than that
+        .where(F.col("_number") + F.coalesce(F.col("_taken"), F.lit(0)) <= F.try_element_at(wanted, F.col("_g").cast(kind)))
     )
     return rows.where(before).select(*df.columns).unionByName(rest.select(*df.columns))
 
@@ -131,7 +132,7 @@ def sample_train_val(
     df: DataFrame, n: int, key: str = "trip_id", seed: int = S.SAMPLE_SEED
 ) -> DataFrame:
     """n training rows and n/4 validation rows, both from the same passes."""
-    return sample_by(df, "split", {"train": n, "val": n // 4}, key, seed)
+    return sample_by(df, "split", {"train": n, "val": n // 4}, key, seed, unique=True)
 
 
 def reference_sample(
@@ -142,7 +143,7 @@ def reference_sample(
     seed: int = S.SAMPLE_SEED,
 ) -> DataFrame:
     narrow = select_available(train, [key, *features])
-    return sample_n(narrow, n, key, seed).drop(key)
+    return sample_n(narrow, n, key, seed, unique=True).drop(key)
 
 
 def representativeness(

@@ -337,7 +337,7 @@ def _(spark, d):
     job = J.stream_drift_tail(arrivals, summary, base, f"{base}/state")
     job.awaitTermination()
     last = job.lastProgress["batchId"]
-    return spark.read.parquet(f"{base}/report/{last}").drop("batch")
+    return spark.read.parquet(f"{base}/report").where(F.col("batch") == last).drop("batch")
 
 
 @query(
@@ -354,6 +354,24 @@ def _(spark, d):
     return spark.read.parquet(f"{base}/out")
 
 
+@query(
+    "r3b_stream_late_rows",
+    """SELECT event_id, 2::BIGINT AS batch, round(trip_distance, 6) AS trip_distance FROM log
+    WHERE ts < TIMESTAMP '2024-01-09' AND event_id % 7 = 0""",
+)
+def _(spark, d):
+    # A week's rows arrive in order but for a seventh of them, which come after all others.
+    base = ST.new_path(spark, "stream-late")
+    log = V.event_log(spark, d)
+    late = (F.col("ts") < "2024-01-09") & (F.col("event_id") % 7 == 0)
+    first = F.col("ts") < "2024-01-15"
+    for where in (~late & first, ~late & ~first, late):
+        log.where(where).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    arrivals = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    J.stream_late_rows(arrivals, base, f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/late").select("event_id", F.col("batch").cast("bigint"), "trip_distance")
+
+
 # --- extension points ----------------------------------------------------------------
 
 

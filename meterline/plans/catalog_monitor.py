@@ -8,7 +8,7 @@ from meterline import schemas as S
 from meterline.functions import trip as TR
 from meterline.operators import distribution as DI, drift as DR, reference as RF, sampling as SA
 from meterline.plans import views as V
-from meterline.plans.catalog_profile import histogram_pair_sql, metrics_sql
+from meterline.plans.catalog_profile import histogram_pair_sql
 from meterline.plans.registry import query
 from meterline.sources.staging import stage
 
@@ -28,7 +28,7 @@ def _split(spark, d, name):
 
 @query("x1_sample_n", f"SELECT trip_id, trip_distance FROM trips ORDER BY {_HASH}, trip_id LIMIT 2000")
 def _(spark, d):
-    return SA.sample_n(V.trips(spark, d), 2000).select("trip_id", "trip_distance")
+    return SA.sample_n(V.trips(spark, d), 2000, unique=True).select("trip_id", "trip_distance")
 
 
 @query("x2_split_data", "SELECT trip_id, split FROM scored")

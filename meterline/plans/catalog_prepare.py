@@ -40,12 +40,13 @@ def _(spark, d):
     "s3_select_months",
     """SELECT year(o_orderdate)::INT AS y, month(o_orderdate)::INT AS m, count(*) AS orders,
       round(avg(o_totalprice), 6) AS mean_price, sum(o_custkey)::DOUBLE AS custkeys,
-      sum(CASE WHEN month(o_orderdate) % 2 = 0 THEN 1.5 END)::DOUBLE AS fees
+      sum(CASE WHEN month(o_orderdate) % 2 = 0 THEN 1.5 END)::DOUBLE AS fees,
+      min(o_orderdate)::TIMESTAMP AS first_day
     FROM orders WHERE month(o_orderdate) <> 7 GROUP BY 1, 2""",
 )
 def _(spark, d):
-    # All orders as monthly files: even months have a column more, and another type of key.
-    # Every month but July is asked for.
+    # All orders as monthly files: even months have a column more, and another type of key; some
+    # hold prices as decimals, some days as dates. Every month but July is asked for.
     folder = ST.new_path(spark, "months")
     orders = V.table(spark, d, "orders")
     month = F.month("o_orderdate")
@@ -56,6 +57,10 @@ def _(spark, d):
         year, m = at
         source = orders if m % 2 else even
         rows = source.where((F.year("o_orderdate") == year) & (month == m))
+        if m % 3 == 0:
+            rows = rows.withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(14,4)"))
+        if m % 4 == 1:
+            rows = rows.withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
         rows.write.parquet(RD.month_paths(folder, year, [m])[0])
 
     with ThreadPoolExecutor(8) as pool:
@@ -68,6 +73,7 @@ def _(spark, d):
         F.avg("o_totalprice").alias("mean_price"),
         F.sum(F.col("o_custkey").cast("double")).alias("custkeys"),
         F.sum("fee").alias("fees"),
+        F.min("o_orderdate").alias("first_day"),
     )
 
 
@@ -102,7 +108,7 @@ def _(spark, d):
         F.when(old, inputs).alias("input"),
         "prediction",
     ).write.json(path)
-    return RD.flatten_inputs(RD.scan_prediction_log(spark, path, multi_line=False)).select(
+    return RD.flatten_inputs(RD.scan_prediction_log(spark, path)).select(
         F.col("timestamp").cast("bigint").alias("event_id"),
         "trip_distance",
         "passenger_count",
@@ -111,6 +117,27 @@ def _(spark, d):
     )
 
 
+@query(
+    "s5b_scan_prediction_log_arrays",
+    """SELECT event_id, round(trip_distance, 6) AS trip_distance, passenger_count::BIGINT AS passenger_count,
+      round(prediction, 6) AS prediction FROM log""",
+)
+def _(spark, d):
+    # Files of one array each, as the service writes them; an array has some hundred records.
+    log = V.event_log(spark, d)
+    record = F.struct(
+        F.col("event_id").cast("string").alias("timestamp"),
+        F.struct("trip_distance", "passenger_count").alias("inputs"),
+        "prediction",
+    )
+    arrays = log.groupBy(F.expr("event_id div 400").alias("part")).agg(F.to_json(F.collect_list(record), {"pretty": "true"}).alias("j"))
+    path = ST.new_path(spark, "log-arrays")
+    arrays.select("j").write.text(path)
+    return RD.flatten_inputs(RD.scan_prediction_log(spark, path)).select(
+        F.col("timestamp").cast("bigint").alias("event_id"), "trip_distance", "passenger_count", "prediction"
+    )
+
+
 @query(
     "s6_scan_route_table",
     """SELECT PULocationID, DOLocationID, round(avg_distance, 6) AS avg_distance
@@ -127,7 +154,7 @@ def _(spark, d):
     )
     path = ST.new_path(spark, "routes-json")
     per_zone.select("j").write.text(path)
-    return RD.explode_routes(spark.read.text(path), F.col("value"))
+    return RD.scan_route_table(spark, path)
 
 
 # --- sinks -----------------------------------------------------------------------
@@ -201,6 +228,29 @@ def _(spark, d):
     return kept.select("event_id", "trip_distance", "prediction")
 
 
+@query(
+    "k5b_compact_log",
+    """SELECT strftime(l.day, '%Y-%m-%d') AS day, (l.day < DATE '2024-01-20')::INT AS compacted, count(*) AS rows, round(sum(prediction), 4) AS predictions,
+      TRUE AS few_files FROM (SELECT ts::DATE AS day, prediction FROM log) l GROUP BY l.day""",
+)
+def _(spark, d):
+    # Many small files a day; the closed days become one file each.
+    path = ST.new_path(spark, "log-compact")
+    log = V.event_log(spark, d).withColumn("day", F.to_date("ts"))
+    for k in range(2):
+        WR.append_log(log.where(F.col("event_id") % 2 == k).repartition(4), path, "day")
+    closed = [f"2024-01-{x:02d}" for x in range(1, 20)]
+    WR.compact_log(spark, path, closed)
+    rows = spark.read.parquet(path).withColumn("file", F.input_file_name())
+    compacted = F.col("day") < F.lit("2024-01-20").cast("date")
+    return rows.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(
+        F.max(compacted.cast("int")).alias("compacted"),
+        F.count(F.lit(1)).alias("rows"),
+        F.round(F.sum("prediction"), 4).alias("predictions"),
+        (F.max(~compacted) | (F.count_distinct("file") == 1)).alias("few_files"),
+    )
+
+
 # --- projections -------------------------------------------------------------------
 
 

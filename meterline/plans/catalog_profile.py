@@ -46,7 +46,7 @@ def _(spark, d):
 def _(spark, d):
     # The way for a route table beyond the broadcast limit.
     out = LK.lookup_route_distance(
-        V.trips(spark, d), V.routes(spark, d), default=0.0, salts=4, row_key=["trip_id"]
+        V.trips(spark, d), V.routes(spark, d), default=0.0, skewed=True, row_key=["trip_id"]
     )
     return out.select("trip_id", "route_distance")
 

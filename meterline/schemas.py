@@ -152,6 +152,33 @@ TOTAL_RANGE = (2.5, 1000.0)
 DURATION_RANGE = (1.0, 180.0)
 SERVING_SPEED_RANGE = (1.0, 60.0)
 
+# Names and conditions of the quality report, and of the anomaly counts.
+QUALITY_ISSUES = {
+    "Missing passenger_count": "passenger_count IS NULL",
+    "Zero/Negative fare": "fare_amount <= 0",
+    "Fare > $500": "fare_amount > 500",
+    "Zero trip distance": "trip_distance = 0",
+    "Distance > 100 miles": "trip_distance > 100",
+    "Zero passenger count": "passenger_count = 0",
+    "Negative duration": "trip_duration_minutes < 0",
+    "Duration > 3 hours": "trip_duration_minutes > 180",
+}
+ANOMALIES = {
+    "zero distance": "trip_distance = 0",
+    "distance > 50": "trip_distance > 50",
+    "distance > 100": "trip_distance > 100",
+    "zero passengers": "passenger_count = 0",
+    "passengers > 6": "passenger_count > 6",
+    "negative duration": "trip_duration_minutes < 0",
+    "zero duration": "trip_duration_minutes = 0",
+    "duration > 60": "trip_duration_minutes > 60",
+    "duration > 120": "trip_duration_minutes > 120",
+}
+# Limits of the evaluation verdicts: r2 above, MAPE below, gap of the MAE below, MAE above; factors
+# of the MAE for high fares and for the alert level.
+VERDICT_R2, VERDICT_MAPE, VERDICT_GAP, VERDICT_MAE = 0.8, 20, 0.5, 2.5
+VERDICT_HIGH_FARES, VERDICT_ALERT = 1.5, 1.2
+
 DAY_NAMES = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 PAYMENT_LABELS = {1: "Credit Card", 2: "Cash", 3: "No Charge", 4: "Dispute"}
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -43,23 +43,37 @@ def _schema_of(spark: SparkSession, path: str) -> T.StructType | None:
         raise
 
 
-def _wider(a: T.DataType, b: T.DataType) -> T.DataType:
-    """A type that holds both: the wider number, else text."""
+#: Decimal digits of the whole numbers.
+_DIGITS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 20}
+_FRACTIONAL = (T.FloatType, T.DoubleType)
+_TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _wider(a: T.DataType, b: T.DataType, name: str = "") -> T.DataType:
+    """The narrowest type that holds both: numbers stay numbers and times stay times. A column
+    that is a number in one file and text or a time in another has no common type: an error."""
     if a == b:
         return a
     if isinstance(a, T.NullType) or isinstance(b, T.NullType):
         return b if isinstance(a, T.NullType) else a
-    whole = [T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()]
-    order = [*whole, T.FloatType(), T.DoubleType()]
-    if a in order and b in order:
-        top = max(a, b, key=order.index)
-        # A float holds no 32-bit integer exactly.
-        return T.DoubleType() if top == T.FloatType() and T.FloatType() in (a, b) else top
-    if isinstance(a, (T.TimestampType, T.TimestampNTZType)) and isinstance(
-        b, (T.TimestampType, T.TimestampNTZType)
-    ):
-        return T.TimestampNTZType()
-    return T.StringType()
+    both = (a, b)
+    if all(isinstance(t, (*_DIGITS, *_FRACTIONAL, T.DecimalType)) for t in both):
+        if any(isinstance(t, _FRACTIONAL) for t in both):
+            return T.DoubleType()  # a float holds no 32-bit integer exactly
+        if any(isinstance(t, T.DecimalType) for t in both):
+            # A whole number is a decimal without a fraction.
+            sizes = [(t.precision, t.scale) if isinstance(t, T.DecimalType) else (_DIGITS[type(t)], 0) for t in both]
+            scale = max(s for _, s in sizes)
+            digits = max(p - s for p, s in sizes) + scale
+            return T.DecimalType(digits, scale) if digits <= 38 else T.DoubleType()
+        return max(both, key=lambda t: _DIGITS[type(t)])
+    if all(isinstance(t, _TIMES) for t in both):
+        zoned = any(isinstance(t, T.TimestampType) for t in both)
+        # A date or local time beside an instant: read as local, as the trip files are.
+        return T.TimestampNTZType() if not zoned or T.TimestampNTZType() in both else T.TimestampType()
+    if all(isinstance(t, T.StringType | T.CharType | T.VarcharType) for t in both):
+        return T.StringType()
+    raise ValueError(f"{name or 'a column'} is {a.simpleString()} in one file and {b.simpleString()} in another")
 
 
 def scan_many(
@@ -72,7 +86,8 @@ def scan_many(
 
     Absent files are skipped, and if none is left the table is empty with the
     given schema. Files that share a schema are one scan; a column whose type
-    differs between files gets one that holds all of them. NaN becomes null.
+    differs between files gets the narrowest one that holds all of them (a decimal beside a double
+    is a double, a date beside a timestamp a timestamp). NaN becomes null.
     """
     paths = list(paths)
     if not paths and schema is None:
@@ -91,7 +106,7 @@ def scan_many(
     types: dict[str, T.DataType] = {}
     for own, _ in groups.values():
         for f in own.fields:
-            types[f.name] = _wider(types[f.name], f.dataType) if f.name in types else f.dataType
+            types[f.name] = _wider(types[f.name], f.dataType, f.name) if f.name in types else f.dataType
     frames = [
         spark.read.schema(own)
         .parquet(*some)
@@ -134,20 +149,37 @@ def drop_unnamed_zones(zones: DataFrame) -> DataFrame:
     return zones.dropna(subset=["Borough", "Zone"])
 
 
-def scan_prediction_log(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """JSON log to ``timestamp, inputs, prediction``.
+def _existing(spark: SparkSession, path: str, read: Callable[[str], DataFrame]) -> DataFrame | None:
+    """What `read` makes of the path; None if nothing is there."""
+    try:
+        return read(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
 
-    Records under the old key ``input`` are accepted; a record that cannot be
-    parsed is dropped. ``multi_line`` reads array files (one task per file);
-    pass False for line-delimited logs, which split.
+def _pieces(spark: SparkSession, path: str, separator: str) -> DataFrame | None:
+    """``value``: the text between two separators. Files split into tasks at any of them, however
+    long their lines are; None without a file."""
+    return _existing(spark, path, lambda p: spark.read.option("lineSep", separator).text(p))
+
+
+def scan_prediction_log(spark: SparkSession, path: str, first_key: str = "timestamp") -> DataFrame:
+    """JSON log to ``timestamp, inputs, prediction``: arrays of records, or a record per line, or
+    both, over any number of tasks per file.
+
+    ``first_key`` is the key with which every record begins. Records under the old key ``input``
+    are accepted; a record that cannot be parsed is dropped. Without a file the table is empty.
     """
-    raw = (
-        spark.read.schema(S.LOG_SCHEMA)
-        .option("multiLine", multi_line)
-        .option("mode", "PERMISSIVE")
-        .json(path)
-    )
-    return normalise_log(raw)
+    quoted = f'"{first_key}"'
+    pieces = _pieces(spark, path, quoted)
+    if pieces is None:
+        return normalise_log(spark.createDataFrame([], S.LOG_SCHEMA))
+    # What follows the first key, up to the record's end; then comes what stands between records.
+    rest = F.regexp_extract("value", r"(?s)^(\s*:.*\})[\s,\[\]{]*$", 1)
+    record = F.from_json(F.concat(F.lit("{" + quoted), rest), S.LOG_SCHEMA)
+    return normalise_log(pieces.where(rest != "").select(record.alias("r")).select("r.*"))
 
 
 def normalise_log(raw: DataFrame) -> DataFrame:
@@ -166,13 +198,23 @@ def parse_inputs(json_text: Column) -> Column:
 
 
 def scan_route_table(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object ``{"pu_do": miles}`` per file to one row per route."""
-    text = spark.read.option("wholetext", True).text(path)
-    return explode_routes(text, F.col("value"))
+    """JSON objects ``{"pu_do": miles}`` to one row per route; a file of any size is read by many
+    tasks, entry by entry. Without a file the table is empty."""
+    pieces = _pieces(spark, path, ",")
+    if pieces is None:
+        return explode_routes(spark.createDataFrame([], "value string"), F.col("value"))
+    # Two entries where an object ends and the next one begins.
+    entries = F.regexp_extract_all("value", F.lit(r'"([^"]*"\s*:\s*[^,{}\s]+)'), 1)
+    parts = pieces.select(F.explode(entries).alias("entry")).select(F.split("entry", r'"\s*:\s*').alias("p"))
+    return _routes(parts.select(F.col("p")[0].alias("key"), F.col("p")[1].try_cast("double").alias("value")))
 
 
 def explode_routes(df: DataFrame, json_map: Column) -> DataFrame:
-    entries = df.select(F.explode(F.from_json(json_map, "map<string,double>")))
+    """The same from a column of such objects."""
+    return _routes(df.select(F.explode(F.from_json(json_map, "map<string,double>"))))
+
+
+def _routes(entries: DataFrame) -> DataFrame:
     pickup, dropoff = parse_route_key(F.col("key"))
     return entries.select(
         pickup.alias("PULocationID"),

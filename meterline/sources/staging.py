@@ -1,7 +1,7 @@
 """Shared working folder: staged tables and checkpoints.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``, or lies in
-the warehouse, which is shared as well, where that is unset.
+The folder is the one the cluster names in ``spark.checkpoint.dir``. Where that is unset, a local
+session works below its warehouse; a cluster has to name the folder.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ def work_dir(spark: SparkSession) -> str:
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{CHECKPOINT_CONF} has to name a folder that all executors share")
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
 
 

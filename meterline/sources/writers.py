@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from meterline.sources.staging import stage
 
 
 def write_splits(df: DataFrame, path: str) -> None:
@@ -34,3 +38,30 @@ def append_log(records: DataFrame, path: str, partition_by: str | None = None) -
     day, a reader of the newest rows prunes to the last folders."""
     writer = records.write.mode("append")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+
+
+def compact_log(
+    spark: SparkSession, path: str, days: Sequence[str], partition_by: str = "day", rows_per_file: int = 5_000_000
+) -> None:
+    """Rewrites these days of a partitioned log as few files, one per ``rows_per_file`` rows; other
+    days are not read. For days that are closed: no append may run meanwhile.
+
+    The rows are written to the shared folder first, so that a failure in between loses none.
+    """
+    log = spark.read.parquet(path)
+    day = F.col(partition_by)
+    held = stage(log.where(day.isin([*days])), "log-compaction")
+    sizes = held.groupBy(partition_by).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files"))
+    # One row a day; a large day goes to as many tasks as it gets files.
+    part = F.pmod(F.xxhash64(*[F.col(c) for c in held.columns]), F.col("_files"))
+    dealt = held.join(F.broadcast(sizes), partition_by).withColumn("_part", part)
+    (
+        dealt.repartition(partition_by, "_part")
+        .drop("_files", "_part")
+        .select(*log.columns)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .option("maxRecordsPerFile", rows_per_file)
+        .partitionBy(partition_by)
+        .parquet(path)
+    )

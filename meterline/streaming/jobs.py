@@ -69,6 +69,17 @@ def stream_score(
     )
 
 
+def _put_batch(rows: DataFrame, batch_id: int, path: str) -> None:
+    """The batch's partition of a table; a replay replaces it."""
+    (
+        rows.withColumn("batch", F.lit(batch_id).cast("bigint"))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("batch")
+        .parquet(path)
+    )
+
+
 def tail_writer(
     summary: DataFrame,
     path: str,
@@ -80,23 +91,22 @@ def tail_writer(
     order and writes their drift report.
 
     ``summary`` is the stored summary of the reference. Each batch reads only itself, the n rows
-    its predecessor kept and the summary, and
-    writes under its own number: replaying a batch overwrites the same files.
+    its predecessor kept and the summary. The kept rows alternate between two folders, and the
+    report is one table with a partition per batch: replaying a batch overwrites the same files,
+    and never those it reads.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         newest = last_n(batch, n, *order).withColumn("batch", F.lit(batch_id).cast("bigint"))
         if batch_id > 0:
-            kept = spark.read.schema(newest.schema).parquet(f"{path}/tail/{batch_id - 1}")
+            kept = spark.read.schema(newest.schema).parquet(f"{path}/tail/{(batch_id - 1) % 2}")
             newest = newest.unionByName(kept)
-        here = f"{path}/tail/{batch_id}"
+        here = f"{path}/tail/{batch_id % 2}"
         last_n(newest, n, "batch", *order).write.mode("overwrite").parquet(here)
         tail = spark.read.schema(newest.schema).parquet(here)
         report = RF.drift_report(summary, tail, min_rows=min_rows)
-        report.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(
-            f"{path}/report/{batch_id}"
-        )
+        _put_batch(report, batch_id, f"{path}/report")
 
     return write
 
@@ -126,7 +136,8 @@ def window_stats(
     ts: str = "ts",
 ) -> DataFrame:
     """Count and means per tumbling event-time window, for the trend of the
-    mean shift. Rows later than the watermark are dropped by a stream."""
+    mean shift. Rows later than the watermark are dropped by a stream; `stream_late_rows` keeps
+    them in a side table. The last windows come out once later rows have passed their end."""
     timed = rows
     if isinstance(rows.schema[ts].dataType, T.TimestampNTZType):
         timed = rows.withColumn(ts, C.to_instant(F.col(ts)))
@@ -157,3 +168,41 @@ def stream_window_stats(
         .trigger(availableNow=True)
         .start(output)
     )
+
+
+def late_writer(
+    path: str, width: str = "1 day", lateness: str = "1 hour", ts: str = "ts"
+) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that puts aside the rows which `window_stats` drops: those whose
+    window had ended when the watermark of the batches before passed it.
+
+    The greatest time seen so far is a table of one row, which alternates between two folders;
+    the late rows are a table with a partition per batch.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        at = F.col(ts)
+        if isinstance(batch.schema[ts].dataType, T.TimestampNTZType):
+            at = C.to_instant(at)
+        newest = batch.agg(F.max(at).alias("newest"))
+        if batch_id > 0:
+            seen = spark.read.schema("newest timestamp").parquet(f"{path}/newest/{(batch_id - 1) % 2}")
+            mark = seen.select(F.col("newest") - F.expr(f"INTERVAL {lateness}")).scalar()
+            _put_batch(batch.where(F.window(at, width)["end"] <= mark), batch_id, f"{path}/late")
+            newest = newest.unionByName(seen).agg(F.max("newest").alias("newest"))
+        newest.write.mode("overwrite").parquet(f"{path}/newest/{batch_id % 2}")
+
+    return write
+
+
+def stream_late_rows(
+    rows: DataFrame, path: str, checkpoint: str, width: str = "1 day", lateness: str = "1 hour", ts: str = "ts"
+) -> StreamingQuery:
+    """The late rows of a stream, whole, in a side table under ``path``, until the input is drained."""
+    return (
+        rows.writeStream.foreachBatch(late_writer(path, width, lateness, ts))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )

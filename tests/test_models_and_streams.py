@@ -63,13 +63,13 @@ def test_saved_transformer_keeps_parameters_and_drops_older_tables(spark):
     df = spark.createDataFrame([(1.0, 7), (3.0, 9)], "trip_distance double, PULocationID long")
     path = ST.new_path(spark, "t-transformer")
     TripFeatureTransformer(numericalFeatures=["trip_distance"]).fit(df).save(path)
-    plain = TripFeatureTransformer(scaleNumerical=False, salts=3).fit(df)
+    plain = TripFeatureTransformer(scaleNumerical=False, skewed=True).fit(df)
     with pytest.raises(Exception):  # noqa: B017 - a target that exists is refused
         plain.save(path)
     plain.write().overwrite().save(path)
     loaded = TripFeatureModel.load(path)
     assert loaded.scaler is None and loaded.uid == plain.uid
-    assert loaded.getOrDefault("salts") == 3 and not loaded.getOrDefault("scaleNumerical")
+    assert loaded.getOrDefault("skewed") and not loaded.getOrDefault("scaleNumerical")
     pair = ("trip_distance", "PULocationID")
     assert sorted(map(tuple, loaded.transform(df).select(*pair).collect())) == [(1.0, 0), (3.0, 1)]
 
@@ -116,7 +116,7 @@ def test_tail_survives_a_replayed_batch(spark, sf):
     assert once == again and len(once) == 50
     # The 20 rows that arrived last, then the newest 30 of the batch before.
     assert {r.event_id for r in second.collect()} <= once
-    few = spark.read.parquet(f"{base}/report/1").where("metric = 'too_few_rows'")
+    few = spark.read.parquet(f"{base}/report").where("batch = 1 AND metric = 'too_few_rows'")
     assert few.count() == 0
 
 
