@@ -7,8 +7,9 @@ minimise it: tasks sum gradient and curvature over the pairs, the driver adds on
 The threshold between good and bad is a quantile of the labelled documents' scores, at the share
 of bad ones; scores are moved so that it becomes `THRESHOLD`.
 
-Learning reads at most `SAMPLE_ROWS` labelled rows by hash of id and text, of which each meets at
-least `ROUNDS` of the other class, or all of them; scoring covers all rows and reads the text alone.
+Learning reads all labelled rows, of which each meets at least `ROUNDS` of the other class, or all
+of them; scoring covers all rows and reads the text alone. Joins, sorts and quantiles carry features,
+never texts, and no task holds a class.
 
 Defined cases: null and empty texts have features of zero; rows without an id teach nothing;
 labels that repeat an id, and ids that repeat in the documents, count as often as they meet; null
@@ -26,12 +27,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from meterline.llm.common import appended, crc_of, slices, written
+from meterline.llm.merkle import numbered
+from meterline.operators.distribution import exact_quantiles
 
-SAMPLE_ROWS = 20_000
 ROUNDS = 8
 THRESHOLD = 0.3
 PENALTY = 1.0
@@ -122,18 +124,20 @@ def matrix(column: pa.ListArray) -> np.ndarray:
 def preference_pairs(rows: DataFrame, sizes: dict[int, int], rounds: int = ROUNDS) -> DataFrame:
     """(a, b): features of good and bad documents. In each of `rounds` rounds every document of
     the larger class meets one of the other class; the partners shift by one a round, so that no
-    pair repeats. With fewer documents in the smaller class than rounds, all pairs are made."""
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("place", "x")) - 1)
-    good, bad = sizes[1], sizes[0]
-    larger, smaller = max(good, bad), min(good, bad)
-    own, partner = f"id % {larger}", f"(id % {larger} + id div {larger}) % {smaller}"
-    drawn = rows.sparkSession.range(larger * min(rounds, smaller)).select(
-        F.expr(own if good >= bad else partner).alias("g"), F.expr(partner if good >= bad else own).alias("b")
+    pair repeats. With fewer documents in the smaller class than rounds, all pairs are made.
+
+    Documents are numbered within their class by a range sort over all tasks; equal ones are spread
+    over the tasks by a number of their own."""
+    larger, smaller = (1, 0) if sizes[1] >= sizes[0] else (0, 1)
+    tied = rows.select("label", "place", "x", F.monotonically_increasing_id().alias("tie"))
+    ranked = numbered(tied, "label", ["place", "x", "tie"])
+    side = lambda label, name: ranked.where(F.col("label") == label).select("idx", F.col("x").alias(name))
+    own, partner = ("a", "b") if larger else ("b", "a")
+    drawn = side(larger, own).select(
+        own, "idx", F.explode(F.sequence(F.lit(0), F.lit(min(rounds, sizes[smaller]) - 1))).alias("round")
     )
-    side = lambda label, key, name: ranked.where(F.col("label") == label).select(
-        F.col("rank").cast("long").alias(key), F.col("x").alias(name)
-    )
-    return drawn.join(side(1, "g", "a"), "g").join(side(0, "b", "z"), "b").select("a", F.col("z").alias("b"))
+    drawn = drawn.select(own, ((F.col("idx") + F.col("round")) % F.lit(sizes[smaller])).alias("idx"))
+    return drawn.join(side(smaller, partner), "idx").select("a", "b")
 
 
 def newton_sums(means: np.ndarray, scales: np.ndarray, weights: np.ndarray):
@@ -153,19 +157,28 @@ def newton_sums(means: np.ndarray, scales: np.ndarray, weights: np.ndarray):
     return sums
 
 
-def fit_ranking(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Ranking:
-    """Learns from the labelled rows (doc_id, label 0 or 1) and the documents' texts."""
-    some = (
-        labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
-        .select("doc_id", F.col(label).cast("int").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
-        .limit(sample_rows)
+def with_place(docs: DataFrame) -> DataFrame:
+    """The documents with their features as `x` instead of the text, and `place`, their order in a class."""
+    return with_features(docs.withColumn("place", F.xxhash64("doc_id", "text")), "text", "x")
+
+
+def fit_ranking(
+    docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int | None = None, made: bool = False
+) -> Ranking:
+    """Learns from all labelled rows (doc_id, label 0 or 1) and the documents' texts, or, where the
+    caller asks for it, from `sample_rows` of them by hash of id and text. `made`: the documents
+    come from `with_place`, their features are not made again."""
+    some = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select(
+        "doc_id", F.col(label).cast("int").alias("label")
     )
-    # At most sample_rows labels are broadcast. An id may repeat in the documents, so the rows
-    # are cut once more, when they are features only.
-    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    found = with_features(texts.withColumn("place", F.xxhash64("doc_id", "text")), "text", "x")
-    rows = written(found.select("label", "place", "x").orderBy("place", "label").limit(sample_rows), "bradley-rows")
+    if sample_rows is not None:
+        some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample_rows)
+    # Features are joined, not texts: 17 numbers a document are shuffled.
+    found = docs if made else with_place(docs.select("doc_id", "text"))
+    rows = found.select("doc_id", "place", "x").join(some, "doc_id").select("label", "place", "x")
+    if sample_rows is not None:  # an id may repeat in the documents
+        rows = rows.orderBy("place", "label").limit(sample_rows)
+    rows = written(rows, "bradley-rows")
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return constant(float(1 in sizes))
@@ -192,20 +205,22 @@ def fit_ranking(docs: DataFrame, labels: DataFrame, label: str = "quality", samp
             yield pa.RecordBatch.from_arrays([pa.array(model.raw(matrix(batch.column("x"))))], ["score"])
 
     share = sizes[0] / (sizes[0] + sizes[1])
-    model.cut = rows.select("x").mapInArrow(raw, "score double").agg(F.percentile("score", F.lit(share))).first()[0]
+    scores = written(rows.select("x").mapInArrow(raw, "score double"), "bradley-scores")
+    model.cut = exact_quantiles(scores, ["score"], [share]).first()["q"][0]
     return model
 
 
-def score_quality(docs: DataFrame, model: Ranking, text: str = "text") -> DataFrame:
-    """All rows and columns, and `score` and `predicted`; columns of these names are replaced."""
+def score_quality(docs: DataFrame, model: Ranking, text: str = "text", made: bool = False) -> DataFrame:
+    """All rows and columns, and `score` and `predicted`; columns of these names are replaced.
+    `made`: the documents come from `with_place`, their features are not made again."""
     names = ("score", "predicted")
     schema = StructType([f for f in docs.schema.fields if f.name not in names])
     schema = schema.add("score", DoubleType()).add("predicted", IntegerType())
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = np.array([features(t) for t in batch.column(text).to_pylist()]).reshape(-1, len(FEATURES))
-            scores = model.score(rows)
+            found = batch.column("x").to_pylist() if made else [features(t) for t in batch.column(text).to_pylist()]
+            scores = model.score(np.array(found).reshape(-1, len(FEATURES)))
             yield appended(
                 batch,
                 score=pa.array(scores, pa.float64()),
@@ -220,6 +235,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def op13_quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    model = fit_ranking(docs, labels.where(~held_out(F.col("doc_id"))))
     slim = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    return score_quality(slim, model).select("doc_id", "held_out", "score", "predicted")
+    found = written(with_place(slim), "bradley-features")
+    model = fit_ranking(found, labels.where(~held_out(F.col("doc_id"))), made=True)
+    return score_quality(found, model, made=True).select("doc_id", "held_out", "score", "predicted")

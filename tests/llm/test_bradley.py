@@ -90,6 +90,25 @@ def test_repeated_ids_are_cut_to_the_sample(spark):
     assert len(cut.weights) == len(bradley.FEATURES)
 
 
+def test_all_labelled_rows_are_learned_from(spark):
+    """More labelled rows than the sample had that was learned from once."""
+    n = 20_700
+    text = F.concat_ws(" ", F.expr("transform(sequence(0, cast(id % 37 as int)), k -> concat('w', k * id % 11))"))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text")).repartition(8)
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.expr("int(id % 37 > 7 or id % 5 = 0)").alias("quality"))
+    model = bradley.fit_ranking(docs, labels)
+    rows = np.array([bradley.features(r["text"]) for r in docs.collect()])
+    assert model.means == pytest.approx(rows.mean(0), rel=1e-9)
+    assert model.scales == pytest.approx(np.where(rows.std(0) > 1e-9, rows.std(0), 1.0), rel=1e-9)
+    share = labels.where("quality = 0").count() / n
+    assert model.cut == pytest.approx(np.quantile(model.raw(rows), share), rel=1e-9)
+    made = bradley.with_place(docs)
+    twice = bradley.fit_ranking(made, labels, made=True)
+    assert twice.weights == pytest.approx(model.weights, rel=1e-6)
+    pick = lambda df: {r["doc_id"]: r["score"] for r in df.select("doc_id", "score").collect()}
+    assert pick(bradley.score_quality(made, model, made=True)) == pytest.approx(pick(bradley.score_quality(docs, model)))
+
+
 def test_features_of_odd_texts():
     for text in (None, "", " \n", "a", "a " * 60_000, "###", "\U0001f600 中文\n\n", "A\x00B"):
         found = bradley.features(text)
