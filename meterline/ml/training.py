@@ -51,8 +51,13 @@ def assemble(df: DataFrame, features: Sequence[str], invalid: str = "error") ->
 @contextmanager
 def training_rows(df: DataFrame, features: Sequence[str], label: str = S.TARGET):
     """Label, split and vector only, kept for the passes of iterative fits;
-    blocks lost with an executor are recomputed from the source."""
-    rows = assemble(df, features).select(label, "split", FEATURES)
+    blocks lost with an executor are recomputed from the source.
+
+    The rows are spread by a hash of their values: a file of few row groups is read by as few
+    tasks, and all passes of a fit would run in these alone."""
+    spread = df.select(*dict.fromkeys([label, "split", *features]))
+    spread = spread.repartition(F.xxhash64(*spread.columns))
+    rows = assemble(spread, features).select(label, "split", FEATURES)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield rows

@@ -188,3 +188,16 @@ def test_tuning_reads_train_and_val_once_each(spark):
         seen.append(len(tracker.getJobIdsForGroup(f"{group}{n}")))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert seen[0] == seen[1]
+
+
+def test_training_rows_of_one_task_are_spread(spark):
+    """A file of one row group is read by one task; fits run in several all the same."""
+    df = spark.range(0, 200_000, numPartitions=1).select(
+        F.rand(1).alias("a"), F.rand(2).alias("b"), F.rand(3).alias("fare_amount"), F.lit("train").alias("split")
+    )
+    with TN.training_rows(df, ["a", "b"]) as rows:
+        assert rows.columns == ["fare_amount", "split", "features_vector"]
+        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        kept = rows.agg(F.sum("fare_amount"), F.countDistinct("fare_amount")).first()
+    assert sum(sizes) == 200_000 and len(sizes) > 2 and max(sizes) < 100_000
+    assert kept[1] == 200_000 and kept[0] == pytest.approx(df.agg(F.sum("fare_amount")).first()[0])
