@@ -7,14 +7,9 @@ from collections.abc import Mapping
 from typing import Any
 
 from pyspark.ml import Estimator
-from pyspark.ml.regression import (
-    GBTRegressionModel,
-    GBTRegressor,
-    RandomForestRegressionModel,
-    RandomForestRegressor,
-)
 from meterline import schemas as S
 from meterline.ml.linear import LinearFit, LinearModel
+from meterline.ml.trees import BinnedBoosting, BinnedForest, BoostedModel, ForestModel
 
 FEATURES = "features_vector"
 LINEAR = ("linear_regression", "ridge", "lasso")
@@ -22,8 +17,8 @@ TREES = ("random_forest", "gradient_boosting")
 MODELS = LINEAR + TREES
 #: What a fitted model is loaded as.
 FITTED = dict.fromkeys(LINEAR, LinearModel) | {
-    "random_forest": RandomForestRegressionModel,
-    "gradient_boosting": GBTRegressionModel,
+    "random_forest": ForestModel,
+    "gradient_boosting": BoostedModel,
 }
 
 # Fixed values.
@@ -82,12 +77,12 @@ def _trees(name: str, given: dict, label: str) -> Estimator:
     subset = _subset(given.pop("max_features", None))
     if name == "random_forest":
         _refuse(given)
-        return RandomForestRegressor(
+        return BinnedForest(
             numTrees=size, featureSubsetStrategy=subset, **common, **kwargs
         )
     step = given.pop("learning_rate", 0.1)
     _refuse(given)
-    return GBTRegressor(
+    return BinnedBoosting(
         maxIter=size,
         stepSize=step,
         featureSubsetStrategy=subset,
